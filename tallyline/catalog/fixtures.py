@@ -22,7 +22,7 @@ def runs(spark, d) -> DataFrame:
         F.col("o_orderpriority").alias("policy"),
         F.col("o_orderstatus").alias("state"),
         cents(F.col("o_totalprice")).alias("cost_cap"),
-        F.unix_millis("o_orderdate").alias("started_ms"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_ms"),
     )
 
 
@@ -33,8 +33,8 @@ def attempts(spark, d) -> DataFrame:
         F.col("l_linenumber").cast("long").alias("task_id"),
         F.col("l_suppkey").alias("provider"),
         F.col("l_partkey").alias("profile"),
-        F.unix_millis("l_shipdate").alias("start_ms"),
-        (F.unix_millis("l_shipdate") + F.col("l_quantity").cast("long") * DAY_MS).alias("end_ms"),
+        F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("start_ms"),
+        (F.unix_millis(F.col("l_shipdate").cast("timestamp")) + F.col("l_quantity").cast("long") * DAY_MS).alias("end_ms"),
         F.col("l_quantity").cast("long").alias("tokens"),
         cents(F.col("l_extendedprice")).alias("cost"),
         (F.col("l_quantity").cast("long") * 100).alias("context"),
@@ -124,8 +124,8 @@ def events(spark, d) -> DataFrame:
     e = table(spark, d, "events").select(
         F.col("user_id").alias("run_id"),
         "event_id",
-        F.unix_micros("ts").alias("at_us"),
-        F.unix_millis("ts").alias("at_ms"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"),
         F.col("event_type").alias("kind"),
         F.ceil("value").cast("long").alias("units"),
         "value",

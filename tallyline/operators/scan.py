@@ -68,11 +68,16 @@ def running(
     specs: dict[str, Running],
     tie: Sequence[str] = (),
     bits: int = BITS,
+    lead: Sequence[str] = (),
 ) -> DataFrame:
-    """Append running values over ``(order, *tie)`` inside each key; key columns must not be null."""
+    """Append running values over ``(*lead, order, *tie)`` inside each key; keys must not be null.
+
+    ``lead`` columns take few values and sort before the integer ``order``.
+    """
     keys = list(keys)
     part = [*keys, CHUNK]
-    base = df.withColumn(CHUNK, chunk_of(order, bits))
+    chunk = chunk_of(order, bits)
+    base = df.withColumn(CHUNK, F.struct(*lead, chunk.alias("o")) if lead else chunk)
     local = Window.partitionBy(*part).orderBy(order, *tie)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
