@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("usage",)
+AREAS = ("usage", "events", "stats")
 
 
 def load():

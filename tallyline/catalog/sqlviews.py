@@ -36,7 +36,7 @@ deps AS (
     ON a.run_id = b.run_id AND b.task_id = a.task_id // 2)"""
 
 EVENTS = """ev AS (
-  SELECT user_id AS run_id, event_id, epoch_us(ts) AS at_us, epoch_ms(ts) AS at_ms, event_type AS kind,
+  SELECT user_id AS run_id, event_id, epoch_us(ts) AS at_us, epoch_us(ts) // 1000 AS at_ms, event_type AS kind,
          CAST(ceil(value) AS BIGINT) AS units, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence
   FROM events)"""
