@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("usage", "events", "stats")
+AREAS = ("usage", "events", "stats", "evidence")
 
 
 def load():

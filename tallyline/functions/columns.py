@@ -26,8 +26,8 @@ FACT = (
     r"^FACT\[([a-z0-9][a-z0-9._-]{0,63})\|([a-z0-9][a-z0-9._-]{0,63})\]="
     r"(-?(?:0|[1-9]\d*)(?:\.\d+)?) ([a-z][a-z0-9._-]{0,31})$"
 )
-NUMBER_TOKEN = r"(?<![\w.-])(-?(?:0|[1-9]\d*)(?:\.\d+)?)(?![\w.-])"
-INTEGER_TOKEN = r"(?<![\w-])(\d+)(?![\w-])"
+NUMBER_TOKEN = r"(?U)(?<![\w.-])(-?(?:0|[1-9]\d*)(?:\.\d+)?)(?![\w.-])"
+INTEGER_TOKEN = r"(?U)(?<![\w-])(\d+)(?![\w-])"
 LANGUAGE_TAG = r"^[a-z]{2,3}(?:-[a-z0-9]{2,8})*$"
 HEX_COLOR = r"^#[0-9a-fA-F]{6}$"
 
