@@ -381,10 +381,9 @@ def action_breaches(spark, d):
     i = F.col("o_orderkey")
     a = fx.table(spark, d, "orders").select(
         i.alias("action_id"), F.when(i % 37 == 0, "talk").otherwise("tool").alias("kind"), F.concat(F.lit("cap-"), (i % 3).cast("string")).alias("capability"),
-        F.when(i % 41 == 0, 10000000 + i % 50).otherwise(F.col("o_custkey")).alias("grant_id"), F.array(i % 1100, i % 1100 + 10000000).alias("evidence"),
+        F.when(i % 41 == 0, 10000000 + i % 50).otherwise(F.col("o_custkey")).alias("grant_id"), F.array(i % 1100 + 10000000).alias("evidence"),
     )
-    doc = fx.table(spark, d, "documents").select("doc_id")
-    refs = doc.select(F.col("doc_id").alias("ref")).unionByName(doc.select((F.col("doc_id") + 10000000).alias("ref")))
+    refs = fx.table(spark, d, "documents").select((F.col("doc_id") + 10000000).alias("ref"))
     return pol.action_breaches(a, _grants(spark, d), refs, ["cap-0", "cap-1"])
 
 
@@ -464,7 +463,7 @@ def completion_breaches(spark, d):
     r, t = F.col("run_id"), F.col("task_id")
     base = fx.attempts(spark, d).where("outcome = 'completed'").groupBy("run_id", "task_id").agg(F.max("cost").alias("cost"))
     c = base.select(
-        "run_id", "task_id", F.when(t % 3 == 0, "effect_intent").otherwise("fixture_output").alias("kind"), ~((t == 3) & (r % 7 == 0)).alias("writes"),
+        "run_id", "task_id", F.when(t % 3 == 0, "effect_intent").otherwise("fixture_output").alias("kind"), (~((t == 3) & (r % 7 == 0))).alias("writes"),
         F.col("cost").alias("reserved_cost"), (F.col("cost") + F.when(r % 79 == 0, 1).otherwise(0)).alias("actual_cost"),
         F.lit("res").alias("resource"), F.lit("k").alias("declared_key"),
     )
@@ -504,8 +503,8 @@ def _allocations(spark, d):
 x AS (SELECT p.*, status, greatest(0, capacity - occupied) AS free, acap FROM p LEFT JOIN f USING (shelter_id))
 SELECT shelter_id, 'unknown_facility' AS code FROM x WHERE status IS NULL
 UNION ALL SELECT shelter_id, 'closed_facility' FROM x WHERE status = 'closed'
-UNION ALL SELECT shelter_id, 'capacity_exceeded' FROM x WHERE people > free
-UNION ALL SELECT shelter_id, 'accessible_capacity_exceeded' FROM x WHERE acc > acap""")
+UNION ALL SELECT shelter_id, 'capacity_exceeded' FROM x WHERE status IS NOT NULL AND people > free
+UNION ALL SELECT shelter_id, 'accessible_capacity_exceeded' FROM x WHERE status IS NOT NULL AND acc > acap""")
 def capacity_breaches(spark, d):
     return pol.capacity_breaches(_allocations(spark, d), _facilities(spark, d), "shelter_id")
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.operators.scan import rcount, rmax, rsum, running
+from tallyline.operators.admission import GROUP_BOUND, admit
+from tallyline.operators.scan import rcount, running
+from tallyline.operators.skew import spread_join
 from tallyline.session import durable
 
 # The three lexicographic orders of a choice; a leading minus means descending.
@@ -121,9 +123,6 @@ def pareto(df: DataFrame, keys: Sequence[str], minimise: Sequence[str], maximise
 
 # --- first fit -------------------------------------------------------------------------------------
 
-GROUP_BOUND = 2_000
-
-
 def first_fit(
     items: DataFrame,
     keys: Sequence[str],
@@ -133,27 +132,25 @@ def first_fit(
     caps: Sequence[str],
     bound: int = GROUP_BOUND,
 ) -> DataFrame:
-    """Greedy admission in order: an item is taken when every size still fits, else skipped.
+    """Greedy admission in order: an item is taken when every size still fits, else skipped.
 
-    Groups of at most ``bound`` items fold inside one row.  Larger groups run in rounds over chunked
-    prefix sums: a round takes the longest fitting prefix, and everything larger than what remains can
-    never fit again and leaves.  Both ways give the same answer.  Returns (keys, item, admitted).
+    Groups of at most ``bound`` items fold inside one row; larger ones take a distributed rank and are
+    settled by ``admission.admit`` in rounds.  Both give the same answer: (keys, item, admitted).
     """
     keys = list(keys)
-    counts = items.groupBy(*keys).agg(F.count("*").alias("__n"))
-    if counts.where(F.col("__n") > bound).isEmpty():
+    big = items.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > bound).select(*keys)
+    if big.isEmpty():
         return _fit_fold(items, keys, order, item, sizes, caps)
-    big = counts.where(F.col("__n") > bound).select(*keys)
-    small = items.join(big, keys, "left_anti")
-    large = items.join(big, keys, "left_semi")
-    return _fit_fold(small, keys, order, item, sizes, caps).unionByName(
-        _fit_rounds(large, keys, order, item, sizes, caps)
-    )
+    small = _fit_fold(items.join(big, keys, "left_anti"), keys, order, item, sizes, caps)
+    ranked = dense_rank(items.join(big, keys, "left_semi"), keys, order, item)
+    return small.unionByName(admit(ranked, None, keys, "__rank", item, sizes, caps, bound=0))
 
 
 def _fit_fold(items, keys, order, item, sizes, caps) -> DataFrame:
-    packed = F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("__item"), *[F.col(s).alias(f"s_{s}") for s in sizes])))
-    g = items.groupBy(*keys).agg(packed.alias("__xs"), *[F.min(c).alias(c) for c in caps])
+    sorted_items = F.array_sort(
+        F.collect_list(F.struct(*order, F.col(item).alias("__item"), *[F.col(s).alias(f"s_{s}") for s in sizes]))
+    )
+    g = items.groupBy(*keys).agg(sorted_items.alias("__xs"), *[F.min(c).alias(c) for c in caps])
     kind = items.schema[item].dataType.simpleString()
     taken = F.array().cast(f"array<struct<item:{kind},admitted:boolean>>")
     start = F.struct(*[F.lit(0).cast("long").alias(f"u_{s}") for s in sizes], taken.alias("out"))
@@ -172,45 +169,61 @@ def _fit_fold(items, keys, order, item, sizes, caps) -> DataFrame:
     )
 
 
-def _fit_rounds(items, keys, order, item, sizes, caps) -> DataFrame:
-    """Rounds over a dense rank, so the ordered scans are chunked by construction."""
-    left = durable(_dense_rank(items, keys, order, item))
-    everything = left.select(*keys, item)
-    remaining = left.groupBy(*keys).agg(*[F.min(c).alias(f"r_{i}") for i, c in enumerate(caps)])
-    live = left.select(*keys, item, "__rank", *sizes).join(remaining, keys)
-    fits = lambda: _all([F.col(s) <= F.col(f"r_{i}") for i, s in enumerate(sizes)])
-    live = durable(live.where(fits()))
-    admitted = None
-    while not live.isEmpty():
-        summed = running(live, keys, "__rank", {f"c_{i}": rsum(F.col(s)) for i, s in enumerate(sizes)})
-        over = ~_all([F.col(f"c_{i}") <= F.col(f"r_{i}") for i in range(len(sizes))])
-        summed = summed.withColumn("__over", over)
-        cut = running(summed, keys, "__rank", {"__broken": rmax(F.col("__over").cast("int"))})
-        step = durable(cut)
-        took = step.where("__broken = 0")
-        admitted = took.select(*keys, item) if admitted is None else admitted.unionByName(took.select(*keys, item))
-        used = took.groupBy(*keys).agg(*[F.max(f"c_{i}").alias(f"u_{i}") for i in range(len(sizes))])
-        nxt = step.where("__broken = 1").select(*keys, item, "__rank", *sizes, *[f"r_{i}" for i in range(len(sizes))])
-        nxt = nxt.join(used, keys, "left").select(
-            *keys, item, "__rank", *sizes,
-            *[(F.col(f"r_{i}") - F.coalesce(f"u_{i}", F.lit(0))).alias(f"r_{i}") for i in range(len(sizes))],
-        )
-        live = durable(nxt.where(fits()))
-    if admitted is None:
-        return everything.select(*keys, item, F.lit(False).alias("admitted"))
-    return everything.join(admitted.withColumn("__a", F.lit(True)), [*keys, item], "left").select(
-        *keys, item, F.coalesce("__a", F.lit(False)).alias("admitted")
+def pack_context(blocks: DataFrame, budgets: DataFrame, key: str, bound: int = GROUP_BOUND) -> DataFrame:
+    """Every block of every context with its inclusion and reason.
+
+    ``blocks``: key, ref, bytes, tokens, value, mandatory, valid; ``budgets``: key, max_bytes, max_tokens.
+    All mandatory blocks must be valid and fit together, else the context is refused; optional blocks enter
+    by value density (value over bytes + 4 tokens), highest first, while they fit.
+    """
+    m = F.col("mandatory")
+    total = blocks.groupBy(key).agg(
+        F.sum(F.when(m, F.col("bytes")).otherwise(0)).alias("__mb"), F.sum(F.when(m, F.col("tokens")).otherwise(0)).alias("__mt"),
+        F.count_if(m & ~F.col("valid")).alias("__bad"),
+    ).join(budgets, key)
+    total = total.select(
+        key, "__bad", (F.col("max_bytes") - F.col("__mb")).alias("__cb"), (F.col("max_tokens") - F.col("__mt")).alias("__ct"),
+    ).withColumn("__state", F.when(F.col("__bad") > 0, "invalid").when((F.col("__cb") < 0) | (F.col("__ct") < 0), "over").otherwise("packed"))
+    x = spread_join(blocks, total, [key], "inner")
+    foot = F.greatest(F.lit(1), F.col("bytes") + 4 * F.col("tokens"))
+    # Density as a decimal with 18 places: exact for footprints below 10**9.
+    density = (-F.col("value")).cast("decimal(38,0)") * F.lit(10**12) / foot.cast("decimal(18,0)")
+    optional = x.where((F.col("__state") == "packed") & ~m & F.col("valid")).withColumns({
+        "__density": density.cast("decimal(38,6)"), "__value": -F.col("value")})
+    fit = first_fit(optional, [key], ["__density", "__value", "bytes", "tokens"], "ref", ["bytes", "tokens"], ["__cb", "__ct"], bound)
+    out = x.join(fit, [key, "ref"], "left")
+    s = F.col("__state")
+    reason = (
+        F.when(m & ~F.col("valid"), "required_block_invalid")
+        .when(m & (s == "invalid"), "another_obligation_failed")
+        .when(m & (s == "over"), "required_context_exceeds_cap")
+        .when(m, "mandatory")
+        .when(s != "packed", "not_evaluated_after_refusal")
+        .when(~F.col("valid"), "optional_block_invalid")
+        .when(F.col("admitted"), "selected_by_value_density")
+        .otherwise("does_not_fit")
     )
+    return out.select(key, "ref", reason.alias("reason")).withColumn("included", F.col("reason").isin("mandatory", "selected_by_value_density"))
+
 
+def shed_optional(tasks: DataFrame, deps: DataFrame, key: str, bound: int = GROUP_BOUND) -> DataFrame:
+    """Optional tasks kept by value under the headroom, then dropped with what they depend on (T4).
+
+    ``tasks``: key, task_id, value, use, headroom (optional tasks only); ``deps``: key, task_id, dep_id.
+    """
+    from tallyline.operators.graph import closure
 
-def _all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    x = tasks.withColumn("__value", -F.col("value"))
+    fit = first_fit(x, [key], ["__value", "task_id"], "task_id", ["use"], ["headroom"], bound)
+    shed = fit.where("not admitted").select(key, F.col("task_id").alias("node"))
+    among = deps.join(fit.select(key, "task_id"), [key, "task_id"], "left_semi")
+    hit = closure(among.select(key, F.col("dep_id").alias("src"), F.col("task_id").alias("dst")), shed, [key])
+    gone = hit.select(key, F.col("node").alias("task_id"), F.lit(True).alias("__gone"))
+    return fit.join(gone, [key, "task_id"], "left").select(key, "task_id", F.col("admitted").alias("fits"),
+                                                            (F.col("admitted") & F.col("__gone").isNull()).alias("kept"))
 
 
-def _dense_rank(items, keys, order, item) -> DataFrame:
+def dense_rank(items, keys, order, item) -> DataFrame:
     """Rank within the key over any sort columns: range partition, rank inside a partition, add offsets."""
     x = durable(
         items.repartitionByRange(*keys, *order, item).withColumn("__p", F.spark_partition_id())

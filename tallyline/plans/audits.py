@@ -21,3 +21,59 @@ def artifact_table_audit(artifacts: DataFrame) -> DataFrame:
         wrong.unionByName(lost.select("doc_id", F.lit("missing_parent").alias("code")))
         .unionByName(split.select("doc_id", F.lit("conflicting_copies").alias("code")))
     )
+
+
+def _counted(name: str, findings: DataFrame) -> DataFrame:
+    return findings.agg(F.count("*").alias("findings")).select(
+        F.lit(name).alias("check"), "findings", (F.col("findings") == 0).alias("passed")
+    )
+
+
+def text_safety_report(citations: DataFrame, documents: DataFrame, pages: DataFrame, hosts: DataFrame, schemes, as_of) -> DataFrame:
+    """Findings per text check: citations, freshness of what is cited, URL policy, page facts.
+
+    ``documents``: doc_id, text, created, fresh_until; ``pages``: page_id, url, html.
+    """
+    from tallyline.functions.columns import is_fresh
+    from tallyline.operators import text as tx
+    from tallyline.operators.checks import holds
+
+    support = tx.citation_support(citations, documents.select("doc_id", "text")).where("code <> 'supported'")
+    cited = citations.select(F.col("cited").alias("doc_id")).distinct()
+    fresh = documents.select("doc_id", is_fresh(F.col("created"), F.col("fresh_until"), as_of).alias("fresh"))
+    stale = cited.join(fresh, "doc_id", "left").where(~holds(F.col("fresh")))
+    urls = tx.url_policy(pages.select("page_id", "url"), ["page_id"], "url", schemes, hosts)
+    facts = tx.page_facts(pages, "page_id", "html")
+    access = tx.accessibility_breaches(facts, "page_id").where("code = 'main_landmark_count'").select("page_id").distinct()
+    return (
+        _counted("citation_support", support).unionByName(_counted("cited_freshness", stale))
+        .unionByName(_counted("url_policy", urls)).unionByName(_counted("declared_accessibility", access))
+    )
+
+
+def model_bounds(tasks: DataFrame, down: DataFrame, limits: DataFrame) -> DataFrame:
+    """Lower bound of a run: critical path, work over slots, provider work over its limit.
+
+    ``tasks``: run_id, task_id, duration, provider, parallelism; ``down``: run_id, src (dependency), dst.
+    """
+    from tallyline.operators import graph as gr
+    from tallyline.operators import resources as rs
+
+    nodes = tasks.select("run_id", F.col("task_id").alias("node"), "duration")
+    path = gr.critical_path(nodes, down, ["run_id"], "duration")
+    work = rs.work_bounds(tasks, ["run_id"], "duration", "provider", limits, "parallelism")
+    return path.join(work, "run_id").withColumn("bound", F.greatest("critical_path", "work_bound", "provider_bound"))
+
+
+def quota_counters(calls: DataFrame, admitted: DataFrame, lease: int) -> DataFrame:
+    """Admitted, refused, tokens and most leases open at once per provider."""
+    from tallyline.operators import resources as rs
+
+    x = calls.join(admitted.select("provider", "call", "admitted"), ["provider", "call"])
+    g = x.groupBy("provider").agg(
+        F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("refused"),
+        F.sum(F.when(F.col("admitted"), F.col("tokens")).otherwise(0)).alias("tokens"),
+    )
+    spans = x.where("admitted").select("provider", "seq", (F.col("seq") + lease).alias("until"))
+    p = rs.peak_concurrency(spans, ["provider"], "seq", "until").withColumnRenamed("peak", "peak_leases")
+    return g.join(p, "provider", "left")
