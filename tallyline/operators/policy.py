@@ -16,6 +16,11 @@ from tallyline.operators.skew import spread_join
 CANCELLATION = {"none": 0, "cooperative": 1, "hard": 2}
 CHECKPOINT = {"none": 0, "receipt": 1, "resumable": 2}
 USAGE = {"none": 0, "estimated": 1, "provider_reported": 2}
+FLOATING_VERSIONS = ("latest", "current", "default", "*", "unknown", "unversioned")
+SECRET_KEYS = (
+    "api_key", "apikey", "access_token", "refresh_token", "password", "secret", "client_secret", "credential",
+    "credentials", "authorization",
+)
 WRITES = ("idempotent_write", "reversible_write", "irreversible_write")
 MUTATIONS = ("click", "execute_script", "select", "submit", "type", "upload")
 READS = ("inspect",)
@@ -303,9 +308,8 @@ def priority_breaches(declared: DataFrame, expected_order: Sequence[str], group:
 def snapshot_checks(snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Profile-snapshot document checks on the nested columns."""
     c = F.col
-    floating = ["", "latest", "unknown", "current", "stable"]
     checks = {
-        "floating_version": ~F.lower(c("identity.version")).isin(floating),
+        "floating_version": ~F.lower(c("identity.version")).isin(["", *FLOATING_VERSIONS]),
         "currency": c("pricing.currency") == "USD",
         "negative_price": (c("pricing.input_price") >= 0) & (c("pricing.output_price") >= 0),
         "nonpositive_quota": (c("quota.rpm") >= 1) & (c("quota.tpm") >= 1) & (c("quota.concurrency") >= 1) & (c("quota.window_ms") >= 1),
@@ -318,6 +322,6 @@ def snapshot_checks(snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
         "window_above_31_days": (c("valid_until") >= c("snapshot_at")) & (c("valid_until") - c("snapshot_at") <= 31 * 86400),
         "placement_region": c("placement.domain_region") == c("placement.region"),
         "placement_provider": c("placement.domain_provider") == c("identity.provider"),
-        "secret_like_key": F.forall("keys", lambda k: ~F.lower(k).isin("api_key", "apikey", "authorization", "password", "secret", "token", "access_token", "private_key")),
+        "secret_like_key": F.forall("keys", lambda k: ~F.lower(k).isin(list(SECRET_KEYS))),
     }
     return violations(snapshots, checks, keys)

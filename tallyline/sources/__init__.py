@@ -1 +1 @@
-"""tallyline.sources"""
+"""Readers with fixed schemas, writers with manifests, idempotent tables."""
