@@ -1 +1 @@
-"""tallyline.streaming"""
+"""Structured Streaming forms of the event-log operators."""
