@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("usage", "events", "stats", "evidence", "text", "graphs", "sources", "streams", "whole")
+AREAS = ("usage", "events", "stats", "evidence", "text", "graphs", "sources", "streams", "whole", "reports")
 
 
 def load():

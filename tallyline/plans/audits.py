@@ -23,7 +23,7 @@ def artifact_table_audit(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def _counted(name: str, findings: DataFrame) -> DataFrame:
+def counted(name: str, findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("findings")).select(
         F.lit(name).alias("check"), "findings", (F.col("findings") == 0).alias("passed")
     )
@@ -46,8 +46,8 @@ def text_safety_report(citations: DataFrame, documents: DataFrame, pages: DataFr
     facts = tx.page_facts(pages, "page_id", "html")
     access = tx.accessibility_breaches(facts, "page_id").where("code = 'main_landmark_count'").select("page_id").distinct()
     return (
-        _counted("citation_support", support).unionByName(_counted("cited_freshness", stale))
-        .unionByName(_counted("url_policy", urls)).unionByName(_counted("declared_accessibility", access))
+        counted("citation_support", support).unionByName(counted("cited_freshness", stale))
+        .unionByName(counted("url_policy", urls)).unionByName(counted("declared_accessibility", access))
     )
 
 
@@ -77,3 +77,29 @@ def quota_counters(calls: DataFrame, admitted: DataFrame, lease: int) -> DataFra
     spans = x.where("admitted").select("provider", "seq", (F.col("seq") + lease).alias("until"))
     p = rs.peak_concurrency(spans, ["provider"], "seq", "until").withColumnRenamed("peak", "peak_leases")
     return g.join(p, "provider", "left")
+
+
+def run_ledger_checks(events: DataFrame, runs: DataFrame, start: str, terminal, attempts) -> DataFrame:
+    """Eight named checks of each run's control ledger.
+
+    ``events``: run_id, recorded_run, sequence, event_id, kind, reserved, actual, manifest; ``runs``: run_id, manifest, cap.
+    """
+    from tallyline.operators.checks import holds
+    from tallyline.operators.scan import rcount, running
+
+    k = F.col("kind")
+    x = running(events, ["run_id"], "sequence", {"pos": rcount()}, tie=["event_id"])
+    used = k.isin(list(attempts))
+    ids = events.groupBy("run_id", "event_id").agg(F.count("*").alias("n")).groupBy("run_id").agg((F.max("n") == 1).alias("unique"))
+    g = x.groupBy("run_id").agg(
+        F.bool_and(F.col("sequence") == F.col("pos")).alias("contiguous"), F.bool_and(F.col("recorded_run") == F.col("run_id")).alias("own"),
+        F.count_if(k == start).alias("starts"), F.count_if(k.isin(list(terminal))).alias("ends"), F.min_by("manifest", F.when(k == start, F.col("sequence"))).alias("said"),
+        F.bool_and(~used | (F.col("actual") <= F.col("reserved"))).alias("reserved"), F.sum(F.when(used, F.col("actual")).otherwise(0)).alias("used"),
+    ).join(ids, "run_id").join(runs, "run_id")
+    checks = {
+        "contiguous-sequences": F.col("contiguous"), "unique-event-ids": F.col("unique"), "run-identity": F.col("own"), "single-run-start": F.col("starts") == 1,
+        "manifest-binding": F.col("said") == F.col("manifest"), "single-terminal-state": F.col("ends") == 1, "per-attempt-reservations": F.col("reserved"),
+        "run-envelope": F.col("used") <= F.col("cap"),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), holds(c).alias("passed")) for n, c in checks.items()])
+    return g.select("run_id", F.explode(rows).alias("c")).select("run_id", "c.*")
