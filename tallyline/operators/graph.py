@@ -84,8 +84,8 @@ def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], weight
             .agg(F.max(step).alias("rank"), F.bool_or(step.isNull()).alias("bad"))
         )
         if frontier.isEmpty():
-            best = _union(walks).groupBy(*keys, "node").agg(F.max("rank").alias("r"), F.bool_or("bad").alias("bad"))
-            return best.select(*keys, "node", F.when(~F.col("bad"), F.col("r")).alias("rank"))
+            best = _union(walks).groupBy(*keys, "node").agg(F.max("rank").alias("__r"), F.bool_or("bad").alias("__bad"))
+            return best.select(*keys, "node", F.when(~F.col("__bad"), F.col("__r")).alias("rank"))
         walks.append(frontier)
         if len(walks) > COMPACT:
             walks = [durable(_union(walks).groupBy(*keys, "node").agg(F.max("rank").alias("rank"), F.bool_or("bad").alias("bad")))]
