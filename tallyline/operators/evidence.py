@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import is_fresh
 from tallyline.operators.checks import flagged, holds
 from tallyline.operators.scan import rlast, running
-from tallyline.operators.skew import spread_join
+from tallyline.operators.skew import spread_join, spread_joins
+from tallyline.session import durable
 
 
 def assess_claims(claims: DataFrame, artifacts: DataFrame, as_of: Column) -> DataFrame:
@@ -47,8 +48,8 @@ def contradictions(assessed: DataFrame) -> DataFrame:
     said = assessed.select("claim_id", F.explode("contradicts").alias("other"))
     edges = said.unionByName(said.select(F.col("other").alias("claim_id"), F.col("claim_id").alias("other")))
     edges = edges.where("claim_id <> other").distinct()
-    live = spread_join(edges, ok, ["claim_id"], "left_semi")
-    live = spread_join(live, ok.select(F.col("claim_id").alias("other")), ["other"], "left_semi")
+    ok = durable(ok)  # read twice below
+    live = spread_joins(edges, (ok, ["claim_id"], "left_semi"), (ok.select(F.col("claim_id").alias("other")), ["other"], "left_semi"))
     return live.groupBy("claim_id").agg(F.count("*").alias("conflicts"))
 
 

@@ -2,6 +2,8 @@
 
 Every operator walks a frontier: one equi join and one partial aggregate per level, the level kept as a
 table in the shared folder.  Graphs of many runs advance together, so rounds follow the deepest run.
+The frontier holds a node once, so a node with very many edges is a one-to-many join whose large side AQE
+splits (``session.RUNTIME``).
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import ceil_div
-from tallyline.operators.skew import spread_join
 from tallyline.session import durable
 
 MAX_ROUNDS = 100_000
@@ -27,10 +28,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nodes reachable from ``seeds`` (keys, node) along ``edges`` (keys, src, dst), seeds included."""
     keys = list(keys)
+    edges = durable(edges.select(*keys, "src", "dst").distinct())
     frontier = durable(seeds.select(*keys, "node").distinct())
     seen = [frontier]
     while not frontier.isEmpty():
-        step = spread_join(edges, frontier.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
+        step = edges.join(frontier.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
         found = step.select(*keys, F.col("dst").alias("node")).distinct()
         frontier = durable(found.join(_union(seen), [*keys, "node"], "left_anti"))
         seen.append(frontier)
@@ -77,7 +79,7 @@ def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], weight
     frontier = nodes.select(*keys, "node", F.col(weight).alias("rank"), F.col(weight).isNull().alias("bad"))
     walks = [frontier]
     for _ in range(MAX_ROUNDS):
-        up = spread_join(hops, frontier.withColumnRenamed("node", "dst"), [*keys, "dst"], "inner")
+        up = hops.join(frontier.withColumnRenamed("node", "dst"), [*keys, "dst"])
         step = F.try_add(F.col("__w"), F.col("rank"))
         frontier = durable(
             up.groupBy(*keys, F.col("src").alias("node"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import DIGEST, INT64_MAX, scoped_key
 from tallyline.operators.checks import flagged, holds, violations
 from tallyline.operators.scan import rcount, running
-from tallyline.operators.skew import spread_join
+from tallyline.operators.skew import spread_join, spread_joins
 
 # Ranks of the capability levels, effect kinds that write, page actions.
 CANCELLATION = {"none": 0, "cooperative": 1, "hard": 2}
@@ -79,9 +79,10 @@ def port_breaches(inputs: DataFrame, outputs: DataFrame, tasks: DataFrame, deps:
     direct = deps.select("run_id", "task_id", F.col("dep_id").alias("source_task"), F.lit(True).alias("__direct"))
     made = outputs.select("run_id", F.col("task_id").alias("source_task"), F.col("port").alias("source_port"),
                           F.col("type").alias("__type"), F.lit(True).alias("__made"))
-    x = spread_join(inputs, known, ["run_id", "source_task"])
-    x = spread_join(x, direct, ["run_id", "task_id", "source_task"])
-    x = spread_join(x, made, ["run_id", "source_task", "source_port"])
+    x = spread_joins(
+        inputs, (known, ["run_id", "source_task"], "left"), (direct, ["run_id", "task_id", "source_task"], "left"),
+        (made, ["run_id", "source_task", "source_port"], "left"),
+    )
     code = (
         F.when(F.col("__known").isNull(), "missing_producer").when(F.col("__direct").isNull(), "not_a_direct_dependency")
         .when(F.col("__made").isNull(), "missing_producer_port").when(~F.col("type").eqNullSafe(F.col("__type")), "incompatible_type")
@@ -144,7 +145,7 @@ def action_breaches(actions: DataFrame, grants: DataFrame, evidence: DataFrame,
     """
     g = grants.select("grant_id", F.col("capabilities").alias("__caps"))
     known = evidence.select(F.col("ref").alias("grant_id"), F.lit(True).alias("__data")).distinct()
-    x = spread_join(spread_join(actions, g, ["grant_id"]), known, ["grant_id"])
+    x = spread_joins(actions, (g, ["grant_id"], "left"), (known, ["grant_id"], "left"))
     own = flagged(x, {
         "unknown_kind": ~holds(F.col("kind").isin("tool", "effect")),
         "capability_outside_policy": ~holds(F.col("capability").isin(list(capabilities))),
@@ -209,7 +210,7 @@ def attestation_readiness(attestations: DataFrame, artifacts: DataFrame, gates:
     bound = gates.select("gate_id", F.explode("evidence").alias("ref")).distinct().withColumn("__bound", F.lit(True))
     a = artifacts.select("ref", F.col("classification").alias("__class"))
     x = attestations.join(F.broadcast(need), "kind")
-    x = spread_join(spread_join(x, a, ["ref"]), bound, ["gate_id", "ref"])
+    x = spread_joins(x, (a, ["ref"], "left"), (bound, ["gate_id", "ref"], "left"))
     age = as_of - F.col("observed")
     ok = (
         F.array_contains("classes", F.col("classification")) & (F.col("classification") == F.col("__class"))
@@ -224,7 +225,7 @@ def completion_breaches(completions: DataFrame, profiles: DataFrame, effects: Da
     """Recorded outputs against profile usage or effect intent, key derived from its scope."""
     p = profiles.select(*on, *[F.col(m).alias(f"p_{m}") for m in dims], F.lit(True).alias("__p"))
     e = effects.select(*on, F.col("resource").alias("e_resource"), F.col("idempotency_key").alias("e_key"), F.lit(True).alias("__e"))
-    x = spread_join(spread_join(completions, p, on), e, on)
+    x = spread_joins(completions, (p, on, "left"), (e, on, "left"))
     fits = F.col("__p").isNotNull()
     for m in dims:
         fits = fits & (F.col(f"reserved_{m}") == F.col(f"p_{m}")) & (F.col(f"actual_{m}") <= F.col(f"p_{m}"))

@@ -13,19 +13,28 @@ SALTS = 64
 
 def spread_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-    hot_rows: int = HOT_ROWS, salts: int = SALTS,
+    hot_rows: int = HOT_ROWS, salts: int = SALTS, source: DataFrame | None = None,
 ) -> DataFrame:
     """Join where a key may hold a large share of ``left`` and few rows of ``right``.
 
     Keys with more than ``hot_rows`` left rows are found by a partial count; there are at most
     rows / ``hot_rows`` of them, which bounds the broadcast.  Their left rows are salted by content and
     their right rows repeated once per salt; all other rows keep salt 0.  ``how``: any left-sided kind or inner.
+    ``source`` is where the keys are counted when ``left`` is itself the result of joins.
     """
     on = list(on)
-    hot = left.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows)
+    hot = (left if source is None else source).groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows)
     hot = F.broadcast(hot.select(*on, F.lit(True).alias("__hot")))
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     spread = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
     every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copies = right.join(hot, on, "left").withColumn("__salt", F.explode(every)).drop("__hot")
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def spread_joins(left: DataFrame, *steps: tuple[DataFrame, Sequence[str], str]) -> DataFrame:
+    """Several spread joins in a row, their hot keys counted on ``left`` alone, not on the joins so far."""
+    out = left
+    for right, on, how in steps:
+        out = spread_join(out, right, on, how, source=left)
+    return out

@@ -19,7 +19,7 @@ from tallyline.functions.columns import (
     url_problem,
 )
 from tallyline.operators.checks import flagged, holds
-from tallyline.operators.skew import spread_join
+from tallyline.operators.skew import spread_join, spread_joins
 
 
 def document_lines(documents: DataFrame, ident: str, text: str) -> DataFrame:
@@ -43,7 +43,7 @@ def citation_support(claims: DataFrame, documents: DataFrame, controlled: bool =
     lines = document_lines(wanted, "doc_id", "text").select(F.col("doc_id").alias("cited"), "line_digest", F.lit(True).alias("__found"))
     quote = normalize_space(F.col("quote"))
     x = claims.withColumns({"__quote": quote, "line_digest": F.sha2(quote, 256)})
-    x = spread_join(spread_join(x, known, ["cited"]), lines, ["cited", "line_digest"])
+    x = spread_joins(x, (known, ["cited"], "left"), (lines, ["cited", "line_digest"], "left"))
     code = (
         F.when(F.col("__known").isNull(), "unknown_artifact")
         .when(F.coalesce("__quote", F.lit("")) == "", "empty_quote")
@@ -91,7 +91,7 @@ def pair_breaches(pairs: DataFrame, claims: DataFrame, left_language: str, right
     ``pairs``: pair_id, left_id, right_id; ``claims``: claim_id, language, signature.
     """
     side = lambda s: claims.select(F.col("claim_id").alias(f"{s}_id"), F.col("language").alias(f"__{s}l"), F.col("signature").alias(f"__{s}s"))
-    x = spread_join(spread_join(pairs, side("left"), ["left_id"]), side("right"), ["right_id"])
+    x = spread_joins(pairs, (side("left"), ["left_id"], "left"), (side("right"), ["right_id"], "left"))
     both = F.col("__leftl").isNotNull() & F.col("__rightl").isNotNull()
     own = flagged(x, {
         "unknown_left": F.col("__leftl").isNull(), "unknown_right": F.col("__rightl").isNull(),
