@@ -11,7 +11,6 @@ from tallyline.catalog.sqlviews import ARTIFACTS, DEPS, EVENTS, RUNS, TASKS, w
 from tallyline.operators.scan import rcount, running
 from tallyline.plans import conservation as cv
 
-R, T = F.col("run_id"), F.col("task_id")
 L = F.lit
 DEADLINE = 40 * 86_400_000
 
@@ -28,7 +27,7 @@ def _schedule(spark, d):
     runs = e.groupBy("run_id").agg(
         F.max("end_ms").alias("makespan"), F.sum("tokens").alias("total_tokens"), (F.sum("cost") + F.when(F.first("run_id") % 71 == 0, 1).otherwise(0)).alias("total_cost"),
         F.sum("context").alias("total_context"), (F.pow(L(0.99), n) + F.when(F.first("run_id") % 89 == 0, 0.1).otherwise(0.0)).alias("success_probability")).join(cap, "run_id")
-    runs = runs.select("*", (R % 67 != 0).alias("success"), L(0).cast("long").alias("model_bound"), L(DEADLINE).cast("long").alias("deadline_ms"), L(300).alias("max_tokens"),
+    runs = runs.select("*", (F.col("run_id") % 67 != 0).alias("success"), L(0).cast("long").alias("model_bound"), L(DEADLINE).cast("long").alias("deadline_ms"), L(300).alias("max_tokens"),
                        L(10**9).alias("max_context"), L(3).cast("long").alias("max_parallelism"), L(0.95).alias("success_floor"))
     return e, runs
 
@@ -54,20 +53,20 @@ FROM g, c""")
 def conservation_report(spark, d):
     e, runs = _schedule(spark, d)
     profiles = e.select("run_id", "task_id", L("p").alias("name"), "provider", (F.col("end_ms") - F.col("start_ms")).alias("p95"), "tokens",
-                        (F.col("cost") + F.when(R % 61 == 0, 1).otherwise(0)).alias("cost"), "context", L(0.9).alias("quality"), L(0.01).alias("failure"))
-    tasks = e.select("run_id", "task_id", "optional", L(0.5).alias("min_quality"), L(None).cast("long").alias("deadline_ms"), F.concat(L("r"), (T % 3).cast("string")).alias("resource"), (T % 2 == 0).alias("writes"))
+                        (F.col("cost") + F.when(F.col("run_id") % 61 == 0, 1).otherwise(0)).alias("cost"), "context", L(0.9).alias("quality"), L(0.01).alias("failure"))
+    tasks = e.select("run_id", "task_id", "optional", L(0.5).alias("min_quality"), L(None).cast("long").alias("deadline_ms"), F.concat(L("r"), (F.col("task_id") % 3).cast("string")).alias("resource"), (F.col("task_id") % 2 == 0).alias("writes"))
     marks = F.array(*[F.struct(L(k).alias("kind"), F.col(c).alias("at"), L(o).alias("o")) for k, c, o in
                       (("profile.selected", "start_ms", 1), ("task.started", "start_ms", 2), ("task.completed", "end_ms", 3))])
     own = e.select("run_id", "task_id", F.explode(marks).alias("m")).select("run_id", "task_id", "m.*")
     least = e.groupBy("run_id").agg(F.min("task_id").alias("least"))
-    own = own.join(least, "run_id").where(~((R % 79 == 0) & (T == F.col("least")) & (F.col("kind") == "profile.selected"))).drop("least")
+    own = own.join(least, "run_id").where(~((F.col("run_id") % 79 == 0) & (F.col("task_id") == F.col("least")) & (F.col("kind") == "profile.selected"))).drop("least")
     ends = F.when(F.col("success"), "run.completed").otherwise("run.failed")
     bounds = runs.select("run_id", F.explode(F.array(F.struct(L(None).cast("long").alias("task_id"), L("run.started").alias("kind"), L(0).cast("long").alias("at"), L(0).alias("o")),
-                                                     F.struct(F.when(R % 103 == 0, 1).cast("long").alias("task_id"), ends.alias("kind"), F.col("makespan").alias("at"), L(9).alias("o")))).alias("m")).select("run_id", "m.*")
+                                                     F.struct(F.when(F.col("run_id") % 103 == 0, 1).cast("long").alias("task_id"), ends.alias("kind"), F.col("makespan").alias("at"), L(9).alias("o")))).alias("m")).select("run_id", "m.*")
     log = running(own.unionByName(bounds), ["run_id"], "at", {"sequence": rcount()}, tie=["o", "task_id"])
-    log = log.withColumn("sequence", F.col("sequence") + F.when(R % 73 == 0, 1).otherwise(0)).drop("o")
+    log = log.withColumn("sequence", F.col("sequence") + F.when(F.col("run_id") % 73 == 0, 1).otherwise(0)).drop("o")
     skipped = least.where("run_id % 83 = 0").select("run_id", F.col("least").alias("task_id"))
-    entries = e.withColumn("optional", F.when(R % 101 == 0, ~F.col("optional")).otherwise(F.col("optional")))
+    entries = e.withColumn("optional", F.when(F.col("run_id") % 101 == 0, ~F.col("optional")).otherwise(F.col("optional")))
     return cv.conservation_report(runs, tasks, profiles, fx.deps(spark, d), entries, log, skipped, fx.providers(spark, d).select("provider", "limit"))
 
 
@@ -83,11 +82,11 @@ def preflight_report(spark, d):
     from tallyline.operators import graph as gr
 
     t = fx.tasks(spark, d)
-    path = gr.critical_path(t.select("run_id", T.alias("node"), (F.col("end_ms") - F.col("start_ms")).alias("w")), _down(spark, d), ["run_id"], "w")
+    path = gr.critical_path(t.select("run_id", F.col("task_id").alias("node"), (F.col("end_ms") - F.col("start_ms")).alias("w")), _down(spark, d), ["run_id"], "w")
     g = t.groupBy("run_id").agg((F.max("end_ms") - F.min("start_ms")).alias("makespan"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.sum("context").alias("context"),
                                 F.pow(L(0.99), F.count("*")).alias("probability"), F.count_if(F.col("optional") & (F.col("tokens") % 5 == 0)).alias("skipped"))
     x = g.join(fx.runs(spark, d).select("run_id", F.col("cost_cap").alias("max_cost")), "run_id").join(path, "run_id").select(
-        "*", F.col("critical_path").alias("bound"), (R % 67 != 0).alias("success"), L(DEADLINE).alias("deadline_ms"), L(100).alias("max_tokens"), L(9000).alias("max_context"), L(0.95).alias("success_floor"))
+        "*", F.col("critical_path").alias("bound"), (F.col("run_id") % 67 != 0).alias("success"), L(DEADLINE).alias("deadline_ms"), L(100).alias("max_tokens"), L(9000).alias("max_context"), L(0.95).alias("success_floor"))
     return cv.preflight(x)
 
 
@@ -113,7 +112,7 @@ def physical_admission(spark, d):
                  F.col("tokens").alias("network_egress"), L(1).cast("long").alias("egress_cost"), F.col("tokens").alias("peak_memory"), F.col("cost").alias("peak_vram"), F.col("tokens").alias("bandwidth"),
                  (F.col("provider") % 50).alias("rtt"))
     caps = {"cpu_time": 1500, "storage_read": 9000, "storage_write": 0, "network_ingress": 12000, "network_egress": 200, "egress_cost": 4, "peak_memory": 120, "peak_vram": 20000000, "rtt": 45}
-    e = t.select("run_id").distinct().select("run_id", L(3).cast("long").alias("parallelism"), F.when(R % 37 == 0, 0).otherwise(1000).cast("long").alias("available_bandwidth"), L(100000).alias("deadline_ms"),
+    e = t.select("run_id").distinct().select("run_id", L(3).cast("long").alias("parallelism"), F.when(F.col("run_id") % 37 == 0, 0).otherwise(1000).cast("long").alias("available_bandwidth"), L(100000).alias("deadline_ms"),
                                              *[L(v).alias(f"max_{k}") for k, v in caps.items()])
     return cv.physical_admission(s, e, _down(spark, d))
 
@@ -132,7 +131,7 @@ def run_ledger_checks(spark, d):
     i = F.col("event_id")
     e = fx.events(spark, d).where("event_id % 211 <> 0").select(
         "run_id", F.col("run_id").alias("recorded_run"), "sequence", (i - F.when(i % 97 == 0, 1).otherwise(0)).alias("event_id"), "kind", F.col("units").alias("reserved"),
-        F.when(i % 79 == 0, F.col("units") + 1).otherwise(F.col("units")).alias("actual"), F.when(R % 7 == 0, "other").otherwise("m").alias("manifest"))
+        F.when(i % 79 == 0, F.col("units") + 1).otherwise(F.col("units")).alias("actual"), F.when(F.col("run_id") % 7 == 0, "other").otherwise("m").alias("manifest"))
     runs = e.select("run_id").distinct().select("run_id", L("m").alias("manifest"), L(500).alias("cap"))
     return checks(e, runs, "signup", ["error"], ["purchase"])
 

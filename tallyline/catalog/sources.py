@@ -111,7 +111,7 @@ def evidence_folder(spark, d):
     """Write an evidence folder, check it, then check it against a manifest with planted differences."""
     folder = fresh_dir(spark, "evidence")
     tables.write_evidence(fx.experiment(spark, d).select("seed", "fault", "policy", "tokens"), folder, ["seed", "fault", "policy"], 4)
-    clean = tables.verify_evidence(spark, folder).agg((F.count("*") == 0).alias("intact_before"))
+    clean = tables.verify_evidence(spark, folder).select(F.lit("before").alias("code"))
     m = tables.read_manifest(spark, folder)
     first = m.agg(F.min("name").alias("name"))
     last = m.agg(F.max("name").alias("name"))
@@ -119,9 +119,10 @@ def evidence_folder(spark, d):
         "name", "bytes", F.when(F.col("hit"), F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"))
     bent = bent.unionByName(last.select(F.concat("name", F.lit(".gone")).alias("name"), F.lit(1).cast("long").alias("bytes"), F.lit("0" * 64).alias("sha256")))
     found = tables.manifest_breaches(bent, tables.folder_manifest(spark, f"{folder}/records"), "name")
-    g = found.agg(*[F.count_if(F.col("code") == c).cast("int").alias(n) for c, n in
-                    (("digest_mismatch", "altered"), ("unknown_payload", "extra"), ("missing_payload", "missing"))])
-    return g.join(clean)
+    count = lambda c: F.count_if(F.col("code") == c).cast("int")
+    return found.select("code").unionByName(clean).agg(
+        count("digest_mismatch").alias("altered"), count("unknown_payload").alias("extra"), count("missing_payload").alias("missing"),
+        (count("before") == 0).alias("intact_before"))
 
 
 @query("append_once", "SELECT sha256(text) AS artifact_id, min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1 UNION ALL "

@@ -90,8 +90,8 @@ def stream_unknown_inflight(spark, d):
     live = e.select("run_id", F.col("event_id").alias("task_id"), F.when(F.col("kind") == "view", "dispatch").otherwise("tick").alias("op"), "units", "at_ms", "at", "at_us")
     done = live.where("op = 'dispatch' and task_id % 3 = 0").withColumns({
         "op": F.lit("settle"), "at_ms": F.col("at_ms") + 1800000, "at": F.col("at") + F.expr("interval 30 minutes"), "at_us": F.col("at_us") + 1800000000})
-    top = live.agg(F.max("at_us").alias("top"))
-    rows = live.unionByName(done.join(F.broadcast(top)).where("at_us <= top").drop("top"))
+    top = live.agg(F.max("at_us")).first()[0]
+    rows = live.unionByName(done.where(F.col("at_us") <= top))
     return jobs.drain(stateful.unknown_inflight(_log(spark, rows, "at_us"), "at", "1 hour", 7200000), "unknown")
 
 
