@@ -193,11 +193,12 @@ def gate_breaches(gates: DataFrame, artifacts: DataFrame, commit: str) -> DataFr
     return own.unionByName(lost.select("gate_id", F.lit("missing_artifact").alias("code")))
 
 
-def attestation_readiness(attestations: DataFrame, artifacts: DataFrame, gates: DataFrame,
+def attestation_readiness(attestations: DataFrame, artifacts: DataFrame, gate_refs: DataFrame,
                           rules: dict[str, dict], genuine: Sequence[str], as_of: Column, max_age: int) -> DataFrame:
     """Per required kind: is there a genuine, available, fresh attestation bound to its gate's evidence.
 
-    ``rules``: kind -> {"gate": id, "availability": [...], "classification": [...]}.
+    ``gate_refs``: gate_id, ref, one row per evidence reference; ``rules``: kind -> {"gate": id,
+    "availability": [...], "classification": [...]}.
     """
     rows = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.lit(r["gate"]).alias("gate_id"),
@@ -207,7 +208,7 @@ def attestation_readiness(attestations: DataFrame, artifacts: DataFrame, gates:
     ])
     spark = attestations.sparkSession
     need = spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
-    bound = gates.select("gate_id", F.explode("evidence").alias("ref")).distinct().withColumn("__bound", F.lit(True))
+    bound = gate_refs.select("gate_id", "ref").distinct().withColumn("__bound", F.lit(True))
     a = artifacts.select("ref", F.col("classification").alias("__class"))
     x = attestations.join(F.broadcast(need), "kind")
     x = spread_joins(x, (a, ["ref"], "left"), (bound, ["gate_id", "ref"], "left"))
