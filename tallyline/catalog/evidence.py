@@ -317,6 +317,30 @@ def envelope_checks(spark, d):
     return pol.envelope_checks(e, ["run_id"])
 
 
+@query("port_contract_checks", w(DEPS) + """
+, p AS (SELECT run_id, task_id, 'in-' || dep_id AS port, dep_id FROM deps)
+SELECT run_id, task_id, 'in' AS direction, port, 'untyped_port' AS code FROM p WHERE run_id % 61 = 0
+UNION ALL SELECT run_id, task_id, 'in', port, 'unbound_input' FROM p WHERE run_id % 67 = 0
+UNION ALL SELECT run_id, task_id, 'in', port, 'repeated_port' FROM p WHERE run_id % 71 = 0""")
+def port_contract_checks(spark, d):
+    r = F.col("run_id")
+    p = fx.deps(spark, d).select("run_id", "task_id", F.lit("in").alias("direction"), F.concat(F.lit("in-"), F.col("dep_id").cast("string")).alias("port"),
+                                 F.col("dep_id").alias("source_task"), F.when(r % 67 != 0, "out").alias("source_port"), F.when(r % 61 != 0, "s1").alias("type"))
+    again = p.where("run_id % 71 = 0").withColumns({"type": F.lit("s1"), "source_port": F.lit("out")})
+    return pol.port_contract_checks(p.unionByName(again), ["run_id", "task_id"])
+
+
+@query("requirement_checks", """
+SELECT o_orderkey AS run_id, 'unknown_cancellation' AS code FROM orders WHERE o_orderkey % 41 = 0
+UNION ALL SELECT o_orderkey, 'missing_flag' FROM orders WHERE o_orderkey % 43 = 0
+UNION ALL SELECT o_orderkey, 'negative_hidden_retries' FROM orders WHERE o_orderkey % 47 = 0""")
+def requirement_checks(spark, d):
+    r = F.col("run_id")
+    n = fx.runs(spark, d).select("run_id", F.when(r % 41 == 0, "maybe").otherwise("hard").alias("cancellation"), F.lit("receipt").alias("checkpoint"), F.lit("none").alias("usage"),
+                                 F.when(r % 43 != 0, True).alias("streaming"), F.lit(False).alias("fencing"), F.when(r % 47 == 0, -1).otherwise(2).alias("hidden_retries"))
+    return pol.requirement_checks(n, ["run_id"])
+
+
 @query("capability_breaches", w(ATTEMPTS) + """
 , t AS (SELECT DISTINCT run_id, task_id, provider FROM attempts WHERE run_id % 5 = 0),
 x AS (SELECT t.*, s_suppkey, s_suppkey % 3 AS canc, s_suppkey % 4 = 0 AS stream, s_suppkey % 5 AS retries FROM t

@@ -70,6 +70,34 @@ def envelope_checks(envelopes: DataFrame, keys: Sequence[str]) -> DataFrame:
     }, keys)
 
 
+def port_contract_checks(ports: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row checks of ports and uniqueness of their names per task and direction.
+
+    ``ports``: keys, direction (in / out), port, source_task, source_port, type.
+    """
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    inward = F.col("direction") == "in"
+    own = violations(ports, {
+        "unknown_direction": F.col("direction").isin("in", "out"),
+        "unnamed_port": said("port"),
+        "untyped_port": said("type"),
+        "unbound_input": ~inward | (F.col("source_task").isNotNull() & said("source_port")),
+    }, [*keys, "direction", "port"])
+    twice = ports.groupBy(*keys, "direction", "port").agg(F.count("*").alias("n")).where("n > 1")
+    return own.unionByName(twice.select(*keys, "direction", "port", F.lit("repeated_port").alias("code")))
+
+
+def requirement_checks(needs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row checks of adapter requirements: known levels, non-negative hidden retries."""
+    return violations(needs, {
+        "unknown_cancellation": F.col("cancellation").isin(list(CANCELLATION)),
+        "unknown_checkpoint": F.col("checkpoint").isin(list(CHECKPOINT)),
+        "unknown_usage": F.col("usage").isin(list(USAGE)),
+        "missing_flag": F.col("streaming").isNotNull() & F.col("fencing").isNotNull(),
+        "negative_hidden_retries": F.col("hidden_retries") >= 0,
+    }, keys)
+
+
 def port_breaches(inputs: DataFrame, outputs: DataFrame, tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Consumer ports against producer ports, first problem by precedence.
 
