@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyline.catalog import fixtures as fx
@@ -10,7 +11,7 @@ from tallyline.catalog.sqlviews import ARTIFACTS, ATTEMPTS, CLAIMS, DEPS, EVENTS
 from tallyline.functions.columns import is_fresh, scoped_key, seal, short_identity
 from tallyline.operators import evidence as evd
 from tallyline.operators import policy as pol
-from tallyline.operators.checks import dangling, flagged
+from tallyline.operators.checks import dangling, flagged, validate_outputs
 
 AS_OF = 500
 
@@ -612,3 +613,16 @@ def snapshot_checks(spark, d):
         F.array(lit("rpm"), F.when(i % 19 == 0, "API_KEY").otherwise("tpm")).alias("keys"),
     )
     return pol.snapshot_checks(s, ["snapshot"])
+
+
+@query("validate_outputs", """
+SELECT p_partkey AS profile, 'output_validation_failed' AS code FROM part WHERE p_size % 7 = 3 OR p_partkey % 53 = 0""")
+def validate_outputs_query(spark, d):
+    """A caller's vectorised validator; a NULL output gives no verdict and is refused."""
+    @F.pandas_udf("boolean")
+    def accepts(size: pd.Series) -> pd.Series:
+        return size % 7 != 3
+
+    out = F.when(F.col("p_partkey") % 53 != 0, F.col("p_size"))
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("profile"), out.alias("size"))
+    return validate_outputs(p, F.col("size").isNotNull() & accepts("size"), ["profile"])

@@ -58,3 +58,9 @@ def transition_breaches(df: DataFrame, state: str, previous: str, legal: dict[st
     for source, targets in legal.items():
         ok = ok | ((F.col(previous) == source) & F.col(state).isin(list(targets)))
     return df.where(~holds(ok))
+
+
+def validate_outputs(df: DataFrame, accepts: Column, keys: Sequence[str]) -> DataFrame:
+    """Rows a caller's validator refuses; ``accepts`` is any boolean column, a built-in expression or a
+    pandas UDF applied to the output columns. An unknown verdict refuses."""
+    return df.where(~holds(accepts)).select(*keys, F.lit("output_validation_failed").alias("code"))
