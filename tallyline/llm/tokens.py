@@ -43,7 +43,7 @@ def _splits_letters_whole(tokenizer) -> bool:
 class Encoder(dict):
     """piece -> little-endian unsigned 32-bit ids; at most ``limit`` pieces are held."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
