@@ -9,9 +9,14 @@ below 1e-9; sets of up to K values are retained whole and share a certain number
 ordered rarest first, two linked sketches have a value in common among the first few (size - shared + 1): only these
 go into the inverted lists, and values that a single class holds are dropped.
 
-1. Every list links its members to its first member; the sketch estimate filters, the full sets decide.
-2. Lists that lie in one component then are done: their further pairs cannot change a component.  In the others
-   all pairs of members of different components are estimated and decided.
+1. A list's leader is its most central member (the one whose values are held by the most classes).  Every member is
+   compared with its leaders: the sketch estimate filters, the full sets decide and give the difference from the leader.
+2. Lists that lie in one component are done: their further pairs cannot change a component.
+3. Of two members x, y near one leader c, with r removed and a added shingles, the sets share |c| - r(x) - r(y) + s, where s
+   is the number of differences they have in common.  A link of an x that c does not link needs s > (5 r(y) + 4 a(y)) / 9,
+   so more than about half of y's differences: x and y meet in inverted lists of the rarest of these, and s decides.
+   Members that c links need no test among themselves.
+4. Members far from a list's leader are compared with the list's members of other components one by one.
 """
 
 from __future__ import annotations
@@ -80,50 +85,90 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(v, node, n): the inverted lists of the values that can be the common one of two linked sketches."""
+    """(v, node, n, central): the inverted lists of the values that can be the common one of two linked sketches."""
     values = classes.select("node", "n", F.explode("sketch").alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(counts, "v")
     need = F.when(100 * F.col("n") < PERCENT * K, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
     size = F.least(F.col("n"), F.lit(K))
     w = Window.partitionBy("node")  # at most K rows
-    ranked = shared.select("v", "node", "n", F.row_number().over(w.orderBy("df", "v")).alias("rank"), F.count("*").over(w).alias("have"))
-    return ranked.where(F.col("rank") <= size - need + 1 - (size - F.col("have"))).select("v", "node", "n")
+    ranked = shared.select(
+        "v", "node", "n", F.row_number().over(w.orderBy("df", "v")).alias("rank"), F.count("*").over(w).alias("have"),
+        (F.sum(F.log2("df")).over(w) / size).alias("central"),
+    )
+    return ranked.where(F.col("rank") <= size - need + 1 - (size - F.col("have"))).select("v", "node", "n", "central")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and union sketch allow the similarity."""
+    """Pairs (a, b) whose union sketch allows the similarity, with the sizes of both."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    whole = F.greatest("na", "nb") <= K  # both sets are retained whole: the sketches decide
-    least = F.when(whole, 100 * F.size(F.array_intersect("sa", "sb")) >= PERCENT * F.size(F.array_union("sa", "sb"))).otherwise(shared * K >= SHARED * F.size(union))
-    return both.where(least).select("a", "b")
+    return both.where(shared * K >= SHARED * F.size(union)).select("a", "b", "na", "nb")
+
 
+def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, linked, r, added, diff of the estimated pairs: b's set against a's.
 
-def _decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets have the similarity."""
-    pairs = durable(_estimated(pairs, classes))
+    r shingles of a are not in b, ``added`` of b are not in a; diff has both, told apart.
+    """
+    pairs = durable(pairs)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     where = classes.join(nodes, "node").select("node", "doc_id", "text_hash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    found = durable(texts.join(where, ["text_hash", "doc_id"]).groupBy("node").agg(F.first("text").alias("text")))
+    found = durable(texts.join(where, (texts["text_hash"] == where["text_hash"]) & texts["doc_id"].eqNullSafe(where["doc_id"])).groupBy("node").agg(F.first("text").alias("text")))
     both = pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, left = WordHashes(), None, None
         for batch in batches:
-            keep = []
+            linked, gone, new, diffs = [], [], [], []
             for a, ta, tb in zip(batch["a"].to_pylist(), text_bytes(batch["ta"]), text_bytes(batch["tb"]), strict=True):
                 if a != last:
                     last, left = a, shingles(ta, hashes)
                 right = shingles(tb, hashes)
-                common = len(left) + len(right) - len(np.union1d(left, right))
-                keep.append(100 * common >= PERCENT * (len(left) + len(right) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                removed, added = np.setdiff1d(left, right, assume_unique=True), np.setdiff1d(right, left, assume_unique=True)
+                common = len(left) - len(removed)
+                linked.append(100 * common >= PERCENT * (len(right) + len(removed)))
+                gone.append(len(removed))
+                new.append(len(added))
+                diffs.append(np.concatenate([removed, ~added]))
+            ends = np.cumsum([0, *map(len, diffs)], dtype=np.int32)
+            flat = np.concatenate(diffs) if diffs else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "a": batch["a"], "b": batch["b"], "na": batch["na"], "nb": batch["nb"], "linked": pa.array(linked, pa.bool_()), "r": pa.array(gone, pa.int64()),
+                "added": pa.array(new, pa.int64()), "diff": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+            })
 
-    return durable(arrow_map(both.select("a", "b", "ta", "tb"), decide, "a long, b long"))
+    return durable(arrow_map(both.select("a", "b", "na", "nb", "ta", "tb"), compare, "a long, b long, na long, nb long, linked boolean, r long, added long, diff array<long>"))
+
+
+def _by_difference(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) of members near one leader that lie in different components."""
+    placed = _rooted(_rooted(stars, roots, "a", "ra"), roots, "b", "rb")
+    placed = durable(placed.select("a", "b", "na", "nb", "r", "added", "diff", "rb", (~F.col("linked") & (F.col("ra") != F.col("rb"))).alias("loose")))
+    open_ = placed.where("loose").select("a").distinct()
+    members = durable(placed.join(open_, "a", "left_semi"))
+    parts = members.select("a", "b", "na", "nb", "r", "added", "loose", F.size("diff").alias("size"), F.explode("diff").alias("e"))
+    shared = parts.join(parts.groupBy("a", "e").agg(F.count("*").alias("df")).where("df > 1"), ["a", "e"])
+    w = Window.partitionBy("a", "b")  # the differences of one member
+    ranked = shared.withColumn("rank", F.row_number().over(w.orderBy("df", "e"))).withColumn("alone", F.col("size") - F.count("*").over(w))
+    place = F.col("rank") + F.col("alone")
+    asks = F.greatest(F.lit(1), F.ceil((4 * (F.col("nb") + F.col("na")) - 9 * F.col("na") + 9 * F.col("r")) / 9))
+    gives = F.floor((5 * F.col("r") + 4 * F.col("added")) / 9) + 1
+    ranked = durable(ranked.select("a", "e", "b", (F.col("loose") & (place <= F.col("size") - asks + 1)).alias("x"), (place <= F.col("size") - gives + 1).alias("y")).where("x or y"))
+    pairs = ranked.where("x").select("a", "e", F.col("b").alias("bx")).join(ranked.where("y").select("a", "e", F.col("b").alias("by")), ["a", "e"])
+    pairs = pairs.where("bx <> by").select("a", F.least("bx", "by").alias("bx"), F.greatest("bx", "by").alias("by")).distinct()
+    side = lambda x: members.select("a", F.col("b").alias(f"b{x}"), F.col("nb").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("diff").alias(f"d{x}"), F.col("rb").alias(f"root{x}"), *(["na"] if x == "x" else []))
+    both = pairs.join(side("x"), ["a", "bx"]).join(side("y"), ["a", "by"]).where("rootx <> rooty")
+    common = F.col("na") - F.col("rx") - F.col("ry") + F.size(F.array_intersect("dx", "dy"))
+    return durable(both.where(100 * common >= PERCENT * (F.col("nx") + F.col("ny") - common)).select(F.col("bx").alias("a"), F.col("by").alias("b")).distinct())
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    found = roots.select(F.col("node").alias(node), F.col("root").alias("__root"))
+    return rows.join(found, node, "left").withColumn(root, F.coalesce("__root", node)).drop("__root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -139,20 +184,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("n_shingles").alias("n"), "doc_id", "text_hash", "sketch")
     )
     lists = durable(_lists(classes))
-    first = lists.groupBy("v").agg(F.min("node").alias("a"))
-    tried = durable(lists.join(first, "v").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    links = _decided(tried, classes, docs)
+    leaders = lists.groupBy("v").agg(F.max(F.struct("central", "node"))["node"].alias("a"))
+    led = durable(lists.join(leaders, "v").select("v", "a", F.col("node").alias("b"), "n"))
+    stars = _compared(_estimated(led.where("a <> b").select("a", "b").distinct(), classes), classes, docs)
+    links = stars.where("linked").select("a", "b")
+    roots = durable(components(links))
+    links = links.unionByName(_by_difference(stars, roots))
     roots = durable(components(links))
-    placed = lists.join(roots, "node", "left").select("v", "node", "n", F.coalesce("root", "node").alias("root"))
-    placed = durable(placed)
-    mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
-    open_lists = durable(placed.join(mixed, "v"))
-    left = open_lists.select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = open_lists.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    near = stars.select("a", "b", F.lit(True).alias("near"))
+    placed = durable(_rooted(led, roots, "b", "root").join(near, ["a", "b"], "left").select("v", F.col("b").alias("node"), "n", "root", (F.col("near").isNotNull() | (F.col("a") == F.col("b"))).alias("near")))
+    mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("near").alias("all_near")).where("lo <> hi and not all_near").select("v")
+    open_lists = durable(placed.join(mixed, "v", "left_semi"))
+    left = open_lists.where("not near").select("v", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    right = open_lists.select("v", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
     rest = left.join(right, "v").where(
-        (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    ).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = _decided(rest, classes, docs)
+        (F.col("x") != F.col("y")) & (F.col("rx") != F.col("ry")) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
+    ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = _compared(_estimated(rest, classes), classes, docs).where("linked").select("a", "b")
     roots = durable(components(links.unionByName(more)))
     of_class = classes.join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
     joined = rows.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
