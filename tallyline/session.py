@@ -24,12 +24,18 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one only where none is configured (tests)."""
+    """The folder every executor can reach.  Where none is configured, a temporary one under a local master, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not folder:
+        if not _one_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="tallyline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

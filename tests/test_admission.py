@@ -154,3 +154,12 @@ def test_quota_refund_only_inside_its_window(spark):
         got = {r.call: r.admitted for r in lg.quota_admission(calls, back, "provider", "seq", "call", "at", 100, 9, 100, bound).collect()}
         assert got == {1: True, 2: True, 3: False, 4: True}
     assert F is not None
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_null_amounts_are_refused(spark, bound):
+    big = 2**53
+    asks = spark.createDataFrame([(1, 1, 1, big + 1, big), (1, 2, 2, None, big), (1, 3, 3, 5, None), (1, 4, 4, big, big)], "k int, pos long, item long, amount long, cap long")
+    frees = spark.createDataFrame([(1, 5, 4, None)], "k int, pos long, item long, amount long")
+    got = {r["item"]: r["admitted"] for r in admit(asks, frees, ["k"], "pos", "item", ["amount"], ["cap"], bound=bound).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True}
