@@ -14,7 +14,8 @@ go into the inverted lists, and values that a single class holds are dropped.
 2. Lists that lie in one component are done: their further pairs cannot change a component.
 3. Of two members x, y near one leader c, with r removed and a added shingles, the sets share |c| - r(x) - r(y) + s, where s
    is the number of differences they have in common.  A link of an x that c does not link needs s > (5 r(y) + 4 a(y)) / 9,
-   so more than about half of y's differences: x and y meet in inverted lists of the rarest of these, and s decides.
+   so more than about half of y's differences: x and y meet in inverted lists of the rarest of these, in components that
+   differ, where both still have enough differences left at the first one they share; s decides.
    Members that c links need no test among themselves.
 4. Members far from a list's leader are compared with the list's members of other components one by one.
 """
@@ -150,16 +151,21 @@ def _by_difference(stars: DataFrame, roots: DataFrame) -> DataFrame:
     placed = durable(placed.select("a", "b", "na", "nb", "r", "added", "diff", "rb", (~F.col("linked") & (F.col("ra") != F.col("rb"))).alias("loose")))
     open_ = placed.where("loose").select("a").distinct()
     members = durable(placed.join(open_, "a", "left_semi"))
-    parts = members.select("a", "b", "na", "nb", "r", "added", "loose", F.size("diff").alias("size"), F.explode("diff").alias("e"))
+    parts = members.select("a", "b", "na", "nb", "r", "added", "rb", "loose", F.size("diff").alias("size"), F.explode("diff").alias("e"))
     shared = parts.join(parts.groupBy("a", "e").agg(F.count("*").alias("df")).where("df > 1"), ["a", "e"])
     w = Window.partitionBy("a", "b")  # the differences of one member
     ranked = shared.withColumn("rank", F.row_number().over(w.orderBy("df", "e"))).withColumn("alone", F.col("size") - F.count("*").over(w))
     place = F.col("rank") + F.col("alone")
     asks = F.greatest(F.lit(1), F.ceil((4 * (F.col("nb") + F.col("na")) - 9 * F.col("na") + 9 * F.col("r")) / 9))
     gives = F.floor((5 * F.col("r") + 4 * F.col("added")) / 9) + 1
-    ranked = durable(ranked.select("a", "e", "b", (F.col("loose") & (place <= F.col("size") - asks + 1)).alias("x"), (place <= F.col("size") - gives + 1).alias("y")).where("x or y"))
-    pairs = ranked.where("x").select("a", "e", F.col("b").alias("bx")).join(ranked.where("y").select("a", "e", F.col("b").alias("by")), ["a", "e"])
-    pairs = pairs.where("bx <> by").select("a", F.least("bx", "by").alias("bx"), F.greatest("bx", "by").alias("by")).distinct()
+    facts = ("a", "e", "b", "rb", "nb", "na", "r", "loose", (F.col("size") - place + 1).alias("rest"))
+    ranked = durable(ranked.select(*facts, (F.col("loose") & (place <= F.col("size") - asks + 1)).alias("x"), (place <= F.col("size") - gives + 1).alias("y")).where("x or y"))
+    sided = lambda x: ranked.where(x).select("a", "e", *(F.col(c).alias(c + x) for c in ("b", "rb", "nb", "r", "rest", "loose")), *(["na"] if x == "x" else []))
+    # at the first difference two members share, neither has more left than what follows it: too few left, no link
+    left = 9 * F.least("restx", "resty") >= 4 * (F.col("nbx") + F.col("nby")) + 9 * (F.col("rx") + F.col("ry") - F.col("na"))
+    once = ~F.col("loosey") | (F.col("bx") < F.col("by"))
+    pairs = sided("x").join(sided("y"), ["a", "e"]).where((F.col("bx") != F.col("by")) & (F.col("rbx") != F.col("rby")) & once & left)
+    pairs = pairs.select("a", F.least("bx", "by").alias("bx"), F.greatest("bx", "by").alias("by")).distinct()
     side = lambda x: members.select("a", F.col("b").alias(f"b{x}"), F.col("nb").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("diff").alias(f"d{x}"), F.col("rb").alias(f"root{x}"), *(["na"] if x == "x" else []))
     both = pairs.join(side("x"), ["a", "bx"]).join(side("y"), ["a", "by"]).where("rootx <> rooty")
     common = F.col("na") - F.col("rx") - F.col("ry") + F.size(F.array_intersect("dx", "dy"))
