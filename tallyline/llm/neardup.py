@@ -17,7 +17,9 @@ go into the inverted lists, and values that a single class holds are dropped.
    so more than about half of y's differences: x and y meet in inverted lists of the rarest of these, in components that
    differ, where both still have enough differences left at the first one they share; s decides.
    Members that c links need no test among themselves.
-4. Members far from a list's leader are compared with the list's members of other components one by one.
+4. Members far from a list's leader are compared with the list's members of other components one by one.  They meet only
+   where 512-bit maps of the sketches leave room for the shared values that the sketch estimate asks for: each bit that
+   only one map has stands for a value that the other sketch lacks.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import arrow_map, base, durable, space_words, text_bytes
@@ -35,6 +37,7 @@ from tallyline.llm.components import components
 
 K, SHARED = 48, 20
 PERCENT = 80
+MAPS = 8  # 64-bit words of a sketch's bit map
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 LIMIT = 400_000
 
@@ -100,6 +103,19 @@ def _lists(classes: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= size - need + 1 - (size - F.col("have"))).select("v", "node", "n", "central")
 
 
+def _maps(side: str) -> list[Column]:
+    """The words of the bit map of ``sketch``."""
+    word = "aggregate(sketch, 0L, (m, v) -> if((v & {last}) = {w}, m | shiftleft(1L, CAST(shiftright(v, 3) & 63 AS INT)), m)) AS m{w}{side}"
+    return [F.expr(word.format(last=MAPS - 1, w=w, side=side)) for w in range(MAPS)]
+
+
+def _room(x: str, y: str) -> Column:
+    """Whether the maps allow as many shared values of x's sketch as the estimate asks for."""
+    size = lambda z: F.least(F.col(f"n{z}"), F.lit(K))
+    lacking = sum((F.bit_count(F.col(f"m{w}{x}").bitwiseAND(F.bitwise_not(f"m{w}{y}"))) for w in range(MAPS)), F.lit(0))
+    return (size(x) - lacking) * K >= SHARED * F.greatest(size(x), size(y))
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose union sketch allows the similarity, with the sizes of both."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -201,10 +217,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = durable(_rooted(led, roots, "b", "root").join(near, ["a", "b"], "left").select("v", F.col("b").alias("node"), "n", "root", (F.col("near").isNotNull() | (F.col("a") == F.col("b"))).alias("near")))
     mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("near").alias("all_near")).where("lo <> hi and not all_near").select("v")
     open_lists = durable(placed.join(mixed, "v", "left_semi"))
-    left = open_lists.where("not near").select("v", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    right = open_lists.select("v", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    open_nodes = classes.join(open_lists.select("node").distinct(), "node")
+    side = lambda x: open_nodes.select(F.col("node").alias(x), *_maps(x))
+    left = open_lists.where("not near").select("v", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(side("x"), "x")
+    right = open_lists.select("v", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")).join(side("y"), "y")
     rest = left.join(right, "v").where(
-        (F.col("x") != F.col("y")) & (F.col("rx") != F.col("ry")) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
+        (F.col("x") != F.col("y")) & (F.col("rx") != F.col("ry")) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & _room("x", "y") & _room("y", "x")
     ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = _compared(_estimated(rest, classes), classes, docs).where("linked").select("a", "b")
     roots = durable(components(links.unionByName(more)))
