@@ -206,15 +206,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("n_shingles").alias("n"), "doc_id", "text_hash", "sketch")
     )
     lists = durable(_lists(classes))
-    leaders = lists.groupBy("v").agg(F.max(F.struct("central", "node"))["node"].alias("a"))
-    led = durable(lists.join(leaders, "v").select("v", "a", F.col("node").alias("b"), "n"))
-    stars = _compared(_estimated(led.where("a <> b").select("a", "b").distinct(), classes), classes, docs)
+    leaders = lists.groupBy("v").agg(F.max(F.struct("central", "node", "n")).alias("top")).select("v", F.col("top.node").alias("a"), F.col("top.n").alias("na"))
+    led = durable(lists.join(leaders, "v").where("node != a").select("v", "a", F.col("node").alias("b"), "n", "na"))
+    stars = _compared(_estimated(led.select("a", "b").distinct(), classes), classes, docs)
     links = stars.where("linked").select("a", "b")
     roots = durable(components(links))
     links = links.unionByName(_by_difference(stars, roots))
     roots = durable(components(links))
     near = stars.select("a", "b", F.lit(True).alias("near"))
-    placed = durable(_rooted(led, roots, "b", "root").join(near, ["a", "b"], "left").select("v", F.col("b").alias("node"), "n", "root", (F.col("near").isNotNull() | (F.col("a") == F.col("b"))).alias("near")))
+    # a leader has met its whole list, so only pairs of two other members are open; a list of two is done
+    placed = durable(_rooted(led, roots, "b", "root").join(near, ["a", "b"], "left").select("v", F.col("b").alias("node"), "n", "root", F.col("near").isNotNull().alias("near")))
     mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("near").alias("all_near")).where("lo <> hi and not all_near").select("v")
     open_lists = durable(placed.join(mixed, "v", "left_semi"))
     open_nodes = classes.join(open_lists.select("node").distinct(), "node")
