@@ -10,7 +10,8 @@ ordered rarest first, two linked sketches have a value in common among the first
 go into the inverted lists, and values that a single class holds are dropped.
 
 1. A list's leader is its most central member (the one whose values are held by the most classes).  Every member is
-   compared with its leaders: the sketch estimate filters, the full sets decide and give the difference from the leader.
+   compared with its leaders of a size near enough for the sketch estimate, which filters; the full sets decide and give
+   the difference from the leader.
 2. Lists that lie in one component are done: their further pairs cannot change a component.
 3. Of two members x, y near one leader c, with r removed and a added shingles, the sets share |c| - r(x) - r(y) + s, where s
    is the number of differences they have in common.  A link of an x that c does not link needs s > (5 r(y) + 4 a(y)) / 9,
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = durable(_lists(classes))
     leaders = lists.groupBy("v").agg(F.max(F.struct("central", "node", "n")).alias("top")).select("v", F.col("top.node").alias("a"), F.col("top.n").alias("na"))
     led = durable(lists.join(leaders, "v").where("node != a").select("v", "a", F.col("node").alias("b"), "n", "na"))
-    stars = _compared(_estimated(led.select("a", "b").distinct(), classes), classes, docs)
+    stars = _compared(_estimated(led.where(K * F.least("n", "na") >= SHARED * F.greatest("n", "na")).select("a", "b").distinct(), classes), classes, docs)
     links = stars.where("linked").select("a", "b")
     roots = durable(components(links))
     links = links.unionByName(_by_difference(stars, roots))
