@@ -28,8 +28,22 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         edges = durable(_star(durable(_star(edges, True)), False))
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             break
         seen = mark
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of ``roots`` after more ``links`` (a, b).
+
+    Links are moved to the roots of their ends, so only components that they join are walked; a root is the smallest
+    node of its component, and so is the smallest of joined roots.
+    """
+    found = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    moved = links.select("a", "b").join(found("a"), "a", "left").join(found("b"), "b", "left")
+    merged = durable(components(moved.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+    led = merged.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+    known = roots.join(led, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+    return known.unionByName(merged.join(roots, "node", "left_anti"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import arrow_map, base, durable, space_words, text_bytes
-from tallyline.llm.components import components
+from tallyline.llm.components import components, extended
 
 K, SHARED = 48, 20
 PERCENT = 80
@@ -210,10 +210,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = lists.groupBy("v").agg(F.max(F.struct("central", "node", "n")).alias("top")).select("v", F.col("top.node").alias("a"), F.col("top.n").alias("na"))
     led = durable(lists.join(leaders, "v").where("node != a").select("v", "a", F.col("node").alias("b"), "n", "na"))
     stars = _compared(_estimated(led.where(K * F.least("n", "na") >= SHARED * F.greatest("n", "na")).select("a", "b").distinct(), classes), classes, docs)
-    links = stars.where("linked").select("a", "b")
-    roots = durable(components(links))
-    links = links.unionByName(_by_difference(stars, roots))
-    roots = durable(components(links))
+    roots = durable(components(stars.where("linked").select("a", "b")))
+    roots = durable(extended(roots, _by_difference(stars, roots)))
     near = stars.select("a", "b", F.lit(True).alias("near"))
     # a leader has met its whole list, so only pairs of two other members are open; a list of two is done
     placed = durable(_rooted(led, roots, "b", "root").join(near, ["a", "b"], "left").select("v", F.col("b").alias("node"), "n", "root", F.col("near").isNotNull().alias("near")))
@@ -227,7 +225,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         (F.col("x") != F.col("y")) & (F.col("rx") != F.col("ry")) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & _room("x", "y") & _room("y", "x")
     ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = _compared(_estimated(rest, classes), classes, docs).where("linked").select("a", "b")
-    roots = durable(components(links.unionByName(more)))
+    roots = durable(extended(roots, more))
     of_class = classes.join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
     joined = rows.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     joined = durable(joined)
