@@ -62,8 +62,8 @@ def evidence_causality(uses: DataFrame, artifacts: DataFrame, keys: Sequence[str
     a = artifacts.select(*keys, ref, F.col("produced_at").alias("__p"), F.col("created").alias("__c"),
                          F.col("fresh_until").alias("__f"), F.lit(True).alias("__known"))
     x = spread_join(uses, a, [*keys, ref])
-    late = F.coalesce(F.col("__p"), F.lit(10**18))
-    late = (late >= F.col(position)) if strict else (late > F.col(position))
+    late = (F.col("__p") >= F.col(position)) if strict else (F.col("__p") > F.col(position))
+    late = F.col("__p").isNull() | late  # no producing event: never produced before a use
     code = (
         F.when(F.col("__known").isNull(), "missing_evidence_artifact")
         .when(late, "evidence_causality_violation")
@@ -83,7 +83,7 @@ def lineage_order(artifacts: DataFrame, events: DataFrame, ref: str, parents: st
     up = x.select(F.col(ref).alias("__parent"), F.col("__pos").alias("__theirs"), F.lit(True).alias("__known"))
     y = spread_join(links, up, ["__parent"])
     code = F.when(F.col("__known").isNull(), "missing_artifact_parent").when(
-        F.coalesce("__theirs", F.lit(10**18)) >= F.coalesce("__mine", F.lit(-1)), "artifact_lineage_causality"
+        F.col("__theirs").isNull() | F.col("__mine").isNull() | (F.col("__theirs") >= F.col("__mine")), "artifact_lineage_causality"
     )
     return own.unionByName(y.select(ref, code.alias("code")).where("code is not null"))
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import ceil_div
 from tallyline.session import durable
 
-MAX_ROUNDS = 100_000
 COMPACT = 16
 
 
@@ -70,15 +69,22 @@ def levels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Own weight plus the heaviest chain of what follows along src -> dst; NULL on overflow.
 
-    ``nodes``: keys, node, weight; unknown edge ends are ignored.  Edges must be acyclic: check ``levels``.
+    ``nodes``: keys, node, weight; unknown edge ends are ignored.  Nodes on a cycle, or with one ahead of them, have no
+    heaviest chain: their rank is NULL, and the other nodes keep theirs.
     """
     keys = list(keys)
     w = nodes.select(*keys, F.col("node").alias("src"), F.col(weight).alias("__w"))
     ends = nodes.select(*keys, F.col("node").alias("dst"))
     hops = durable(edges.join(w, [*keys, "src"]).join(ends, [*keys, "dst"], "left_semi").distinct())
-    frontier = nodes.select(*keys, "node", F.col(weight).alias("rank"), F.col(weight).isNull().alias("bad"))
+    # against the edges, a node that reaches a cycle lies behind it and has no level
+    turned = levels(hops.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")), keys)
+    endless = durable(turned.where("level is null").select(*keys, "node"))
+    hops = hops.join(endless.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti")
+    lost = endless.select(*keys, "node", F.lit(True).alias("__endless"))
+    own = nodes.join(lost, [*keys, "node"], "left")
+    frontier = own.select(*keys, "node", F.col(weight).alias("rank"), (F.col(weight).isNull() | F.col("__endless").isNotNull()).alias("bad"))
     walks = [frontier]
-    for _ in range(MAX_ROUNDS):
+    while True:
         up = hops.join(frontier.withColumnRenamed("node", "dst"), [*keys, "dst"])
         step = F.try_add(F.col("__w"), F.col("rank"))
         frontier = durable(
@@ -91,7 +97,6 @@ def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], weight
         walks.append(frontier)
         if len(walks) > COMPACT:
             walks = [durable(_union(walks).groupBy(*keys, "node").agg(F.max("rank").alias("rank"), F.bool_or("bad").alias("bad")))]
-    raise ValueError("edges are cyclic")
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:

@@ -114,3 +114,18 @@ def test_bootstrap_is_deterministic(spark):
     a = st.bootstrap_ci(df, "k", "v", "i", "mean", 50, "x").collect()
     assert a == st.bootstrap_ci(df.repartition(3), "k", "v", "i", "mean", 50, "x").collect()
     assert a[0].low < 17 * 0.5 < a[0].high + 4 and a != st.bootstrap_ci(df, "k", "v", "i", "mean", 50, "y").collect()
+
+
+def test_longest_path_is_null_around_a_cycle(spark):
+    n = spark.createDataFrame([(1, x, 2) for x in "abcde"] + [(2, "a", 3), (2, "b", 4)], "r long, node string, w long")
+    e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "b"), (1, "c", "d"), (1, "d", "e"), (2, "a", "b")], "r long, src string, dst string")
+    got = {(r.r, r.node): r["rank"] for r in gr.longest_path(n, e, ["r"], "w").collect()}
+    assert got == {(1, "a"): None, (1, "b"): None, (1, "c"): None, (1, "d"): 4, (1, "e"): 2, (2, "a"): 7, (2, "b"): 4}
+
+
+def test_evidence_times_in_nanoseconds(spark):
+    at = 1_800_000_000_000_000_000
+    a = spark.createDataFrame([(1, "x", at - 5, at - 5, None), (1, "y", at + 5, at - 5, None), (1, "z", None, at - 5, None)], "k long, ref string, produced_at long, created long, fresh_until long")
+    uses = spark.createDataFrame([(1, 1, "x", at, at), (1, 2, "y", at, at), (1, 3, "z", at, at), (1, 4, "q", at, at)], "k long, i long, ref string, pos long, at long")
+    got = {r.i: r.code for r in evd.evidence_causality(uses, a, ["k"], ["i"], "ref", "pos", "at").collect()}
+    assert got == {2: "evidence_causality_violation", 3: "evidence_causality_violation", 4: "missing_evidence_artifact"}
