@@ -111,7 +111,7 @@ def cause_breaks(spark, d):
         arg_min(kind, sequence) AS first_kind, arg_max(kind, sequence) AS last_kind FROM ev WHERE k < 30 GROUP BY run_id)
 SELECT *, starts = 1 AND terminals = 1 AND first_kind = 'signup' AND last_kind IN ('purchase', 'error') AS passed FROM g""")
 def run_lifecycle(spark, d):
-    e = fx.events(spark, d).where("k < 30")
+    e = fx.events(spark, d)
     return ev.lifecycle(e, ["run_id"], "sequence", "kind", "at_ms", "signup", ["purchase", "error"])
 
 
@@ -439,7 +439,7 @@ SELECT a.provider, a.run_id, a.task_id, a.start_ms, a.end_ms, a.writes, count(*)
 def effect_serialization(spark, d):
     from tallyline.operators.intervals import conflicting_use
 
-    a = fx.attempts(spark, d).where("provider % 20 = 3").select(
+    a = fx.attempts(spark, d).select(
         "provider", "run_id", "task_id", "start_ms", "end_ms", (F.col("outcome") != "completed").alias("writes")
     )
     return conflicting_use(a, ["provider"], "start_ms", "end_ms", "writes", ["run_id", "task_id"])

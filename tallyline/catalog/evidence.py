@@ -354,7 +354,7 @@ UNION ALL SELECT run_id, task_id, provider, 'effect_undeclared' FROM x WHERE s_s
 def capability_breaches(spark, d):
     t = F.col("task_id")
     levels = lambda ranks, i: F.element_at(F.array(*[F.lit(k) for k in ranks]), (i + 1).cast("int"))
-    needs = fx.attempts(spark, d).where("run_id % 5 = 0").select("run_id", "task_id", "provider").distinct().select(
+    needs = fx.attempts(spark, d).select("run_id", "task_id", "provider").distinct().select(
         "*", levels(pol.CANCELLATION, t % 3).alias("cancellation"), F.lit("none").alias("checkpoint"), (t == 7).alias("streaming"),
         F.lit("none").alias("usage"), F.lit(False).alias("fencing"), F.lit(3).alias("hidden_retries"),
         F.when(t == 6, "irreversible_write").otherwise("read").alias("effect_kind"), F.col("provider").alias("adapter"),
