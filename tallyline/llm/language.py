@@ -1,8 +1,8 @@
 """Word language model: a weighted backoff automaton over all training texts.
 
 States are the empty context and every word that training has as a context; a state has an arc for each following
-word that training has twice or more after it, and a failure arc to the empty context with the weight that the arcs
-leave.  With absolute discounting
+word that training has after it (``least`` times or more), and a failure arc to the empty context with the weight that
+the arcs leave.  With absolute discounting (D from the pairs' counts of counts, n1 / (n1 + 2 n2), where all pairs are kept)
 
     P(w | h) = (c(h w) - D) / c(h) [arc]  +  backoff(h) * P1(w),    backoff(h) = 1 - sum of arcs (c(h w) - D) / c(h)
     P1(w) = (c(w) - D1) / N,  the unknown word has D1 * V / N
@@ -14,7 +14,7 @@ The counts are as large as the corpus and are never gathered.  Texts lie in bloc
 about a million words.  A block sends its distinct keys to the task of the key's hash range and gets the corpus
 counts of just these keys back:
 
-1. word pairs: block -> range: own count; range -> block: the corpus count where it is 2 or more;
+1. word pairs: block -> range: own count; range -> block: the corpus count where it is ``least`` or more;
 2. words: block -> range: own count and the discounted arcs it was made owner of; range -> block: count and backoff sum;
 3. the block has all states and arcs that its texts pass, and scores them.
 """
@@ -37,8 +37,7 @@ from tallyline.llm.neardup import WordHashes, _mixed, _MIX
 BLOCK_WORDS = 1_200_000
 RANGE_BYTES = 16_000_000  # text per hash range
 FOLDS, HELD_OUT = 7, 2
-LEAST = 2  # arcs have at least this count
-DISCOUNT = 0.8
+LEAST, DISCOUNT = 2, 0.8  # the pruned model that is the default of language_scores; the query takes all pairs
 END = np.uint64(0x5E5E5E5E5E5E5E5E)  # the end token; no word has this hash by more than chance
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -138,7 +137,12 @@ def _get(fs, path: str) -> bytes:
         return f.read()
 
 
-def score_block(block: Block, counts: np.ndarray, arc_sums: np.ndarray, pair_counts: np.ndarray, totals: dict[str, float]) -> tuple[np.ndarray, ...]:
+def discount_of(n1: float, n2: float) -> float:
+    """Absolute discount from the numbers of keys seen once and twice."""
+    return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+
+
+def score_block(block: Block, counts: np.ndarray, arc_sums: np.ndarray, pair_counts: np.ndarray, totals: dict[str, float], discount: float) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score, score of each text of the block.
 
     counts, arc_sums: per distinct word; pair_counts: per distinct pair, 0 where there is no arc.
@@ -146,21 +150,24 @@ def score_block(block: Block, counts: np.ndarray, arc_sums: np.ndarray, pair_cou
     n, v, n1, n2 = (totals[k] for k in ("n", "v", "n1", "n2"))
     starts = np.concatenate([[0], np.cumsum(block.lengths)[:-1]]).astype(np.int64)
     base_word = np.log10((counts + 1) / (n + v + 1))
-    d1 = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    d1 = discount_of(n1, n2)
     p1 = np.where(counts > 0, counts - d1, d1 * v) / n if n else np.ones(len(counts))
     _, pair, context_of = block.pairs()
     c = counts[context_of]
     with np.errstate(divide="ignore", invalid="ignore"):
         backoff = np.where(counts > 0, 1 - arc_sums / counts, 1.0)
-        arc = np.where((pair_counts > 0) & (c > 0), (pair_counts - DISCOUNT) / c, 0.0)
+        arc = np.where((pair_counts > 0) & (c > 0), (pair_counts - discount) / c, 0.0)
     log = np.log10(arc[pair] + backoff[block.before()] * p1[block.stream])
     known = (counts > 0)[block.stream]
     return block.lengths, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base_word[block.stream], starts), np.add.reduceat(log, starts)
 
 
-def language_scores(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def language_scores(docs: DataFrame, folder: str | None = None, least: int = LEAST, discount: float | None = DISCOUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
+    Word pairs that training has fewer than ``least`` times get no arc; 1 keeps every pair.  ``discount`` None: estimated
+    from the numbers of pairs seen once and twice in training.
+
     Null and empty texts are the end token alone; repeated rows are counted and scored each; a null doc_id is never held
     out; extra columns are not read; an empty table gives no rows.
     """
@@ -204,10 +211,13 @@ def language_scores(docs: DataFrame, folder: str | None = None) -> DataFrame:
         own = np.concatenate([spread(x, np.uint32) for x in pdf["v0"]])
         _, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.bincount(number.ravel(), weights=own).astype(np.uint64)
-        kept = np.where(total >= LEAST, total * np.uint64(2), np.uint64(0))[number.ravel()]
+        kept = np.where(total >= least, total * np.uint64(2), np.uint64(0))[number.ravel()]
         kept[first] |= (kept[first] > 0).astype(np.uint64)  # the first block with the pair owns its arc
         ends = np.cumsum([len(x) for x in keys])[:-1]
-        return pd.DataFrame({"part": pdf["part"].to_numpy(), "block": pdf["block"].to_numpy(), "values": [squeeze(x) for x in np.split(kept, ends)]})
+        none = np.zeros(len(pdf), np.int64)
+        out = pd.DataFrame({"part": pdf["part"].to_numpy(), "block": pdf["block"].to_numpy(), "values": [squeeze(x) for x in np.split(kept, ends)], "n1": none, "n2": none})
+        out.loc[out.index[0], ["n1", "n2"]] = [int((total == 1).sum()), int((total == 2).sum())]
+        return out
 
     def arcs(pdf: pd.DataFrame) -> pd.DataFrame:
         fs, root = open_store(folder)
@@ -217,7 +227,7 @@ def language_scores(docs: DataFrame, folder: str | None = None) -> DataFrame:
         _put(fs, f"{root}/{name}.arcs", squeeze(values >> np.uint64(1)))
         _, _, context_of = block.pairs()
         owned = (values & np.uint64(1)).astype(bool)
-        sums = np.bincount(context_of[owned], weights=(values[owned] >> np.uint64(1)) - DISCOUNT, minlength=len(block.words))
+        sums = np.bincount(context_of[owned], weights=(values[owned] >> np.uint64(1)) - discount, minlength=len(block.words))
         own = np.bincount(block.stream[block.in_training()], minlength=len(block.words)).astype(np.uint32)
         return _sent(name, block.words, ranges, own, sums).to_pandas()
 
@@ -241,8 +251,11 @@ def language_scores(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
     wide = 2 * ranges
     sent = arrow_map(slim, split, "part int, block string, keys binary, v0 binary")
-    counted = durable(sent.groupBy("part").applyInPandas(pair_counts, "part int, block string, values binary"))
-    again = counted.repartition(wide, "block").groupBy("block").applyInPandas(arcs, "part int, block string, keys binary, v0 binary, v1 binary")
+    counted = durable(sent.groupBy("part").applyInPandas(pair_counts, "part int, block string, values binary, n1 long, n2 long"))
+    if discount is None:
+        seen = counted.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+        discount = discount_of(float(seen["n1"] or 0), float(seen["n2"] or 0))
+    again = counted.select("part", "block", "values").repartition(wide, "block").groupBy("block").applyInPandas(arcs, "part int, block string, keys binary, v0 binary, v1 binary")
     words = durable(again.groupBy("part").applyInPandas(word_counts, "part int, block string, values binary, sums binary, n long, v long, n1 long, n2 long"))
     totals = {k: float(x or 0) for k, x in words.agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first().asDict().items()}
 
@@ -252,7 +265,7 @@ def language_scores(docs: DataFrame, folder: str | None = None) -> DataFrame:
         block = Block.load(_get(fs, f"{root}/{name}"))
         counts = np.concatenate([spread(x, np.uint64) for x in pdf["values"]]).astype(np.float64)
         sums = np.concatenate([spread(x, np.float64) for x in pdf["sums"]])
-        tokens, known, base_score, total = score_block(block, counts, sums, spread(_get(fs, f"{root}/{name}.arcs"), np.uint64).astype(np.float64), totals)
+        tokens, known, base_score, total = score_block(block, counts, sums, spread(_get(fs, f"{root}/{name}.arcs"), np.uint64).astype(np.float64), totals, discount)
         return pd.DataFrame({
             "doc_id": pd.array(np.where(block.null == 1, 0, block.docs), "Int64").copy() if not block.null.any() else pd.array([None if z else d for d, z in zip(block.docs.tolist(), block.null.tolist(), strict=True)], "Int64"),
             "held_out": block.held.astype(bool), "n_tokens": tokens, "n_known": known, "train_tokens": int(totals["n"]), "base_score": base_score, "score": total,

@@ -45,7 +45,7 @@ def op6_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language_scores(table(spark, sf_dir, "documents"))
+    return language.language_scores(table(spark, sf_dir, "documents"), least=1, discount=None)
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
