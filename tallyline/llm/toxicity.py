@@ -32,11 +32,17 @@ CLASSES = len(EDGES) + 1
 _EDGES = EDGES.tolist()
 PAD = 0
 LIMIT = 300_000  # words whose class a worker keeps
+LONG = 40  # bytes of a word above which its n-grams are kept once
+
+
+def each_gram(word: bytes) -> Iterator[bytes]:
+    w = b"<" + word + b">"
+    return (w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))
 
 
 def grams(word: bytes) -> list[bytes]:
-    w = b"<" + word[:40] + b">"
-    return [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+    """N-grams of the whole word; of a long one each once."""
+    return list(each_gram(word) if len(word) <= LONG else dict.fromkeys(each_gram(word)))
 
 
 def evidence(t: np.ndarray, c: np.ndarray, nt: int, nc: int) -> np.ndarray:
@@ -157,7 +163,7 @@ class Lexicon:
         self.words, self.grams = words, grams_
 
     def code(self, word: bytes) -> int:
-        known = self.grams.keys() & grams(word)
+        known = self.grams.keys() & (grams(word) if len(word) <= LONG else each_gram(word))
         best = max(map(self.grams.__getitem__, known)) if known else 0.0
         return 1 + bisect.bisect_left(_EDGES, self.words.get(word, 0.0)) * CLASSES + bisect.bisect_left(_EDGES, best)
 

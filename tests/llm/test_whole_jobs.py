@@ -5,10 +5,11 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tallyline.llm")
-from tallyline.llm import language  # noqa: E402
+from tallyline.llm import language, toxicity  # noqa: E402
 from tallyline.llm import queries as training  # noqa: E402
 
 
@@ -39,3 +40,16 @@ def test_language_query_keeps_every_pair(spark, tmp_path):
             p1 = (c[x] - d1 if c[x] else d1 * v) / n
             want += math.log10(((b[h, x] - d if b[h, x] else 0) + (c[h] - arcs[h]) * p1) / c[h] if c[h] else p1)
         assert got[i] == pytest.approx(want)
+
+
+def test_toxic_string_at_the_end_of_a_long_run():
+    calm = ["今日は天気が良いので散歩に行きました" * k + "楽しかったです" for k in (3, 4, 5, 6)] * 12
+    bad = [t + "馬鹿野郎死ね" for t in calm]
+    texts = [t.encode() for t in calm + bad]
+    y = np.array([0] * len(calm) + [1] * len(bad))
+    lexicon, net, calibration = toxicity.train(texts, y)
+    new = "昨日は友達と映画を見て夕食を食べた" * 8
+    low, high = toxicity.score_texts([new.encode(), (new + "馬鹿野郎死ね").encode()], toxicity._Codes(lexicon), net, calibration)
+    assert low < toxicity.THRESHOLD <= high
+    run = b"x" * 500 + b"abcde"
+    assert {b"abc", b"bcde", b"abcde", b"de>"} <= set(toxicity.grams(run)) and len(toxicity.grams(run)) < 40
