@@ -66,8 +66,8 @@ def shingles(data: bytes, hashes: dict) -> np.ndarray:
     return np.unique(x.view(np.int64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_shingles, set_hash (null for empty sets), text_hash, sketch of every document."""
+def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, ``row`` (a column of ``docs``) as __row, n_shingles, set_hash (null for empty sets), text_hash, sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -81,12 +81,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(sketch) if sketch else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, sketch)], dtype=np.int32)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"], "n_shingles": pa.array(n, pa.int64()), "set_hash": pa.array(key, pa.binary()),
+                "doc_id": batch["doc_id"], "__row": batch["__row"], "n_shingles": pa.array(n, pa.int64()), "set_hash": pa.array(key, pa.binary()),
                 "text_hash": batch["text_hash"], "sketch": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
             })
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return arrow_map(slim, run, "doc_id long, n_shingles long, set_hash binary, text_hash long, sketch array<long>")
+    number = F.col(row) if row else F.lit(None)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.cast("long").alias("__row"), "text", F.xxhash64("text").alias("text_hash"))
+    return arrow_map(slim, run, "doc_id long, __row long, n_shingles long, set_hash binary, text_hash long, sketch array<long>")
 
 
 def _lists(classes: DataFrame) -> DataFrame:
@@ -200,8 +201,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts, and texts of white space alone, have an empty set and are their own component.  Repeated rows
     are rows of one class.  Extra columns are not read.  component_id is the smallest doc_id of the component.
     """
+    joined = _placed(docs)
+    least = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return joined.join(least, "root", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _placed(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, __row, n_shingles, root of every row; rows of one component have one root, rows with empty sets have none."""
     base(docs.sparkSession)
-    rows = durable(sketches(docs))
+    rows = durable(sketches(docs, row))
     classes = durable(
         rows.where("set_hash is not null").dropDuplicates(["set_hash"])
         .select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("n_shingles").alias("n"), "doc_id", "text_hash", "sketch")
@@ -227,15 +237,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _compared(_estimated(rest, classes), classes, docs).where("linked").select("a", "b")
     roots = durable(extended(roots, more))
     of_class = classes.join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
-    joined = rows.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
-    joined = durable(joined)
-    least = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return durable(rows.select("doc_id", "__row", "n_shingles", "set_hash").join(of_class, "set_hash", "left").drop("set_hash"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.  Repeated rows of that id are one row."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: that of the smallest id, of several the first by row number; null ids come last.
+
+    Rows with empty sets all stay.  Row numbers are written with the rows before anything is decided by them.
+    """
+    rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()))
+    placed = _placed(rows, "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    keep = placed.where("root is not null").groupBy("root").agg(first).select(F.col("first.__row").alias("__row"))
+    keep = keep.unionByName(placed.where("root is null").select("__row"))
+    return rows.join(keep, "__row", "left_semi").select(*docs.columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("tallyline.llm")
-from tallyline.llm import language, toxicity  # noqa: E402
+from tallyline.llm import language, neardup, toxicity  # noqa: E402
 from tallyline.llm import queries as training  # noqa: E402
 
 
@@ -53,3 +53,15 @@ def test_toxic_string_at_the_end_of_a_long_run():
     assert low < toxicity.THRESHOLD <= high
     run = b"x" * 500 + b"abcde"
     assert {b"abc", b"bcde", b"abcde", b"de>"} <= set(toxicity.grams(run)) and len(toxicity.grams(run)) < 40
+
+
+def test_one_row_of_each_component_stays(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [
+        (None, "null id of a text of its own", 0), (None, "null id of another text", 1), (None, "null id of another text", 2), (5, one, 3), (7, one + " more", 4),
+        (7, two, 5), (9, two, 6), (9, "id nine has a text that nothing else is like", 7), (11, "", 8), (11, "", 9), (None, None, 10), (None, one, 11), (5, one, 12),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").coalesce(1)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["n"] for r in kept.collect()) == [0, 1, 3, 5, 7, 8, 9, 10]
