@@ -37,14 +37,14 @@ def stream_tail(spark, d):
 def stream_exactly_once(spark, d):
     e = _events(spark, d)
     again = e.unionByName(e.where("event_id % 7 = 0")).select("event_id", "at", "at_us")
-    return jobs.drain(jobs.exactly_once(_log(spark, again, "at_us"), "event_id", "at", "2 days"), "once").select("event_id")
+    return jobs.drain(jobs.exactly_once(_log(spark, again, "at_us"), "event_id", "at"), "once").select("event_id")
 
 
 @query("stream_quota_usage", w(EVENTS) + """
 SELECT k AS provider, at_ms // 3600000 * 3600000 AS window_ms, count(*) AS calls, CAST(sum(units) AS BIGINT) AS tokens FROM ev GROUP BY ALL""")
 def stream_quota_usage(spark, d):
     s = _log(spark, _events(spark, d).withColumnRenamed("k", "provider"), "at_us")
-    return jobs.drain_updates(jobs.quota_stream(s, "provider", "at", "units", "1 hour", "1 day"), ["provider", "window_ms"], "usage")
+    return jobs.drain_updates(jobs.quota_stream(s, "provider", "at", "units", "1 hour"), ["provider", "window_ms"], "usage")
 
 
 @query("stream_late_events", w(EVENTS) + """

@@ -20,15 +20,23 @@ def tail(spark: SparkSession, path: str, schema, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
-def exactly_once(events: DataFrame, ident: str, at: str, delay: str) -> DataFrame:
-    """Each event id once while its repeats arrive within the watermark."""
+def exactly_once(events: DataFrame, ident: str, at: str, delay: str | None = None) -> DataFrame:
+    """Each event id once, however late it or its repeats come (X2); all ids stay in the state.
+
+    With ``delay``, ids are kept within that watermark only: later rows are dropped, and later repeats may be taken again.
+    """
+    if delay is None:
+        return events.dropDuplicates([ident])
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([ident])
 
 
-def quota_stream(calls: DataFrame, provider: str, at: str, tokens: str, width: str, delay: str) -> DataFrame:
-    """Calls and tokens per provider and tumbling window."""
+def quota_stream(calls: DataFrame, provider: str, at: str, tokens: str, width: str, delay: str | None = None) -> DataFrame:
+    """Calls and tokens per provider and tumbling window (X3); all windows stay open.
+
+    With ``delay``, windows close by that watermark and rows later than it are dropped.
+    """
     return (
-        calls.withWatermark(at, delay).groupBy(provider, F.window(at, width).alias("w"))
+        (calls if delay is None else calls.withWatermark(at, delay)).groupBy(provider, F.window(at, width).alias("w"))
         .agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"))
         .select(provider, F.unix_millis("w.start").alias("window_ms"), "calls", "tokens")
     )

@@ -2,7 +2,8 @@
 
 Rows of a key are taken in sequence order inside a micro-batch and must not go back across batches.
 State is one value per key in the RocksDB store, read and written once per key and batch.  Closed ids are kept
-for a retention given in the order column's units: repeats older than that are not recognised.
+for good, so that a key's state grows with its ids, unless the caller gives a retention: repeats older than that are not
+recognised then.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def late_events(events: DataFrame) -> DataFrame:
 
 
 class _Ledger(StatefulProcessor):
-    def __init__(self, cap: int, retain: int) -> None:
+    def __init__(self, cap: int, retain: int | None) -> None:
         self.cap, self.retain = cap, retain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -99,7 +100,8 @@ class _Ledger(StatefulProcessor):
             reason, spent, held = self._decide(r, active, ended, spent, held)
             last = int(r.seq)
             out.append((key[0], r.seq, reason is None, reason, spent, held))
-        ended = {k: v for k, v in ended.items() if v > last - self.retain}
+        if self.retain is not None:
+            ended = {k: v for k, v in ended.items() if v > last - self.retain}
         self.state.update((int(spent), int(held), list(active), list(active.values()), list(ended), list(ended.values())))
         yield from _emit(out, ["ledger", "seq", "applied", "reason", "spent_units", "held_units"])
 
@@ -107,8 +109,11 @@ class _Ledger(StatefulProcessor):
         pass
 
 
-def ledger_stream(ops: DataFrame, cap: int, retain: int = 10_000_000) -> DataFrame:
-    """Reserve, settle and cancel rows to decision rows (X5); equals ``ledgers.replay_ledger``."""
+def ledger_stream(ops: DataFrame, cap: int, retain: int | None = None) -> DataFrame:
+    """Reserve, settle and cancel rows to decision rows (X5); equals ``ledgers.replay_ledger`` while no id is forgotten.
+
+    ``retain``: ended ids older than this many sequence numbers are forgotten, and can reserve again; None keeps all.
+    """
     schema = "ledger long, seq long, applied boolean, reason string, spent_units long, held_units long"
     return _run(ops, "ledger", _Ledger(cap, retain), schema, "None")
 
@@ -117,7 +122,7 @@ class _Quota(StatefulProcessor):
     """Two fixed-window buckets (provider and aggregate), leases, reset window and retry state."""
 
     def __init__(self, provider: dict, aggregate: dict, width: int, attempts: int, base: int, ceiling: int,
-                 retain: int) -> None:
+                 retain: int | None) -> None:
         self.limits = (("provider", provider), ("global", aggregate))
         self.width, self.attempts, self.base, self.ceiling, self.retain = width, attempts, base, ceiling, retain
 
@@ -189,7 +194,8 @@ class _Quota(StatefulProcessor):
                         retry = max(retry, reset) if r.op == "limited" else retry
                     logical[who] = (known[0], -1 if retry is None else int(retry), retry is None, at)
             out.append((key[0], r.seq, not reasons, "|".join(reasons), retry, open_, calls, tokens))
-        logical = {k: v for k, v in logical.items() if k in lease or v[3] > at - self.retain}
+        if self.retain is not None:
+            logical = {k: v for k, v in logical.items() if k in lease or v[3] > at - self.retain}
         self.use.update((int(win), int(calls), int(tokens), int(open_), int(reset)))
         columns = [list(c) for c in zip(*logical.values(), strict=True)] or [[], [], [], []]
         held = [list(c) for c in zip(*lease.values(), strict=True)] or [[], []]
@@ -201,10 +207,11 @@ class _Quota(StatefulProcessor):
 
 
 def quota_admission_stream(rows: DataFrame, provider: dict, aggregate: dict, width: int, attempts: int = 3, base: int = 100,
-                           ceiling: int = 10_000, retain: int = 7 * 86_400_000) -> DataFrame:
+                           ceiling: int = 10_000, retain: int | None = None) -> DataFrame:
     """Admission with leases, resets and retries that cross windows.
 
     ``rows``: provider, seq, at_ms, op (acquire / complete / fail / limited), logical, attempt, tokens, reset_ms.
+    ``retain``: calls without a lease are forgotten after this many ms; None keeps all.
     """
     schema = "provider long, seq long, ok boolean, reasons string, retry_at long, open long, calls long, tokens long"
     return _run(rows, "provider", _Quota(provider, aggregate, width, attempts, base, ceiling, retain), schema, "None")
