@@ -3,7 +3,7 @@
 Only DataFrame functions run here.  Every document is a point of fixed integer coordinates (text bytes, characters,
 source, language, id), each 0 to 65535 in order of the value.  A node splits along the coordinate with the widest
 spread of its documents, at the byte-weighted median.  A split position is a 60-bit number: 16 bits coordinate,
-24 bits text hash (so equal texts stay side by side), 20 bits id hash (so that a hot group can be cut).  The median
+24 bits text hash (so equal texts stay side by side), 20 bits hash of the row's number (so that a hot group can be cut).  The median
 is found 12 bits at a time from sums per digit, so a pass moves at most 4096 sums per node and task.
 """
 
@@ -32,7 +32,7 @@ def _cell(value: Column, low, high) -> Column:
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, tie (44 bits) and the coordinates; null text has size 1 and the empty text's crc."""
+    """uid, doc_id, size, text_crc32, tie (44 bits) and the coordinates; null text has size 1 and the empty text's crc."""
     text = F.coalesce(F.col("text"), F.lit(""))
     have = set(docs.columns)
     col = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind)
@@ -43,12 +43,12 @@ def points(docs: DataFrame) -> DataFrame:
         _hash(F.coalesce(col("source", "string"), F.lit("")), 16).cast("int").alias("a_source"),
         _hash(F.coalesce(col("lang", "string"), F.lit("")), 16).cast("int").alias("a_lang"),
     )
-    slim = durable(slim)
+    slim = durable(slim.withColumn("uid", F.monotonically_increasing_id()))
     low = slim.agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "size", "n_chars") for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    tie = F.shiftleft(F.shiftrightunsigned("h", 40), 20).bitwiseOR(_hash(F.col("doc_id"), 20))
+    tie = F.shiftleft(F.shiftrightunsigned("h", 40), 20).bitwiseOR(_hash(F.col("uid"), 20))
     log = lambda c: F.log2(F.greatest(F.col(c), F.lit(0)) + 1.0)
     out = slim.select(
-        "doc_id", "size", "text_crc32", tie.alias("tie"), "a_source", "a_lang",
+        "uid", "doc_id", "size", "text_crc32", tie.alias("tie"), "a_source", "a_lang",
         _cell(log("size"), 0.0, 40.0).alias("a_size"), _cell(log("n_chars"), 0.0, 40.0).alias("a_chars"),
         _cell(F.col("doc_id"), low["lo_doc_id"], low["hi_doc_id"]).alias("a_id"),
     )
@@ -71,7 +71,7 @@ def kd_shards(docs: DataFrame, leaves: int) -> DataFrame:
     as rows of their own.  An empty table gives no rows.  Other columns are not read.
     """
     rows, n, total = points(docs)
-    rows = durable(rows.withColumn("node", F.lit(0)).withColumn("uid", F.monotonically_increasing_id()))
+    rows = durable(rows.withColumn("node", F.lit(0)))
     spans = {0: (0, leaves)}  # node -> first leaf, number of leaves
     while n and any(k > 1 for _, k in spans.values()):
         rows, spans = _split(rows, spans)

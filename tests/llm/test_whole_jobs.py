@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("tallyline.llm")
-from tallyline.llm import language, neardup, toxicity  # noqa: E402
+from tallyline.llm import language, neardup, sharding, toxicity  # noqa: E402
 from tallyline.llm import queries as training  # noqa: E402
 
 
@@ -65,3 +65,10 @@ def test_one_row_of_each_component_stays(spark):
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r["n"] for r in kept.collect()) == [0, 1, 3, 5, 7, 8, 9, 10]
+
+
+def test_copies_without_ids_are_cut(spark):
+    rows = [(None, "one text " * 20)] * 200 + [(5, "another text " * 15)] * 200 + [(i, f"text {i} " * 15) for i in range(400)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).groupBy("shard").sum("size").collect()
+    sizes = {r[0]: r[1] for r in got}
+    assert sizes.keys() == {0, 1, 2, 3} and max(sizes.values()) < 1.2 * sum(sizes.values()) / 4
