@@ -40,7 +40,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", toxic), ("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("packing", packed),
 ]
 
-# The first two stages are trained models, which SQL cannot express; tests compare each stage with a brute-force version.
+# The first two stages are trained models, which SQL cannot express; no test runs the whole pipeline.
 ORACLE_SQL: str | None = None
 
 
