@@ -46,7 +46,7 @@ mit | - | n | expat | expat ~
 x11 | x11 | n | x11 | x11 ~
 mit | - | n | granted | permission is hereby granted free of charge to any person obtaining a copy
 isc | isc | n | isc | isc ~
-isc | - | n | granted | permission to use copy modify and or distribute this software for any purpose
+isc | - | n | distribute | permission to use copy modify and or distribute this software for any purpose
 bsd-1-clause | bsd-1-clause | v | bsd | bsd 1 clause(?: ~)?
 bsd-2-clause | bsd-2-clause | v | bsd | (?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd style bsd|two clause bsd)(?: ~)?
 bsd-3-clause | bsd-3-clause | v | bsd | (?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: ~)?
