@@ -24,6 +24,7 @@ from tallyline.llm.common import arrow_map, base, text_bytes
 
 EXPONENT, LEAST = 4, 6  # a run is at least four periods and six words long
 TOP = 32  # a level of so few symbols is the last
+BESIDE = 4  # words beside a grid point that are looked at before it is extended
 PHASES = (16, 256)  # periods up to each bound are done before longer ones
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,7 +60,7 @@ class Grammar:
         """Words that both places can go on by at this level: none unless both are borders of the same symbol."""
         start, symbol, width, count = self.levels[level]
         side = "left" if back else "right"
-        x, y = np.searchsorted(start, p, side) - 1, np.searchsorted(start, q, side) - 1
+        x, y = start.searchsorted(p, side) - 1, start.searchsorted(q, side) - 1
         in_x, in_y, w = p - start[x], q - start[y], width[x]
         same = (symbol[x] == symbol[y]) & (in_x % w == 0) & (in_y % w == 0)
         least = np.minimum(in_x, in_y) if back else np.minimum(count[x] * w - in_x, count[y] * w - in_y)
@@ -69,13 +70,34 @@ class Grammar:
         """Equal words from p and q on (back: before p and q).  The string's first and last numbers occur once."""
         p, q, far = p.astype(np.int64), q.astype(np.int64), np.zeros(len(p), np.int64)
         sign, near = (-1, -1) if back else (1, 0)
-        sweep = [*range(len(self.levels)), *reversed(range(len(self.levels)))]
-        live = np.flatnonzero(self.ids[p + near] == self.ids[q + near])
+
+        def go(level: int, at: np.ndarray) -> np.ndarray:
+            """Those of ``at`` that could jump."""
+            jump = self._jump(level, p[at] + sign * far[at], q[at] + sign * far[at], back)
+            far[at] += jump
+            return at[jump > 0]
+
+        def equal(at: np.ndarray) -> np.ndarray:
+            return at[self.ids[p[at] + sign * far[at] + near] == self.ids[q[at] + sign * far[at] + near]]
+
+        live = equal(np.arange(len(p)))
         while len(live):
-            for level in sweep:
-                far[live] += self._jump(level, p[live] + sign * far[live], q[live] + sign * far[live], back)
-            at = live
-            live = at[self.ids[p[at] + sign * far[at] + near] == self.ids[q[at] + sign * far[at] + near]]
+            up, level = live, 0
+            for level in range(len(self.levels)):
+                moved = go(level, up)
+                if level and len(moved) < len(up):
+                    # between two symbols that are a pair one level up: past the second one
+                    moved = np.concatenate([moved, go(level, go(level - 1, np.setdiff1d(up, moved, assume_unique=True)))])
+                up = moved
+                if not len(up):
+                    break
+            for below in range(level, -1, -1):
+                at = live
+                for _ in range(2):
+                    at = go(below, at)
+                    if not len(at):
+                        break
+            live = equal(live)
         return far
 
 
@@ -97,7 +119,16 @@ def grid_points(ids: np.ndarray, ends: np.ndarray, sizes: np.ndarray, low: int,
         chosen = at[(at - first) % 3 == 2] * q
         places.append(chosen)
         periods.append(np.full(len(chosen), q))
-    return (np.concatenate(places), np.concatenate(periods)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, period = np.concatenate(places), np.concatenate(periods)
+    # of the 3q equal places of a run, q or more lie on one side of the point
+    ahead, before = np.ones(len(place), bool), np.ones(len(place), bool)
+    for k in range(1, BESIDE + 1):
+        far, back = np.minimum(place + k, len(ids) - 1), np.maximum(place - k, 0)
+        ahead &= (k > period) | (ids[far] == ids[np.minimum(far + period, len(ids) - 1)])
+        before &= (k > period) | (ids[back] == ids[back + period])
+    return place[ahead | before], period[ahead | before]
 
 
 def _known(place: np.ndarray, period: np.ndarray, runs: np.ndarray) -> np.ndarray:
