@@ -9,18 +9,19 @@ below 1e-9; sets of up to K values are retained whole and share a certain number
 ordered rarest first, two linked sketches have a value in common among the first few (size - shared + 1): only these
 go into the inverted lists, and values that a single class holds are dropped.
 
-1. A list's leader is its most central member (the one whose values are held by the most classes).  Every member is
-   compared with its leaders of a size near enough for the sketch estimate, which filters; the full sets decide and give
-   the difference from the leader.
+1. A list's leader is its most central member (the one whose values are held by the most classes).  Members that the sketch
+   estimate allows to be near it, or that share with it as many values as a link asks for, are compared with it; the full
+   sets decide and give the difference from the leader.
 2. Lists that lie in one component are done: their further pairs cannot change a component.
-3. Of two members x, y near one leader c, with r removed and a added shingles, the sets share |c| - r(x) - r(y) + s, where s
+3. Of two members x, y compared with one leader c, with r removed and a added shingles, the sets share |c| - r(x) - r(y) + s, where s
    is the number of differences they have in common.  A link of an x that c does not link needs s > (5 r(y) + 4 a(y)) / 9,
    so more than about half of y's differences: x and y meet in inverted lists of the rarest of these, in components that
    differ, where both still have enough differences left at the first one they share; s decides.
    Members that c links need no test among themselves.
-4. Members far from a list's leader are compared with the list's members of other components one by one.  They meet only
-   where 512-bit maps of the sketches leave room for the shared values that the sketch estimate asks for: each bit that
-   only one map has stands for a value that the other sketch lacks.
+4. The other members are far: they share k values with the leader, fewer than the m that any link of theirs asks for.  A link of a far
+   member, to whatever member of the list, then needs m - k shared values that the leader does not have.  So far members
+   meet the list's others in new inverted lists of the values outside the leader's sketch, by the rarest (outside - (m - k) + 1) of theirs;
+   what many members have in common with the leader, and so with each other, brings no pairs.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ from tallyline.llm.components import components, extended
 
 K, SHARED = 48, 20
 PERCENT = 80
-MAPS = 8  # 64-bit words of a sketch's bit map
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 LIMIT = 400_000
 
@@ -95,7 +95,7 @@ def _lists(classes: DataFrame) -> DataFrame:
     values = classes.select("node", "n", F.explode("sketch").alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(counts, "v")
-    need = F.when(100 * F.col("n") < PERCENT * K, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
+    need = _need("n")
     size = F.least(F.col("n"), F.lit(K))
     w = Window.partitionBy("node")  # at most K rows
     ranked = shared.select(
@@ -105,26 +105,45 @@ def _lists(classes: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= size - need + 1 - (size - F.col("have"))).select("v", "node", "n", "central")
 
 
-def _maps(side: str) -> list[Column]:
-    """The words of the bit map of ``sketch``."""
-    word = "aggregate(sketch, 0L, (m, v) -> if((v & {last}) = {w}, m | shiftleft(1L, CAST(shiftright(v, 3) & 63 AS INT)), m)) AS m{w}{side}"
-    return [F.expr(word.format(last=MAPS - 1, w=w, side=side)) for w in range(MAPS)]
+def _need(n: str) -> Column:
+    """Shared values of the sketches that a link of a set of ``n`` shingles asks for."""
+    return F.when(100 * F.col(n) < PERCENT * K, F.ceil(F.col(n) * PERCENT / 100)).otherwise(F.lit(SHARED))
 
 
-def _room(x: str, y: str) -> Column:
-    """Whether the maps allow as many shared values of x's sketch as the estimate asks for."""
-    size = lambda z: F.least(F.col(f"n{z}"), F.lit(K))
-    lacking = sum((F.bit_count(F.col(f"m{w}{x}").bitwiseAND(F.bitwise_not(f"m{w}{y}"))) for w in range(MAPS)), F.lit(0))
-    return (size(x) - lacking) * K >= SHARED * F.greatest(size(x), size(y))
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes na, nb and the sketches sa, sb of both."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch allows the similarity, with the sizes of both."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _allowed() -> Column:
+    """Whether the union sketch of sa and sb allows the similarity."""
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return both.where(shared * K >= SHARED * F.size(union)).select("a", "b", "na", "nb")
+    return shared * K >= SHARED * F.size(union)
+
+
+def _lacking() -> Column:
+    """Values that a link of b needs beyond those it shares with a: of b's, as many must be outside a's sketch."""
+    return _need("nb") - F.size(F.array_intersect("sb", "sa"))
+
+
+def _far_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes, one of them far from a leader of both, that can be linked and lie in different components.
+
+    ``members``: a (a leader), b (a member of its open lists), met (whether the two were compared).
+    """
+    both = _rooted(_sketched(members, classes), roots, "b", "root").withColumn("outside", F.array_except("sb", "sa"))
+    each = durable(both.select("a", "b", "nb", "root", (~F.col("met")).alias("far"), F.size("outside").alias("size"), _lacking().alias("asks"), F.explode("outside").alias("v")))
+    held = each.groupBy("a", "v").agg(F.count("*").alias("df"), F.bool_or("far").alias("asked")).where("df > 1 and asked").drop("asked")
+    w = Window.partitionBy("a", "b")  # at most K rows
+    ranked = each.join(held, ["a", "v"]).withColumn("place", F.row_number().over(w.orderBy("df", "v")) + F.col("size") - F.count("*").over(w))
+    posted = durable(ranked.where("not far or place <= size - asks + 1"))
+    sided = lambda x: posted.select("a", "v", *(F.col(c).alias(c + x) for c in ("b", "nb", "root", "far")))
+    sizes = 100 * F.least("nbx", "nby") >= PERCENT * F.greatest("nbx", "nby")
+    once = ~F.col("fary") | (F.col("bx") < F.col("by"))
+    pairs = sided("x").where("farx").join(sided("y"), ["a", "v"]).where((F.col("bx") != F.col("by")) & (F.col("rootx") != F.col("rooty")) & once & sizes)
+    return pairs.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct()
 
 
 def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -219,22 +238,18 @@ def _placed(docs: DataFrame, row: str | None = None) -> DataFrame:
     lists = durable(_lists(classes))
     leaders = lists.groupBy("v").agg(F.max(F.struct("central", "node", "n")).alias("top")).select("v", F.col("top.node").alias("a"), F.col("top.n").alias("na"))
     led = durable(lists.join(leaders, "v").where("node != a").select("v", "a", F.col("node").alias("b"), "n", "na"))
-    stars = _compared(_estimated(led.where(K * F.least("n", "na") >= SHARED * F.greatest("n", "na")).select("a", "b").distinct(), classes), classes, docs)
+    met = _sketched(led.select("a", "b").distinct(), classes).where(_allowed() | (_lacking() <= 0)).select("a", "b", "na", "nb")
+    stars = _compared(met, classes, docs)
     roots = durable(components(stars.where("linked").select("a", "b")))
     roots = durable(extended(roots, _by_difference(stars, roots)))
-    near = stars.select("a", "b", F.lit(True).alias("near"))
-    # a leader has met its whole list, so only pairs of two other members are open; a list of two is done
-    placed = durable(_rooted(led, roots, "b", "root").join(near, ["a", "b"], "left").select("v", F.col("b").alias("node"), "n", "root", F.col("near").isNotNull().alias("near")))
-    mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("near").alias("all_near")).where("lo <> hi and not all_near").select("v")
-    open_lists = durable(placed.join(mixed, "v", "left_semi"))
-    open_nodes = classes.join(open_lists.select("node").distinct(), "node")
-    side = lambda x: open_nodes.select(F.col("node").alias(x), *_maps(x))
-    left = open_lists.where("not near").select("v", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(side("x"), "x")
-    right = open_lists.select("v", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")).join(side("y"), "y")
-    rest = left.join(right, "v").where(
-        (F.col("x") != F.col("y")) & (F.col("rx") != F.col("ry")) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & _room("x", "y") & _room("y", "x")
-    ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _compared(_estimated(rest, classes), classes, docs).where("linked").select("a", "b")
+    known = stars.select("a", "b", F.lit(True).alias("__met"))
+    # a leader has met its whole list, or is too far from a member, so only pairs of two other members are open; a list of two is done
+    placed = _rooted(led, roots, "b", "root").join(known, ["a", "b"], "left").withColumn("met", F.col("__met").isNotNull())
+    placed = durable(placed.select("v", "a", "b", "root", "met"))
+    open_lists = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("met").alias("all_met")).where("lo <> hi and not all_met").select("v")
+    members = placed.join(open_lists, "v", "left_semi").select("a", "b", "met").distinct()
+    rest = _sketched(_far_pairs(members, classes, roots), classes).where(_allowed()).select("a", "b", "na", "nb")
+    more = _compared(rest, classes, docs).where("linked").select("a", "b")
     roots = durable(extended(roots, more))
     of_class = classes.join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
     return durable(rows.select("doc_id", "__row", "n_shingles", "set_hash").join(of_class, "set_hash", "left").drop("set_hash"))

@@ -72,3 +72,27 @@ def test_copies_without_ids_are_cut(spark):
     got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).groupBy("shard").sum("size").collect()
     sizes = {r[0]: r[1] for r in got}
     assert sizes.keys() == {0, 1, 2, 3} and max(sizes.values()) < 1.2 * sum(sizes.values()) / 4
+
+
+def test_far_members_of_one_list_are_told_apart(spark):
+    """Two thousand texts with a common passage: families whose links lie far from the list's most central member, and none between families."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage, rows, want = [word() for _ in range(60)], [], {}
+    for family in range(400):
+        own = [word() for _ in range(70)]
+        first = len(rows)
+        for copy in range(5):
+            text = list(own)
+            if copy in (1, 2):
+                text[rng.randrange(70)] = word()
+            if copy == 4:  # linked with no one: a fifth of its words are new
+                text[::4] = [word() for _ in text[::4]]
+            rows.append((first + copy, " ".join(passage + text)))
+            want[first + copy] = first + copy if copy == 4 else first
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingles = {i: {tuple(t.split()[k : k + 2]) for k in range(129)} for i, t in rows}
+    linked = lambda x, y: 100 * len(shingles[x] & shingles[y]) >= 80 * len(shingles[x] | shingles[y])
+    for i in range(0, 2000, 5):
+        assert linked(i, i + 1) and linked(i, i + 2) and linked(i, i + 3) and not any(linked(i + 4, i + k) for k in range(4)) and not linked(i, (i + 5) % 2000)
+    assert got == want
