@@ -6,8 +6,10 @@ with equal sets are one class from the start.
 Of two sets with similarity 0.8 or more, each of the K smallest values of the union is shared with a chance of at
 least 0.8, and a shared one of them is retained in both sketches.  Fewer than SHARED of 48 are shared with a chance
 below 1e-9; sets of up to K values are retained whole and share a certain number.  So, with the values of a sketch
-ordered rarest first, two linked sketches have a value in common among the first few (size - shared + 1): only these
-go into the inverted lists, and values that a single class holds are dropped.
+ordered rarest first, two linked sketches have two values in common among the first few (size - shared + 2): the pairs of
+these are the keys of the inverted lists.  (Sets that differ share two values at least; single values would also bring
+together the more unrelated texts, the larger the corpus is.)  Values that a single class holds are dropped, as are
+lists with the same members as another one.
 
 1. A list's leader is its most central member (the one whose values are held by the most classes).  Members that the sketch
    estimate allows to be near it, or that share with it as many values as a link asks for, are compared with it; the full
@@ -90,19 +92,21 @@ def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
     return arrow_map(slim, run, "doc_id long, __row long, n_shingles long, set_hash binary, text_hash long, sketch array<long>")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """(v, node, n, central): the inverted lists of the values that can be the common one of two linked sketches."""
+def _led(classes: DataFrame) -> DataFrame:
+    """(v, a, b): the members b, other than its leader a, of every inverted list v."""
     values = classes.select("node", "n", F.explode("sketch").alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(counts, "v")
-    need = _need("n")
     size = F.least(F.col("n"), F.lit(K))
-    w = Window.partitionBy("node")  # at most K rows
-    ranked = shared.select(
-        "v", "node", "n", F.row_number().over(w.orderBy("df", "v")).alias("rank"), F.count("*").over(w).alias("have"),
-        (F.sum(F.log2("df")).over(w) / size).alias("central"),
-    )
-    return ranked.where(F.col("rank") <= size - need + 1 - (size - F.col("have"))).select("v", "node", "n", "central")
+    # at most K values of a node
+    held = values.join(counts, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"), (F.sum(F.log2("df")) / F.first(size)).alias("central"))
+    first = held.withColumn("first", F.size("held") - _need("n") + 2).where("first > 1")
+    posted = durable(first.select("node", "central", F.transform(F.expr("slice(held, 1, CAST(least(first, size(held)) AS INT))"), lambda x: x["v"]).alias("held")))
+    pairs = "flatten(transform(held, (x, i) -> transform(slice(held, i + 2, size(held)), y -> xxhash64(x, y))))"
+    keys = posted.select("node", "central", F.explode(F.expr(pairs)).alias("v"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    lists = keys.groupBy("v").agg(F.count("*").alias("m"), mark(1).alias("one"), mark(2).alias("two"), F.max(F.struct("central", "node")).alias("top")).where("m > 1")
+    alone = lists.groupBy("m", "one", "two").agg(F.min("v").alias("v"), F.max("top.node").alias("a"))
+    return keys.join(alone.select("v", "a"), "v").where("node != a").select("v", "a", F.col("node").alias("b"))
 
 
 def _need(n: str) -> Column:
@@ -235,9 +239,7 @@ def _placed(docs: DataFrame, row: str | None = None) -> DataFrame:
         rows.where("set_hash is not null").dropDuplicates(["set_hash"])
         .select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("n_shingles").alias("n"), "doc_id", "text_hash", "sketch")
     )
-    lists = durable(_lists(classes))
-    leaders = lists.groupBy("v").agg(F.max(F.struct("central", "node", "n")).alias("top")).select("v", F.col("top.node").alias("a"), F.col("top.n").alias("na"))
-    led = durable(lists.join(leaders, "v").where("node != a").select("v", "a", F.col("node").alias("b"), "n", "na"))
+    led = durable(_led(classes))
     met = _sketched(led.select("a", "b").distinct(), classes).where(_allowed() | (_lacking() <= 0)).select("a", "b", "na", "nb")
     stars = _compared(met, classes, docs)
     roots = durable(components(stars.where("linked").select("a", "b")))
