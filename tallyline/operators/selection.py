@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.operators.admission import GROUP_BOUND, admit
+from tallyline.operators.admission import BLOCK as ROWS
+from tallyline.operators.admission import admit
 from tallyline.operators.scan import rcount, running
 from tallyline.operators.skew import spread_join
 from tallyline.session import durable
@@ -130,46 +131,32 @@ def first_fit(
     item: str,
     sizes: Sequence[str],
     caps: Sequence[str],
-    bound: int = GROUP_BOUND,
+    block: int = ROWS,
 ) -> DataFrame:
     """Greedy admission in order: an item is taken when every size still fits, else skipped.
 
-    Groups of at most ``bound`` items fold inside one row; larger ones take a distributed rank and are
-    settled by ``admission.admit`` in rounds.  Both give the same answer: (keys, item, admitted).
+    Groups of every size go through ``admission.admit``; ties of the order go by item.  (keys, item, admitted).
     """
-    keys = list(keys)
-    big = items.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > bound).select(*keys)
-    if big.isEmpty():
-        return _fit_fold(items, keys, order, item, sizes, caps)
-    small = _fit_fold(items.join(big, keys, "left_anti"), keys, order, item, sizes, caps)
-    ranked = dense_rank(items.join(big, keys, "left_semi"), keys, order, item)
-    return small.unionByName(admit(ranked, None, keys, "__rank", item, sizes, caps, bound=0))
+    return admit(items, None, keys, [*order, item], item, sizes, caps, block)
 
 
-def _fit_fold(items, keys, order, item, sizes, caps) -> DataFrame:
-    sorted_items = F.array_sort(
-        F.collect_list(F.struct(*order, F.col(item).alias("__item"), *[F.col(s).alias(f"s_{s}") for s in sizes]))
-    )
-    g = items.groupBy(*keys).agg(sorted_items.alias("__xs"), *[F.min(c).alias(c) for c in caps])
-    kind = items.schema[item].dataType.simpleString()
-    taken = F.array().cast(f"array<struct<item:{kind},admitted:boolean>>")
-    start = F.struct(*[F.lit(0).cast("long").alias(f"u_{s}") for s in sizes], taken.alias("out"))
-
-    def step(state, x):
-        fits = F.lit(True)
-        for s, c in zip(sizes, caps, strict=True):
-            fits = fits & (state[f"u_{s}"] + x[f"s_{s}"] <= F.col(c))
-        return F.struct(
-            *[(state[f"u_{s}"] + F.when(fits, x[f"s_{s}"]).otherwise(0)).alias(f"u_{s}") for s in sizes],
-            F.concat(state["out"], F.array(F.struct(x["__item"].alias("item"), fits.alias("admitted")))).alias("out"),
-        )
-
-    return g.select(*keys, F.explode(F.aggregate("__xs", start, step, lambda s: s["out"])).alias("r")).select(
-        *keys, F.col("r.item").alias(item), "r.admitted"
-    )
+def fraction_digits(top: Column, bottom: Column) -> list[Column]:
+    """Columns that order the fractions top / bottom exactly, for int64 tops and bottoms from 1 up to 5 * 2**63.
 
-
-def pack_context(blocks: DataFrame, budgets: DataFrame, key: str, bound: int = GROUP_BOUND) -> DataFrame:
+    The quotient and three groups of 18 digits after it: different fractions differ by more than 10**-54.
+    """
+    wide = "decimal(38,0)"
+    bottom, scale = bottom.cast(wide), F.lit(10**18).cast(wide)
+    rest = F.pmod(top.cast(wide), bottom)
+    out = [((top.cast(wide) - rest) / bottom).cast(wide)]
+    for _ in range(3):
+        scaled = (rest * scale).cast(wide)  # a remainder is below 5e19: 38 digits
+        rest = F.pmod(scaled, bottom).cast(wide)
+        out.append(((scaled - rest) / bottom).cast(wide))
+    return out
+
+
+def pack_context(blocks: DataFrame, budgets: DataFrame, key: str, block: int = ROWS) -> DataFrame:
     """Every block of every context with its inclusion and reason.
 
     ``blocks``: key, ref, bytes, tokens, value, mandatory, valid; ``budgets``: key, max_bytes, max_tokens.
@@ -178,19 +165,19 @@ def pack_context(blocks: DataFrame, budgets: DataFrame, key: str, bound: int = G
     """
     m = F.col("mandatory")
     total = blocks.groupBy(key).agg(
-        F.sum(F.when(m, F.col("bytes")).otherwise(0)).alias("__mb"), F.sum(F.when(m, F.col("tokens")).otherwise(0)).alias("__mt"),
+        *[F.sum(F.when(m, F.col(c).cast("decimal(38,0)")).otherwise(0)).alias(n) for c, n in (("bytes", "__mb"), ("tokens", "__mt"))],
         F.count_if(m & ~F.col("valid")).alias("__bad"),
     ).join(budgets, key)
     total = total.select(
         key, "__bad", (F.col("max_bytes") - F.col("__mb")).alias("__cb"), (F.col("max_tokens") - F.col("__mt")).alias("__ct"),
     ).withColumn("__state", F.when(F.col("__bad") > 0, "invalid").when((F.col("__cb") < 0) | (F.col("__ct") < 0), "over").otherwise("packed"))
     x = spread_join(blocks, total, [key], "inner")
-    foot = F.greatest(F.lit(1), F.col("bytes") + 4 * F.col("tokens"))
-    # Density as a decimal with 18 places: exact for footprints below 10**9.
-    density = (-F.col("value")).cast("decimal(38,0)") * F.lit(10**12) / foot.cast("decimal(18,0)")
-    optional = x.where((F.col("__state") == "packed") & ~m & F.col("valid")).withColumns({
-        "__density": density.cast("decimal(38,6)"), "__value": -F.col("value")})
-    fit = first_fit(optional, [key], ["__density", "__value", "bytes", "tokens"], "ref", ["bytes", "tokens"], ["__cb", "__ct"], bound)
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    foot = F.greatest(F.lit(1).cast("decimal(38,0)"), wide("bytes") + 4 * wide("tokens"))
+    digits = [f"__density_{k}" for k in range(4)]
+    optional = x.where((F.col("__state") == "packed") & ~m & F.col("valid")).withColumns(
+        {n: -c for n, c in zip(digits, fraction_digits(F.col("value"), foot), strict=True)} | {"__value": -F.col("value")})
+    fit = first_fit(optional, [key], [*digits, "__value", "bytes", "tokens"], "ref", ["bytes", "tokens"], ["__cb", "__ct"], block)
     out = x.join(fit, [key, "ref"], "left")
     s = F.col("__state")
     reason = (
@@ -206,7 +193,7 @@ def pack_context(blocks: DataFrame, budgets: DataFrame, key: str, bound: int = G
     return out.select(key, "ref", reason.alias("reason")).withColumn("included", F.col("reason").isin("mandatory", "selected_by_value_density"))
 
 
-def shed_optional(tasks: DataFrame, deps: DataFrame, key: str, bound: int = GROUP_BOUND) -> DataFrame:
+def shed_optional(tasks: DataFrame, deps: DataFrame, key: str, block: int = ROWS) -> DataFrame:
     """Optional tasks kept by value under the headroom, then dropped with what they depend on (T4).
 
     ``tasks``: key, task_id, value, use, headroom (optional tasks only); ``deps``: key, task_id, dep_id.
@@ -214,28 +201,10 @@ def shed_optional(tasks: DataFrame, deps: DataFrame, key: str, bound: int = GROU
     from tallyline.operators.graph import closure
 
     x = tasks.withColumn("__value", -F.col("value"))
-    fit = first_fit(x, [key], ["__value", "task_id"], "task_id", ["use"], ["headroom"], bound)
+    fit = first_fit(x, [key], ["__value", "task_id"], "task_id", ["use"], ["headroom"], block)
     shed = fit.where("not admitted").select(key, F.col("task_id").alias("node"))
     among = deps.join(fit.select(key, "task_id"), [key, "task_id"], "left_semi")
     hit = closure(among.select(key, F.col("dep_id").alias("src"), F.col("task_id").alias("dst")), shed, [key])
     gone = hit.select(key, F.col("node").alias("task_id"), F.lit(True).alias("__gone"))
     return fit.join(gone, [key, "task_id"], "left").select(key, "task_id", F.col("admitted").alias("fits"),
                                                             (F.col("admitted") & F.col("__gone").isNull()).alias("kept"))
-
-
-def dense_rank(items, keys, order, item) -> DataFrame:
-    """Rank within the key over any sort columns: range partition, rank inside a partition, add offsets."""
-    x = durable(
-        items.repartitionByRange(*keys, *order, item).withColumn("__p", F.spark_partition_id())
-    )
-    inner = Window.partitionBy(*keys, "__p").orderBy(*order, item)
-    sizes = x.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.select(*keys, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return (
-        x.withColumn("__r", F.row_number().over(inner))
-        .join(offset, [*keys, "__p"])
-        .withColumn("__rank", F.col("__off") + F.col("__r"))
-        .drop("__p", "__r", "__off")
-    )
-
