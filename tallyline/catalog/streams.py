@@ -40,6 +40,25 @@ def stream_exactly_once(spark, d):
     return jobs.drain(jobs.exactly_once(_log(spark, again, "at_us"), "event_id", "at"), "once").select("event_id")
 
 
+@query("stream_append_outcomes", w(EVENTS) + """
+, x AS (SELECT run_id, event_id, at_us * 4 AS pos, at_ms, 'accepted' AS outcome FROM ev
+  UNION ALL SELECT run_id, event_id, at_us * 4 + 1, at_ms, 'repeat' FROM ev WHERE event_id % 7 = 0
+  UNION ALL SELECT run_id, event_id, at_us * 4 + 2, at_ms, 'conflict' FROM ev WHERE event_id % 11 = 0
+  UNION ALL SELECT run_id, event_id + 1000000000, at_us * 4 + 3, at_ms - 172800000, NULL FROM ev WHERE event_id % 13 = 0)
+SELECT run_id, event_id, pos, coalesce(outcome, CASE WHEN at_ms < max(at_ms) FILTER (WHERE outcome = 'accepted') OVER (PARTITION BY run_id ORDER BY pos) - 86400000
+  THEN 'late' ELSE 'accepted' END) AS outcome FROM x""")
+def stream_append_outcomes(spark, d):
+    """The log with repeats, changed repeats and new ids two days late, where a day is waited for."""
+    e = _events(spark, d)
+    row = lambda k, at, what: ((F.col("at_us") * 4 + k).alias("pos"), at.alias("at_ms"), F.sha2(what.cast("string"), 256).alias("digest"))
+    at, units = F.col("at_ms"), F.col("units")
+    rows = e.select("run_id", "event_id", *row(0, at, units)).unionByName(
+        e.where("event_id % 7 = 0").select("run_id", "event_id", *row(1, at, units))).unionByName(
+        e.where("event_id % 11 = 0").select("run_id", "event_id", *row(2, at, units + 1))).unionByName(
+        e.where("event_id % 13 = 0").select("run_id", (F.col("event_id") + 1000000000).alias("event_id"), *row(3, at - 172800000, units)))
+    return jobs.drain(stateful.append_outcomes(_log(spark, rows, "pos"), 86400000), "outcomes")
+
+
 @query("stream_quota_usage", w(EVENTS) + """
 SELECT k AS provider, at_ms // 3600000 * 3600000 AS window_ms, count(*) AS calls, CAST(sum(units) AS BIGINT) AS tokens FROM ev GROUP BY ALL""")
 def stream_quota_usage(spark, d):

@@ -1,9 +1,9 @@
 """Stateful processors: late rows, ledgers, quota admission, unknown work, circuits.
 
 Rows of a key are taken in sequence order inside a micro-batch and must not go back across batches.
-State is one value per key in the RocksDB store, read and written once per key and batch.  Closed ids are kept
-for good, so that a key's state grows with its ids, unless the caller gives a retention: repeats older than that are not
-recognised then.
+State lies in the RocksDB store: a few numbers per key, and one entry per id, of which a batch reads and writes only
+those it names.  Closed ids are kept for good, so that a key's state grows with its ids, unless the caller gives a
+retention: repeats older than that are not recognised then.
 """
 
 from __future__ import annotations
@@ -34,6 +34,85 @@ def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, tim
     return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time_mode)
 
 
+class _Book:
+    """Entries by id of one key: those a batch touches are read once and written once."""
+
+    def __init__(self, state) -> None:
+        self.state, self.seen, self.changed = state, {}, set()
+
+    def get(self, ident: int) -> tuple | None:
+        if ident not in self.seen:
+            found = self.state.getValue((ident,)) if self.state.exists() else None
+            self.seen[ident] = None if found is None else tuple(found)
+        return self.seen[ident]
+
+    def put(self, ident: int, entry: tuple | None) -> None:
+        self.seen[ident] = entry
+        self.changed.add(ident)
+
+    def write(self) -> None:
+        for ident in sorted(self.changed):
+            if self.seen[ident] is not None:
+                self.state.updateValue((ident,), self.seen[ident])
+            elif self.state.containsKey((ident,)):
+                self.state.removeKey((ident,))
+
+    def sweep(self, over) -> None:
+        """Remove the entries that ``over`` names; reads all of the key's entries."""
+        if self.state.exists():
+            for ident in [k[0] for k, entry in self.state.iterator() if over(tuple(entry))]:
+                self.state.removeKey((ident,))
+
+
+class _Once(StatefulProcessor):
+    def __init__(self, delay: int | None) -> None:
+        self.delay = delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.marks = handle.getValueState("marks", "high long, swept long")
+        self.ids = handle.getMapState("ids", "id long", "digest string, at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        high, swept = self.marks.get() if self.marks.exists() else (None, None)
+        book, out = _Book(self.ids), []
+        for r in _ordered(rows, "pos").itertuples(index=False):
+            who, at = int(r.event_id), int(r.at_ms)
+            known = book.get(who)
+            if known is not None:
+                outcome = "repeat" if known[0] == r.digest else "conflict"
+            elif self.delay is not None and high is not None and at < high - self.delay:
+                outcome = "late"
+            else:
+                outcome = "accepted"
+                book.put(who, (r.digest, at))
+                high = at if high is None else max(high, at)
+            out.append((key[0], who, r.pos, outcome))
+        book.write()
+        swept = high if swept is None else swept
+        if self.delay is not None and high is not None and high - swept > self.delay:
+            # what is older can only come again as a late row
+            book.sweep(lambda entry: entry[1] < high - self.delay)
+            swept = high
+        if high is not None:
+            self.marks.update((int(high), int(swept)))
+        yield from _emit(out, ["run_id", "event_id", "pos", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+def append_outcomes(events: DataFrame, delay_ms: int | None = None) -> DataFrame:
+    """Exactly-once append by event id with an outcome for every row (X2): accepted, repeat, conflict or late.
+
+    ``events``: run_id, event_id, pos (order of the log in its run), at_ms, digest (of the content).  The first row of an id is
+    accepted, a later one repeats it, or conflicts if its digest differs.  All ids of a run are kept; with ``delay_ms``, a
+    row of an unknown id that is older than the run's newest accepted time by more than that is late and not accepted, and
+    ids as old as that are forgotten now and then, so that their repeats, which have the same time, count as late too.
+    """
+    schema = "run_id long, event_id long, pos long, outcome string"
+    return _run(events, "run_id", _Once(delay_ms), schema, "None")
+
+
 class _Late(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.high = handle.getValueState("high", "at long")
@@ -64,45 +143,51 @@ class _Ledger(StatefulProcessor):
         self.cap, self.retain = cap, retain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "ledger", "spent long, held long, active array<long>, units array<long>, ended array<long>, ended_at array<long>")
+        self.sums = handle.getValueState("sums", "spent long, held long, last long, swept long")
+        self.ids = handle.getMapState("ids", "id long", "units long, ended long")  # ended: sequence number, -1 while active
 
-    def _decide(self, r, active, ended, spent, held):
-        """(reason, spent, held) of one operation; reason None means applied."""
-        op, who = r.operation, int(r.attempt_id)
+    def _decide(self, r, live, spent, held):
+        """(reason, spent, held, entry) of one operation on an id; reason None means applied."""
+        op, seq = r.operation, int(r.seq)
         res, act = (None if pd.isna(v) else int(v) for v in (r.res_units, r.act_units))
-        live = active.get(who)
+        active, ended = live is not None and live[1] < 0, live is not None and live[1] >= 0
         if op not in ("reserve", "settle", "cancel"):
-            return "unknown_operation", spent, held
+            return "unknown_operation", spent, held, live
         if (op == "reserve" and (res is None or act is not None)) or (op == "settle" and act is None) or (op == "cancel" and act is not None):
-            return "malformed_input", spent, held
+            return "malformed_input", spent, held, live
         if op == "reserve":
-            if live is not None or who in ended:
-                return "identity_conflict", spent, held
+            if active or ended:
+                return "identity_conflict", spent, held, live
             if spent + held + res > self.cap:
-                ended[who] = int(r.seq)
-                return "capacity_exceeded", spent, held
-            active[who] = res
-            return None, spent, held + res
-        if live is None:
-            return ("terminal_attempt" if who in ended else "unknown_attempt"), spent, held
-        if op == "settle" and act > live:
-            return "actual_over_reservation", spent, held
-        del active[who]
-        ended[who] = int(r.seq)
-        return None, spent + (act if op == "settle" else 0), held - live
+                return "capacity_exceeded", spent, held, (0, seq)
+            return None, spent, held + res, (res, -1)
+        if not active:
+            return ("terminal_attempt" if ended else "unknown_attempt"), spent, held, live
+        if op == "settle" and act > live[0]:
+            return "actual_over_reservation", spent, held, live
+        return None, spent + (act if op == "settle" else 0), held - live[0], (0, seq)
+
+    def _forgotten(self, entry, last) -> bool:
+        return self.retain is not None and 0 <= entry[1] <= last - self.retain
 
     def handleInputRows(self, key, rows, timerValues):
-        spent, held, ids, units, gone, when = self.state.get() if self.state.exists() else (0, 0, [], [], [], [])
-        active, ended = dict(zip(ids, units, strict=True)), dict(zip(gone, when, strict=True))
-        out, last = [], 0
+        spent, held, last, swept = self.sums.get() if self.sums.exists() else (0, 0, 0, 0)
+        book, out, now = _Book(self.ids), [], last
         for r in _ordered(rows, "seq").itertuples(index=False):
-            reason, spent, held = self._decide(r, active, ended, spent, held)
-            last = int(r.seq)
+            who = int(r.attempt_id)
+            live = book.get(who)
+            if live is not None and self._forgotten(live, last):
+                live = None
+            reason, spent, held, entry = self._decide(r, live, spent, held)
+            if entry != book.get(who):
+                book.put(who, entry)
+            now = int(r.seq)
             out.append((key[0], r.seq, reason is None, reason, spent, held))
-        if self.retain is not None:
-            ended = {k: v for k, v in ended.items() if v > last - self.retain}
-        self.state.update((int(spent), int(held), list(active), list(active.values()), list(ended), list(ended.values())))
+        book.write()
+        if self.retain is not None and now - swept >= self.retain:
+            book.sweep(lambda entry: self._forgotten(entry, now))
+            swept = now
+        self.sums.update((int(spent), int(held), int(now), int(swept)))
         yield from _emit(out, ["ledger", "seq", "applied", "reason", "spent_units", "held_units"])
 
     def close(self) -> None:
@@ -127,10 +212,9 @@ class _Quota(StatefulProcessor):
         self.width, self.attempts, self.base, self.ceiling, self.retain = width, attempts, base, ceiling, retain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.use = handle.getValueState("use", "win long, calls long, tokens long, open long, reset long")
-        self.books = handle.getValueState(
-            "books", "lease array<long>, lease_tokens array<long>, lease_win array<long>, id array<long>, attempt array<long>, "
-            "ready array<long>, dead array<boolean>, at array<long>")
+        self.use = handle.getValueState("use", "win long, calls long, tokens long, open long, reset long, at long, swept long")
+        # ready: time of the next attempt or -1; lease: tokens held or -1, from the window win; deadline: -1 for none
+        self.calls = handle.getMapState("calls", "id long", "attempt long, ready long, dead boolean, at long, lease long, win long, deadline long")
 
     def _backoff(self, n: int) -> int:
         return min(self.base << min(n - 1, 62), self.ceiling)
@@ -138,7 +222,7 @@ class _Quota(StatefulProcessor):
     def _identity(self, known, attempt):
         if known is None:
             return None if attempt == 0 else "identity"
-        last, ready, dead, _ = known
+        last, ready, dead, *_ = known
         if attempt == 0:
             return "terminal" if dead else "identity"
         if attempt >= self.attempts:
@@ -147,22 +231,28 @@ class _Quota(StatefulProcessor):
             return "terminal"
         return None if ready >= 0 and attempt == last + 1 else "identity"
 
+    def _forgotten(self, entry, at) -> bool:
+        return self.retain is not None and entry[4] < 0 and entry[3] <= at - self.retain
+
     def handleInputRows(self, key, rows, timerValues):
-        win, calls, tokens, open_, reset = self.use.get() if self.use.exists() else (-1, 0, 0, 0, 0)
-        b = self.books.get() if self.books.exists() else ([],) * 8
-        lease = {k: (t, x) for k, t, x in zip(*b[:3], strict=True)}
-        logical = {k: tuple(v) for k, *v in zip(*b[3:], strict=True)}
-        out, at = [], 0
+        win, calls, tokens, open_, reset, past, swept = self.use.get() if self.use.exists() else (-1, 0, 0, 0, 0, 0, 0)
+        book, out, at = _Book(self.calls), [], past
         for r in _ordered(rows, "seq").itertuples(index=False):
             at, who, n = int(r.at_ms), int(r.logical), int(r.tokens)
             if at // self.width != win:
                 win, calls, tokens = at // self.width, 0, 0
-            known = logical.get(who)
+            known = book.get(who)
+            if known is not None and self._forgotten(known, past):
+                known = None
             reasons, retry = [], None
             if r.op == "acquire":
+                asked = getattr(r, "deadline_ms", None)
+                deadline = known[6] if known is not None else -1 if pd.isna(asked) else int(asked)
                 bad = self._identity(known, int(r.attempt))
                 if bad:
                     reasons = [bad]
+                elif 0 <= deadline < at:
+                    reasons = ["deadline"]
                 elif at < reset:
                     reasons, retry = ["provider_reset"], reset
                 elif known is not None and at < known[1]:
@@ -173,33 +263,30 @@ class _Quota(StatefulProcessor):
                                                                         ("concurrency", open_ >= lim["concurrency"])) if full]
                 if not reasons:
                     calls, tokens, open_ = calls + 1, tokens + n, open_ + 1
-                    lease[who] = (n, win)
-                    logical[who] = (int(r.attempt), -1, False, at)
-            elif who not in lease:
+                    book.put(who, (int(r.attempt), -1, False, at, n, win, deadline))
+            elif known is None or known[4] < 0:
                 reasons = ["no_lease"]
             else:
-                held, when = lease[who]
+                last, _, _, _, held, when, deadline = known
                 if n > held:
                     reasons = ["actual_above_lease"]
                 else:
-                    del lease[who]
                     open_ -= 1
                     if when == win:
                         tokens -= held - n
-                    nxt = known[0] + 1
+                    nxt = last + 1
                     if r.op == "limited":
                         reset = max(reset, at + int(r.reset_ms))
                     if r.op in ("fail", "limited") and nxt < self.attempts:
                         retry = at + self._backoff(nxt)
                         retry = max(retry, reset) if r.op == "limited" else retry
-                    logical[who] = (known[0], -1 if retry is None else int(retry), retry is None, at)
+                    book.put(who, (last, -1 if retry is None else int(retry), retry is None, at, -1, -1, deadline))
             out.append((key[0], r.seq, not reasons, "|".join(reasons), retry, open_, calls, tokens))
-        if self.retain is not None:
-            logical = {k: v for k, v in logical.items() if k in lease or v[3] > at - self.retain}
-        self.use.update((int(win), int(calls), int(tokens), int(open_), int(reset)))
-        columns = [list(c) for c in zip(*logical.values(), strict=True)] or [[], [], [], []]
-        held = [list(c) for c in zip(*lease.values(), strict=True)] or [[], []]
-        self.books.update((list(lease), *held, list(logical), *columns))
+        book.write()
+        if self.retain is not None and at - swept >= self.retain:
+            book.sweep(lambda entry: self._forgotten(entry, at))
+            swept = at
+        self.use.update((int(win), int(calls), int(tokens), int(open_), int(reset), int(at), int(swept)))
         yield from _emit(out, ["provider", "seq", "ok", "reasons", "retry_at", "open", "calls", "tokens"])
 
     def close(self) -> None:
@@ -210,7 +297,8 @@ def quota_admission_stream(rows: DataFrame, provider: dict, aggregate: dict, wid
                            ceiling: int = 10_000, retain: int | None = None) -> DataFrame:
     """Admission with leases, resets and retries that cross windows.
 
-    ``rows``: provider, seq, at_ms, op (acquire / complete / fail / limited), logical, attempt, tokens, reset_ms.
+    ``rows``: provider, seq, at_ms, op (acquire / complete / fail / limited), logical, attempt, tokens, reset_ms and, if calls have
+    one, deadline_ms: the deadline of a call is that of its first admitted attempt, and later acquires are refused.
     ``retain``: calls without a lease are forgotten after this many ms; None keeps all.
     """
     schema = "provider long, seq long, ok boolean, reasons string, retry_at long, open long, calls long, tokens long"
@@ -223,38 +311,37 @@ class _Unknown(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.work = handle.getValueState("work", "task array<long>, units array<long>, due array<long>, timer long")
-
-    def _load(self):
-        if not self.work.exists():
-            return {}, -1
-        tasks, units, due, timer = self.work.get()
-        return {t: (u, w) for t, u, w in zip(tasks, units, due, strict=True)}, timer
-
-    def _save(self, work: dict, timer: int) -> None:
-        """One timer per run, at the earliest due work."""
-        first = min((w for _, w in work.values()), default=-1)
-        if first != -1 and (timer == -1 or first < timer):
-            self.handle.registerTimer(first)
-            timer = first
-        self.work.update((list(work), [u for u, _ in work.values()], [w for _, w in work.values()], timer))
+        self.work = handle.getMapState("work", "task long", "units long, due long")
+        self.due = handle.getMapState("due", "at long", "tasks array<long>")  # tasks whose patience ends at one time
 
     def handleInputRows(self, key, rows, timerValues):
-        work, timer = self._load()
+        work, due = _Book(self.work), _Book(self.due)
         for r in _ordered(rows, "at_ms").itertuples(index=False):
             if r.op == "dispatch":
-                work[int(r.task_id)] = (int(r.units), int(r.at_ms) + self.patience)
+                end = int(r.at_ms) + self.patience
+                work.put(int(r.task_id), (int(r.units), end))
+                at = due.get(end)
+                if at is None:
+                    self.handle.registerTimer(end)
+                due.put(end, ([*(at[0] if at else []), int(r.task_id)],))
             elif r.op == "settle":
-                work.pop(int(r.task_id), None)
-        self._save(work, timer)
+                work.put(int(r.task_id), None)
+        work.write()
+        due.write()
         yield pd.DataFrame({"run_id": [], "task_id": [], "charged": [], "due_ms": []}).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        work, _ = self._load()
-        now = timerValues.getCurrentWatermarkInMs()
-        due = [(key[0], t, u, w) for t, (u, w) in work.items() if w <= now]
-        self._save({t: v for t, v in work.items() if v[1] > now}, -1)
-        yield from _emit(due, ["run_id", "task_id", "charged", "due_ms"])
+        end, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        work, due = _Book(self.work), _Book(self.due)
+        for task in dict.fromkeys((due.get(end) or ([],))[0]):
+            entry = work.get(task)
+            if entry is not None and entry[1] == end:  # neither settled nor dispatched anew
+                out.append((key[0], task, entry[0], end))
+                work.put(task, None)
+        due.put(end, None)
+        work.write()
+        due.write()
+        yield from _emit(out, ["run_id", "task_id", "charged", "due_ms"])
 
     def close(self) -> None:
         pass

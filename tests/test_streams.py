@@ -29,10 +29,42 @@ class Memory:
         self.value = tuple(value)
 
 
+class Entries(dict):
+    """Stands in for a map state; counts what is written."""
+
+    written = 0
+
+    def exists(self):
+        return len(self) > 0
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.written += 1
+        self[key] = tuple(value)
+
+    def removeKey(self, key):
+        self.written += 1
+        del self[key]
+
+    def containsKey(self, key):
+        return key in self
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
 class Handle:
+    def __init__(self):
+        self.maps = {}
+
     def getValueState(self, name, schema):
         return Memory()
 
+    def getMapState(self, name, key_schema, schema):
+        return self.maps.setdefault(name, Entries())
+
 
 def model(rows):
     """Two token buckets refilled at each window, leases, a reset time and retry states, one row at a time."""
@@ -90,6 +122,77 @@ def model(rows):
     return out
 
 
+def test_a_small_batch_writes_little():
+    """A ledger, and a provider, with 100,000 closed ids take ten rows."""
+    op = lambda seq, name, who, res, act: {"seq": seq, "operation": name, "attempt_id": who, "res_units": res, "act_units": act}
+    ledger, handle = stateful._Ledger(10**9, None), Handle()
+    ledger.init(handle)
+    feed = lambda p, rows: [r for pdf in p.handleInputRows((1,), iter([pd.DataFrame(rows)]), None) for r in pdf.itertuples()]
+    feed(ledger, [op(2 * i + j, name, i, 5 if not j else None, 5 if j else None) for i in range(100_000) for j, name in enumerate(("reserve", "settle"))])
+    ids = handle.maps["ids"]
+    assert len(ids) == 100_000
+    ids.written = 0
+    out = feed(ledger, [op(300_000 + i, "reserve", 99_995 + i, 5, None) for i in range(10)])
+    assert [r.reason for r in out] == ["identity_conflict"] * 5 + [None] * 5 and ids.written == 5 and len(ids) == 100_005
+    lim = {"rpm": 10**6, "tpm": 10**9, "concurrency": 10**6}
+    quota, handle = stateful._Quota(lim, lim, 10**9, 3, 10, 100, None), Handle()
+    quota.init(handle)
+    call = lambda seq, name, who: {"seq": seq, "at_ms": seq, "op": name, "logical": who, "attempt": 0, "tokens": 1, "reset_ms": 0}
+    feed(quota, [call(2 * i + j, name, i) for i in range(100_000) for j, name in enumerate(("acquire", "complete"))])
+    handle.maps["calls"].written = 0
+    out = feed(quota, [call(300_000 + i, "acquire", 99_995 + i) for i in range(10)])
+    assert [r.reasons for r in out] == ["terminal"] * 5 + [""] * 5 and handle.maps["calls"].written == 5
+
+
+def test_retention_forgets_ended_ids_only():
+    op = lambda seq, name, who, res: {"seq": seq, "operation": name, "attempt_id": who, "res_units": res, "act_units": None}
+    ledger, handle = stateful._Ledger(100, 50), Handle()
+    ledger.init(handle)
+    got = []
+    for rows in ([op(1, "reserve", 7, 5), op(2, "cancel", 7, None), op(3, "reserve", 8, 5)], [op(60, "reserve", 9, 5)], [op(61, "reserve", 7, 5), op(62, "reserve", 8, 5)]):
+        got += [r.reason for pdf in ledger.handleInputRows((1,), iter([pd.DataFrame(rows)]), None) for r in pdf.itertuples()]
+    assert got == [None, None, None, None, None, "identity_conflict"] and set(handle.maps["ids"]) == {(7,), (8,), (9,)}
+
+
+def test_deadline_of_the_first_attempt():
+    lim = {"rpm": 9, "tpm": 99, "concurrency": 9}
+    quota = stateful._Quota(lim, lim, 1000, 3, 10, 100, None)
+    quota.init(Handle())
+    row = lambda seq, at, op, who, attempt, deadline: {"seq": seq, "at_ms": at, "op": op, "logical": who, "attempt": attempt, "tokens": 1, "reset_ms": 0, "deadline_ms": deadline}
+    rows = [row(1, 50, "acquire", 1, 0, 49), row(2, 50, "acquire", 1, 0, 50), row(3, 51, "fail", 1, 0, None), row(4, 90, "acquire", 1, 1, 500),
+            row(5, 90, "acquire", 2, 0, None), row(6, 91, "fail", 2, 0, None), row(7, 10**6, "acquire", 2, 1, 5)]
+    got = [r.reasons for pdf in quota.handleInputRows((1,), iter([pd.DataFrame(rows)]), None) for r in pdf.itertuples()]
+    assert got == ["deadline", "", "", "deadline", "", "", ""]
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_every_row_has_one_outcome(spark, batches):
+    rnd = random.Random(9)
+    rows, times = [], {}
+    for pos in range(120):
+        run, who = rnd.randint(1, 2), rnd.randint(max(0, pos // 3 - 30), pos // 3)
+        at = times.setdefault((run, who), 10 * pos - rnd.choice([0, 0, 0, 300]))  # a repeat has the time of its row
+        rows.append((run, who, pos, at, rnd.choice("ab")))
+    df = spark.createDataFrame(rows, "run_id long, event_id long, pos long, at_ms long, digest string")
+    path = fresh_dir(spark, "once")
+    for k in range(batches):
+        df.where(F.col("pos").between(k * 120 // batches, (k + 1) * 120 // batches - 1)).coalesce(1).write.mode("append").parquet(path)
+    got = {r.pos: r.outcome for r in jobs.drain(stateful.append_outcomes(jobs.tail(spark, path, df.schema, 1), 250), "once").collect()}
+    known, high, want, forgotten = {}, {}, {}, 0
+    for run, who, pos, at, digest in rows:
+        if (run, who) in known:
+            want[pos] = "repeat" if known[run, who][0] == digest else "conflict"
+            if got[pos] == "late":  # forgotten by then
+                assert known[run, who][1] < high[run] - 250
+                want[pos], forgotten = "late", forgotten + 1
+        elif at < high.get(run, -(10**9)) - 250:
+            want[pos] = "late"
+        else:
+            want[pos], known[run, who] = "accepted", (digest, at)
+            high[run] = max(at, high.get(run, at))
+    assert got == want and set(want.values()) == {"accepted", "repeat", "conflict", "late"}
+
+
 def history(seed):
     rnd = random.Random(seed)
     at, rows, newest, waiting = 0, [], 0, []

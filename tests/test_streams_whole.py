@@ -7,28 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyline.session import fresh_dir
 from tallyline.streaming import jobs, stateful
+from test_streams import Handle
 
 DAY = 86_400
 
 
-class Memory:
-    value = None
-
-    def exists(self):
-        return self.value is not None
-
-    def get(self):
-        return self.value
-
-    def update(self, value):
-        self.value = tuple(value)
-
-
-class Handle:
-    def getValueState(self, name, schema):
-        return Memory()
-
-
 def default(fn):
     return inspect.signature(fn).parameters["retain"].default
 
