@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyline.session import durable, fresh_dir, tune
 
 __all__ = [
-    "ARROW_ROWS", "arrow_map", "base", "crc_mod", "durable", "fresh_dir", "open_store", "plain_words", "space_words", "table", "text_bytes",
+    "ARROW_ROWS", "arrow_map", "base", "crc_mod", "durable", "free_name", "fresh_dir", "open_store", "plain_words", "space_words", "table", "text_bytes",
 ]
 
 ARROW_ROWS = 256  # rows of one Arrow batch, so that a batch of long texts stays a few MB
@@ -51,6 +51,14 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value's decimal text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_map, durable, plain_words, text_bytes
+from tallyline.llm.common import arrow_map, durable, free_name, plain_words, text_bytes
 
 WINDOW = 13
 ITEM_BYTES = 2_000_000  # item text per automaton; more items are walked in further passes
@@ -150,12 +150,15 @@ def _listed(rows: DataFrame) -> list[tuple[str, bytes]]:
     return [(r["item_id"], r["text"].encode()) for r in rows.orderBy("item_id", "text").collect()]  # about ITEM_BYTES at most
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """ROW, doc_id, n_words, spans (flat pairs of word positions), items (ids with an occurring window) of every document."""
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, row: str | None = None) -> DataFrame:
+    """ROW, doc_id, n_words, spans (flat pairs of word positions), items (ids with an occurring window) of every document.
+
+    ROW is the column ``row`` of ``docs``, else a number made here; a column of that name is not read.
+    """
     spark = docs.sparkSession
     n, rows = _groups(items)
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW)
-    numbered = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    number = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
+    numbered = docs.select(number.alias(ROW), F.col("doc_id").cast("long").alias("doc_id"), "text")
     if n > 1:
         numbered = durable(numbered)
     out = None
@@ -206,7 +209,7 @@ def _covered(spans: list[int]) -> int:
     return total
 
 
-def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = 20) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = 20, row: str | None = None) -> DataFrame:
     """ROW, doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and coverage * n_hit >= n_words).
 
     Null and empty texts have no words; items without words or id have no windows; repeated items count once by id; repeated
@@ -223,37 +226,46 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: in
                 "contaminated": pa.array([h > 0 and coverage * h >= w for h, w in zip(hit, batch["n_words"].to_pylist(), strict=True)]),
             })
 
-    return arrow_map(hits(docs, items, window), digest, "__row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return arrow_map(hits(docs, items, window, row), digest, "__row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = 20) -> DataFrame:
     """``docs`` without the matched spans of contaminated documents: a document over the coverage limit loses the text of its
-    spans, one whose words are all hit is left out, all others stay as they are."""
-    n, rows = _groups(items)
-    if n > 1:
-        raise ValueError(f"items exceed {ITEM_BYTES} bytes; use hits() and report()")
-    shared = docs.sparkSession.sparkContext.broadcast(_listed(rows))
+    spans, one whose words are all hit is left out, all others stay as they are.
+
+    Null and empty texts have no words and stay; repeated rows are cut each.  Works for any number of item groups.
+    """
+    row, found = free_name(docs, "__row"), free_name(docs, "__spans")
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    spans = hits(numbered, items, window, row).select(F.col(ROW).alias(row), F.struct("n_words", "spans").alias(found))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(shared.value, window)
         for batch in batches:
             texts, keep = [], []
-            for data in text_bytes(batch["text"]):
-                words = plain_words(data)
-                spans, _ = auto.matches(words)
-                hit = sum(b - a for a, b in spans)
-                if hit and coverage * hit >= len(words):
-                    keep.append(hit < len(words))
-                    texts.append(_without(data, spans).decode() if keep[-1] else None)
-                else:
-                    keep.append(True)
-                    texts.append(None)
-            old = batch["text"].to_pylist()
+            for data, hit in zip(text_bytes(batch["text"]), batch[found].to_pylist(), strict=True):
+                own = _merged(hit["spans"])
+                n = sum(b - a for a, b in own)
+                over = n > 0 and coverage * n >= hit["n_words"]
+                keep.append(not over or n < hit["n_words"])
+                texts.append(_without(data, own).decode() if over and keep[-1] else None)
+            batch = batch.select(docs_columns)
             at = batch.schema.get_field_index("text")
-            new = pa.array([o if t is None else t for o, t in zip(old, texts, strict=True)], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), new).filter(pa.array(keep))
+            new = pa.array([o if t is None else t for o, t in zip(batch["text"].to_pylist(), texts, strict=True)], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), new).filter(pa.array(keep, pa.bool_()))
+
+    docs_columns = docs.columns
+    return arrow_map(numbered.join(spans, row), cut, docs.schema)
+
 
-    return arrow_map(docs, cut, docs.schema)
+def _merged(spans: list[int]) -> list[tuple[int, int]]:
+    """Flat pairs as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -266,12 +278,16 @@ def _without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = 20) -> DataFrame:
-    """``docs`` without contaminated documents; columns and other rows as they were."""
+    """``docs`` without contaminated documents; columns and other rows as they were.
+
+    Null and empty texts have no words and stay; repeated rows are judged each.
+    """
     n, rows = _groups(items)
     if n > 1:  # a document can reach the limit by several groups together
-        numbered = durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
-        bad = report(numbered, items, window, coverage).where("contaminated").select(ROW)
-        return numbered.join(bad, ROW, "left_anti").drop(ROW)
+        row = free_name(docs, "__row")
+        numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+        bad = report(numbered, items, window, coverage, row).where("contaminated").select(F.col(ROW).alias(row))
+        return numbered.join(bad, row, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(_listed(rows))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

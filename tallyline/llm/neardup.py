@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_map, base, durable, space_words, text_bytes
+from tallyline.llm.common import arrow_map, base, durable, free_name, space_words, text_bytes
 from tallyline.llm.components import components, extended
 
 K, SHARED = 48, 20
@@ -262,9 +262,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with empty sets all stay.  Row numbers are written with the rows before anything is decided by them.
     """
-    rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()))
-    placed = _placed(rows, "__row")
+    row = free_name(docs, "__row")
+    rows = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    placed = _placed(rows, row)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
-    keep = placed.where("root is not null").groupBy("root").agg(first).select(F.col("first.__row").alias("__row"))
-    keep = keep.unionByName(placed.where("root is null").select("__row"))
-    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+    keep = placed.where("root is not null").groupBy("root").agg(first).select(F.col("first.__row").alias(row))
+    keep = keep.unionByName(placed.where("root is null").select(F.col("__row").alias(row)))
+    return rows.join(keep, row, "left_semi").select(*docs.columns)

@@ -7,6 +7,7 @@ into one Spark column expression over the statistics.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,9 +49,9 @@ def statistics(data: bytes) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` and one column per statistic (their names start with PREFIX)."""
-    names = [PREFIX + s for s in STATS]
+def with_statistics(docs: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """``docs`` and one column per statistic (their names start with ``prefix``)."""
+    names = [prefix + s for s in STATS]
     kept = docs.drop(*names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +139,13 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = 0.002) -> tuple[float,
     return b, [(float(w), q) for w, q in zip(a, found, strict=True) if abs(w) > 1e-6]
 
 
-def compiled(model: tuple[float, list[tuple[float, Rule]]]) -> Column:
+def compiled(model: tuple[float, list[tuple[float, Rule]]], prefix: str = PREFIX) -> Column:
     """The model as a column expression: a probability between 0 and 1."""
     total = F.lit(model[0])
     for weight, rule in model[1]:
         test = None
         for j, above, cut in rule:
-            c = F.col(PREFIX + STATS[j])
+            c = F.col(prefix + STATS[j])
             one = c > F.lit(cut) if above else c <= F.lit(cut)
             test = one if test is None else test & one
         total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
@@ -171,7 +172,17 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents scored below the threshold; columns as they were."""
+    """``docs`` without the documents scored below the threshold; columns as they were.
+
+    Null and empty texts and repeated rows are scored like any other.  Without labels of both classes the model has no rules,
+    and all documents stay, with a warning.
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = learn(with_statistics(slim.join(F.broadcast(sample(labels, "quality", {0: PER_CLASS, 1: PER_CLASS}).select("doc_id")), "doc_id", "left_semi")), labels)
-    return with_statistics(docs).where(compiled(model) >= threshold).select(*docs.columns)
+    if not model[1]:
+        warnings.warn("no quality rules without labels of both classes: all documents stay", stacklevel=2)
+        return docs
+    prefix = PREFIX
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return with_statistics(docs, prefix).where(compiled(model, prefix) >= threshold).select(*docs.columns)

@@ -35,7 +35,7 @@ def points(docs: DataFrame) -> DataFrame:
     """uid, doc_id, size, text_crc32, tie (44 bits) and the coordinates; null text has size 1 and the empty text's crc."""
     text = F.coalesce(F.col("text"), F.lit(""))
     have = set(docs.columns)
-    col = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind)
+    col = lambda name, kind: (F.col(name).try_cast(kind) if name in have else F.lit(None).cast(kind))
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("h"),

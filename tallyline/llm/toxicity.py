@@ -11,6 +11,7 @@ equal windows (by class) are computed once per batch.
 from __future__ import annotations
 
 import bisect
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import arrow_map, plain_words, text_bytes
+from tallyline.llm.common import arrow_map, free_name, plain_words, text_bytes
 from tallyline.llm.labelled import held_out, sample, trainable
 
 THRESHOLD = 0.3
@@ -329,6 +330,14 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents scored at or above the threshold; columns as they were."""
+    """``docs`` without the documents scored at or above the threshold; columns as they were.
+
+    Null and empty texts and repeated rows are scored like any other.  Without labels of both classes there is no model, and
+    all documents stay, with a warning.
+    """
     model, share = learn(docs, labels)
-    return with_scores(docs, model, "__toxicity", share).where(F.col("__toxicity") < threshold).select(*docs.columns)
+    if model is None:
+        warnings.warn("no toxicity model without labels of both classes: all documents stay", stacklevel=2)
+        return docs
+    column = free_name(docs, "__toxicity")
+    return with_scores(docs, model, column, share).where(F.col(column) < threshold).select(*docs.columns)
