@@ -138,17 +138,25 @@ def record_identities(spark, d):
                     short_identity(F.lit("attempt"), F.col("source"), F.col("doc_id").cast("string")).alias("identity"))
 
 
-@query("set_digests", w(ARTIFACTS) + """
-, b AS (SELECT producer, substr(artifact_id, 1, 4) AS b, sha256('["' || string_agg(artifact_id, '","' ORDER BY artifact_id) || '"]') AS d, count(*) AS n FROM artifacts GROUP BY ALL)
-SELECT producer, CAST(sum(n) AS BIGINT) AS records, sha256('["' || string_agg(d, '","' ORDER BY b, d) || '"]') AS set_digest FROM b GROUP BY producer""")
+def _tree(leaves: str, key: str, levels) -> str:
+    """Statement of a hash tree over ``l`` (key, p, o, n): one level per number of leading digits, then the root."""
+    out, last = f", l AS ({leaves}), t AS (SELECT {key}, p AS place, sha256('[\"' || string_agg(o || ' ' || n, '\",\"' ORDER BY o) || '\"]') AS d, sum(n) AS n FROM l GROUP BY ALL)", "t"
+    for k in levels:
+        name = f"t{k}"
+        out += f", {name} AS (SELECT {key}, substr(place, 1, {k}) AS up, sha256('[\"' || string_agg(d, '\",\"' ORDER BY place) || '\"]') AS d, sum(n) AS n FROM {last} GROUP BY ALL)"
+        out += f", {name}a AS (SELECT {key}, up AS place, d, n FROM {name})"
+        last = name + "a"
+    return out + f" SELECT {key}, CAST(n AS BIGINT) AS records, d AS set_digest FROM {last}"
+
+
+@query("set_digests", w(ARTIFACTS) + _tree("SELECT producer, substr(sha256(artifact_id), 1, 9) AS p, artifact_id AS o, count(*) AS n FROM artifacts GROUP BY ALL", "producer", (6, 3, 0)))
 def set_digests(spark, d):
     return evd.set_digest(fx.artifacts(spark, d), ["producer"], "artifact_id")
 
 
 @query("chain_digests", w(EVENTS) + """
-, e AS (SELECT run_id, sequence, sha256('{"event_id":' || event_id || '}') AS d FROM ev),
-b AS (SELECT run_id, sequence >> 12 AS b, sha256('["' || string_agg(d, '","' ORDER BY sequence) || '"]') AS d, count(*) AS n FROM e GROUP BY ALL)
-SELECT run_id, CAST(sum(n) AS BIGINT) AS records, sha256('["' || string_agg(d, '","' ORDER BY b) || '"]') AS set_digest FROM b GROUP BY run_id""")
+, e AS (SELECT run_id, sequence, sha256('{"event_id":' || event_id || '}') AS d FROM ev)""" + _tree(
+    "SELECT run_id, lpad(hex(CAST(sequence AS BIGINT)), 16, '0') || substr(sha256(d), 1, 9) AS p, d AS o, count(*) AS n FROM e GROUP BY ALL", "run_id", (22, 19, 16, 13, 10, 7, 4, 1, 0)))
 def chain_digests(spark, d):
     return evd.set_digest(fx.events(spark, d).withColumn("digest", seal(["event_id"])), ["run_id"], "digest", "sequence")
 

@@ -113,18 +113,29 @@ def as_of_lookup(calls: DataFrame, snapshots: DataFrame, keys: Sequence[str], at
 
 
 def set_digest(df: DataFrame, keys: Sequence[str], digest: str, order: str | None = None) -> DataFrame:
-    """Digest of a set of record digests per key.
+    """Digest of a set, or with ``order`` of a chain, of record digests per key: a hash tree of fixed fan-in.
 
-    Records hash in blocks by leading hex digits (sets) or order range (chains); the block digests hash
-    again.  A block is the unit one task sorts, so the value is fixed by the records and the block rule.
+    A record's place is a string of hex digits: the first digits of the SHA-256 of its digest (sets), or its order number and
+    then those (chains).  Equal records are one leaf with their number.  Records of one place hash to a node, and up to 4,096
+    nodes that agree on all but the last three digits hash to the next, so the value is fixed by the records alone and no task
+    gathers more than a node's children.  A NULL digest is a record of its own; NULL orders come last.
     """
-    block = F.substring(digest, 1, 4) if order is None else F.shiftright(F.col(order), 12)
-    item = F.struct(F.lit(0).cast("long").alias("o"), F.col(digest).alias("d")) if order is None else F.struct(
-        F.col(order).cast("long").alias("o"), F.col(digest).alias("d"))
-    text = lambda c: F.to_json(F.transform(F.array_sort(F.collect_list(c)), lambda i: i["d"]))
-    inner = df.groupBy(*keys, block.alias("__b")).agg(F.sha2(text(item), 256).alias("__d"), F.count("*").alias("__n"))
-    outer = F.struct(F.col("__b").alias("o"), F.col("__d").alias("d"))
-    return inner.groupBy(*keys).agg(F.sum("__n").alias("records"), F.sha2(text(outer), 256).alias("set_digest"))
+    keys = list(keys)
+    name = F.substring(F.sha2(F.coalesce(F.col(digest).cast("string"), F.lit("")), 256), 1, 9)
+    place, width, top = name, 9, 3
+    if order is not None:
+        place, width, top = F.concat(F.coalesce(F.lpad(F.hex(F.col(order).cast("long")), 16, "0"), F.lit("Z" * 16)), name), 25, 13
+    text = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__d"))), lambda i: i["__d"]))
+    node = [F.sha2(text, 256).alias("__d"), F.sum("__n").alias("__n")]
+    x = df.groupBy(*keys, place.alias("__p"), F.col(digest).cast("string").alias("__o")).agg(F.count("*").alias("__n"))
+    x = x.withColumns({"__top": F.substring("__p", 1, top), "__d": F.concat_ws(" ", "__o", "__n")}).repartition(*keys, "__top")
+    x = x.groupBy(*keys, "__top", "__p").agg(*node)  # this level and those down to "__top" lie in one partition each
+    for at in range(width - 3, -1, -3):
+        x = x.withColumnRenamed("__p", "__o")
+        x = x.groupBy(*keys, *(["__top"] if at >= top else []), F.substring("__o", 1, at).alias("__p")).agg(*node)
+    if at > 0:
+        x = x.withColumnRenamed("__p", "__o").groupBy(*keys).agg(*node)
+    return x.select(*keys, F.col("__n").alias("records"), F.col("__d").alias("set_digest"))
 
 
 def manifest_breaches(declared: DataFrame, payloads: DataFrame, key: str) -> DataFrame:

@@ -43,60 +43,41 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> DataFram
 def levels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Topological level of every node on an edge src -> dst; NULL for nodes on or behind a cycle."""
     keys = list(keys)
-    left = durable(edges.select(*keys, "src", "dst").distinct())
-    nodes = left.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    removed, level = [], 0
-    while not left.isEmpty():
-        waiting = left.select(*keys, F.col("dst").alias("src")).distinct()
-        free = durable(left.join(waiting, [*keys, "src"], "left_anti"))
-        if free.isEmpty():
-            break
-        level += 1
-        removed.append(free.select(*keys, F.col("dst").alias("node"), F.lit(level).cast("long").alias("level")))
-        left = durable(left.join(waiting, [*keys, "src"], "left_semi"))
-        if len(removed) > COMPACT:
-            removed = [durable(_union(removed).groupBy(*keys, "node").agg(F.max("level").alias("level")))]
-    stuck = left.select(*keys, F.col("dst").alias("node")).distinct().withColumn("__stuck", F.lit(True))
-    if not removed:
-        return nodes.join(stuck, [*keys, "node"], "left").select(
-            *keys, "node", F.when(F.col("__stuck").isNull(), F.lit(0).cast("long")).alias("level"))
-    depth = _union(removed).groupBy(*keys, "node").agg(F.max("level").alias("__l"))
-    return nodes.join(depth, [*keys, "node"], "left").join(stuck, [*keys, "node"], "left").select(
-        *keys, "node", F.when(F.col("__stuck").isNull(), F.coalesce("__l", F.lit(0).cast("long"))).alias("level")
-    )
+    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    nodes = back.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("__one", F.lit(1).cast("long"))
+    return longest_path(durable(nodes), back, keys, "__one").select(*keys, "node", (F.col("rank") - 1).alias("level"))
 
 
 def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Own weight plus the heaviest chain of what follows along src -> dst; NULL on overflow.
 
     ``nodes``: keys, node, weight; unknown edge ends are ignored.  Nodes on a cycle, or with one ahead of them, have no
-    heaviest chain: their rank is NULL, and the other nodes keep theirs.
+    heaviest chain: their rank is NULL, and the other nodes keep theirs.  One peel from the last nodes: a node is ranked in
+    the round in which the last of its successors was, so an edge is read by one round and a round writes one table.
     """
     keys = list(keys)
+    own = nodes.select(*keys, "node", F.col(weight).alias("rank"), F.col(weight).isNull().alias("bad"))
     w = nodes.select(*keys, F.col("node").alias("src"), F.col(weight).alias("__w"))
     ends = nodes.select(*keys, F.col("node").alias("dst"))
-    hops = durable(edges.join(w, [*keys, "src"]).join(ends, [*keys, "dst"], "left_semi").distinct())
-    # against the edges, a node that reaches a cycle lies behind it and has no level
-    turned = levels(hops.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")), keys)
-    endless = durable(turned.where("level is null").select(*keys, "node"))
-    hops = hops.join(endless.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti")
-    lost = endless.select(*keys, "node", F.lit(True).alias("__endless"))
-    own = nodes.join(lost, [*keys, "node"], "left")
-    frontier = own.select(*keys, "node", F.col(weight).alias("rank"), (F.col(weight).isNull() | F.col("__endless").isNotNull()).alias("bad"))
-    walks = [frontier]
-    while True:
-        up = hops.join(frontier.withColumnRenamed("node", "dst"), [*keys, "dst"])
+    hops = edges.select(*keys, "src", "dst").distinct().join(w, [*keys, "src"]).join(ends, [*keys, "dst"], "left_semi")
+    hops = durable(hops)
+    ahead = durable(hops.groupBy(*keys, F.col("src").alias("node")).agg(F.count("*").alias("__ahead")))
+    ranked = [durable(own.join(ahead, [*keys, "node"], "left_anti"))]
+    open_ = None  # nodes of which some successors are ranked: how many, and the best so far
+    while not ranked[-1].isEmpty():
+        last = ranked[-1].select(*keys, F.col("node").alias("dst"), "rank", "bad")
         step = F.try_add(F.col("__w"), F.col("rank"))
-        frontier = durable(
-            up.groupBy(*keys, F.col("src").alias("node"))
-            .agg(F.max(step).alias("rank"), F.bool_or(step.isNull()).alias("bad"))
-        )
-        if frontier.isEmpty():
-            best = _union(walks).groupBy(*keys, "node").agg(F.max("rank").alias("__r"), F.bool_or("bad").alias("__bad"))
-            return best.select(*keys, "node", F.when(~F.col("__bad"), F.col("__r")).alias("rank"))
-        walks.append(frontier)
-        if len(walks) > COMPACT:
-            walks = [durable(_union(walks).groupBy(*keys, "node").agg(F.max("rank").alias("rank"), F.bool_or("bad").alias("bad")))]
+        found = hops.join(last, [*keys, "dst"]).select(
+            *keys, F.col("src").alias("node"), F.lit(1).cast("long").alias("__seen"), step.alias("rank"), (F.col("bad") | step.isNull()).alias("bad"))
+        found = found if open_ is None else found.unionByName(open_.select(*found.columns))
+        state = found.groupBy(*keys, "node").agg(F.sum("__seen").alias("__seen"), F.max("rank").alias("rank"), F.bool_or("bad").alias("bad"))
+        state = durable(state.join(ahead, [*keys, "node"]))
+        open_ = state.where("__seen < __ahead")
+        ranked.append(state.where("__seen = __ahead").select(*keys, "node", "rank", "bad"))
+        if len(ranked) > COMPACT:
+            ranked = [durable(_union(ranked[:-1])), ranked[-1]]
+    best = _union(ranked).select(*keys, "node", F.when(~F.col("bad"), F.col("rank")).alias("rank"))
+    return own.select(*keys, "node").join(best, [*keys, "node"], "left")
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:

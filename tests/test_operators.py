@@ -129,3 +129,72 @@ def test_evidence_times_in_nanoseconds(spark):
     uses = spark.createDataFrame([(1, 1, "x", at, at), (1, 2, "y", at, at), (1, 3, "z", at, at), (1, 4, "q", at, at)], "k long, i long, ref string, pos long, at long")
     got = {r.i: r.code for r in evd.evidence_causality(uses, a, ["k"], ["i"], "ref", "pos", "at").collect()}
     assert got == {2: "evidence_causality_violation", 3: "evidence_causality_violation", 4: "missing_evidence_artifact"}
+
+
+def test_ranks_and_levels_of_random_graphs(spark):
+    rnd = random.Random(5)
+    nodes, edges, want_rank, want_level = [], [], {}, {}
+    for g in range(12):
+        n = rnd.randint(1, 14)
+        w = {i: rnd.choice([None, *range(1, 9)]) if g % 4 == 3 else rnd.randint(1, 9) for i in range(n)}
+        arcs = {(a, b) for a in range(n) for b in range(n) if rnd.random() < 0.16 and (g % 3 == 2 or a < b)}
+        nodes += [(g, i, w[i]) for i in range(n)]
+        edges += [(g, a, b) for a, b in arcs] + [(g, a, b) for a, b in arcs if rnd.random() < 0.2]
+
+        def longest(i, step, cost, path=()):
+            """None where the walk meets a cycle or an unknown weight."""
+            if i in path or cost(i) is None:
+                return None
+            below = [longest(j, step, cost, (*path, i)) for j in step(i)]
+            return None if None in below else cost(i) + max(below, default=0)
+
+        for i in range(n):
+            want_rank[g, i] = longest(i, lambda a: [y for x, y in arcs if x == a], w.get)
+            if any(i in e for e in arcs):
+                top = longest(i, lambda b: [x for x, y in arcs if y == b], lambda _: 1)
+                want_level[g, i] = None if top is None else top - 1
+    nd = spark.createDataFrame(nodes, "r long, node long, w long")
+    ed = spark.createDataFrame(edges, "r long, src long, dst long")
+    assert {(r.r, r.node): r["rank"] for r in gr.longest_path(nd, ed, ["r"], "w").collect()} == want_rank
+    assert {(r.r, r.node): r.level for r in gr.levels(ed, ["r"]).collect()} == want_level
+    empty = ed.where("r < 0")
+    assert gr.levels(empty, ["r"]).count() == 0
+    assert {(r.r, r.node): r["rank"] for r in gr.longest_path(nd, empty, ["r"], "w").collect()} == {(r, i): w for r, i, w in nodes}
+
+
+def _tree(leaves, levels):
+    import hashlib
+    import json
+
+    sha = lambda xs: hashlib.sha256(json.dumps(xs, separators=(",", ":")).encode()).hexdigest()
+    at = {}
+    for place, name, n in sorted(leaves):
+        at.setdefault(place, []).append(f"{name} {n}")
+    at = {p: sha(v) for p, v in at.items()}
+    for k in levels:
+        up = {}
+        for p in sorted(at):
+            up.setdefault(p[:k], []).append(at[p])
+        assert max(map(len, up.values())) <= 4096
+        at = {p: sha(v) for p, v in up.items()}
+    return at[""]
+
+
+def test_digest_trees(spark):
+    import hashlib
+    from collections import Counter
+
+    name = lambda t: hashlib.sha256(t.encode()).hexdigest()[:9]
+    ids = spark.range(40_000).select((F.col("id") % 2).alias("k"), "id", F.concat(F.lit("sha256:"), F.when(F.col("id") < 15_000, F.lit("same")).otherwise(F.col("id").cast("string"))).alias("d"))
+    rows = [(r.k, r.id, r.d) for r in ids.collect()]
+    got = {r.k: (r.records, r.set_digest) for r in evd.set_digest(ids, ["k"], "d").collect()}
+    again = {r.k: (r.records, r.set_digest) for r in evd.set_digest(ids.orderBy(F.rand(3)).repartition(7), ["k"], "d").collect()}
+    chain = {r.k: (r.records, r.set_digest) for r in evd.set_digest(ids, ["k"], "d", "id").collect()}
+    for k in (0, 1):
+        mine = Counter(d for kk, _, d in rows if kk == k)
+        assert got[k] == again[k] == (20_000, _tree([(name(d), d, n) for d, n in mine.items()], (6, 3, 0)))
+        steps = [(f"{i:016X}" + name(d), d, 1) for kk, i, d in rows if kk == k]
+        assert chain[k] == (20_000, _tree(steps, (22, 19, 16, 13, 10, 7, 4, 1, 0)))
+    odd = spark.createDataFrame([(1, None, None), (1, None, None), (1, 2, "a"), (1, 2, "a")], "k long, o long, d string")
+    assert evd.set_digest(odd, ["k"], "d").first().records == evd.set_digest(odd, ["k"], "d", "o").first().records == 4
+    assert evd.set_digest(odd.where("k = 0"), ["k"], "d").count() == 0
