@@ -180,6 +180,11 @@ def trials(spark, d) -> DataFrame:
         (F.col("value") < 50).alias("passed"),
         units.alias("duration"),
         F.when(F.col("event_type") == "error", units).alias("recovery"),
+        F.when(F.col("event_type") == "view", units * 2).alias("direct"),
+        F.when(F.col("event_type") != "error", units + F.col("event_id") % 7).alias("overhead"),
+        F.when(F.col("event_id") % 5 == 0, 1).otherwise(0).cast("long").alias("calls"),
+        (F.col("event_id") % 3).alias("effects"),
+        F.when(F.col("event_id") % 97 == 0, 1).otherwise(0).cast("long").alias("duplicates"),
     )
 
 
@@ -195,4 +200,7 @@ def experiment(spark, d) -> DataFrame:
         (F.sum("units") < 170).alias("success"),
         F.max("units").alias("makespan"),
         F.sum("units").alias("tokens"),
+        (F.sum("units") * 3 + F.col("seed") % 11).alias("cost"),
+        (F.min("units") * 100).alias("context"),
+        F.when(F.max("units") > 90, "deadline").when(F.max("units") > 70, "capacity").alias("reason"),
     )

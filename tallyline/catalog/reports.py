@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tallyline.catalog import fixtures as fx
 from tallyline.catalog.graphs import RANKS, RW, _down
-from tallyline.catalog.registry import query
-from tallyline.catalog.sqlviews import ARTIFACTS, DEPS, EVENTS, RUNS, TASKS, w
+from tallyline.catalog.evidence import FACILITIES, _allocations, _facilities, _routes
+from tallyline.catalog.registry import ORACLES, query
+from tallyline.catalog.sqlviews import ARTIFACTS, ATTEMPTS, DEPS, EVENTS, RUNS, TASKS, w
 from tallyline.operators.scan import rcount, running
 from tallyline.plans import conservation as cv
+from tallyline.plans.audits import PLAN_CHECKS
 
 L = F.lit
 DEADLINE = 40 * 86_400_000
@@ -141,14 +143,17 @@ WITH o AS (SELECT o_orderkey AS i FROM orders)
 SELECT i AS plan_id, 'numeric_facts_differ' AS code FROM o WHERE i % 31 = 0 UNION ALL SELECT i, 'spanish_boundary_missing' FROM o WHERE i % 37 = 0 UNION ALL SELECT i, 'alert_language_tags' FROM o WHERE i % 41 = 0
 UNION ALL SELECT i, 'external_targets' FROM o WHERE i % 43 = 0 UNION ALL SELECT i, 'not_a_simulation_draft' FROM o WHERE i % 47 = 0 UNION ALL SELECT i, 'disclaimer_changed' FROM o WHERE i % 53 = 0""")
 def alert_checks(spark, d):
+    return cv.alert_checks(_plans(spark, d), "plan_id", "fictional")
+
+
+def _plans(spark, d):
     i = F.col("o_orderkey")
     n = (i + 10).cast("string")
-    p = fx.table(spark, d, "orders").select(
+    return fx.table(spark, d, "orders").select(
         i.alias("plan_id"), F.concat(L("Simulation only: move "), n, L(" people by 007 routes.")).alias("english"),
         F.concat(F.when(i % 37 == 0, L("Aviso: ")).otherwise(L("Solo simulación: ")), L("mover "), F.when(i % 31 == 0, F.concat(n, L("0"))).otherwise(n), L(" personas por 7 rutas.")).alias("spanish"),
         L("en").alias("english_tag"), F.when(i % 41 == 0, "fr").otherwise("es").alias("spanish_tag"), F.when(i % 47 == 0, "published").otherwise("simulation_draft").alias("disposition"),
         L(False).alias("attempted"), F.when(i % 43 == 0, F.array(L("x"))).otherwise(F.array().cast("array<string>")).alias("targets"), F.when(i % 53 == 0, "real").otherwise("fictional").alias("disclaimer"))
-    return cv.alert_checks(p, "plan_id", "fictional")
 
 
 @query("citation_checks", w(ARTIFACTS) + """
@@ -158,22 +163,68 @@ c AS (SELECT DISTINCT user_id AS plan_id, event_id % 1000 AS ref FROM events)
 SELECT plan_id, ref, 'stale_citation' AS code FROM c JOIN f ON doc_id = ref WHERE NOT fresh
 UNION ALL SELECT plan_id, ref, 'fresh_contradiction' FROM c JOIN f ON doc_id = ref WHERE EXISTS (SELECT 1 FROM e JOIN f g ON g.doc_id = e.b WHERE e.a = ref AND g.fresh)""")
 def citation_checks(spark, d):
+    return cv.citation_checks(*_cited(spark, d), L(500))
+
+
+def _cited(spark, d):
     a = fx.artifacts(spark, d)
     i = F.col("doc_id")
     ev = a.select(i.alias("ref"), "created", "fresh_until", F.when(i % 6 == 0, F.array(i + 1)).otherwise(F.array().cast("array<bigint>")).alias("contradicts"))
     c = fx.table(spark, d, "events").select(F.col("user_id").alias("plan_id"), (F.col("event_id") % 1000).alias("ref"))
-    return cv.citation_checks(c, ev, L(500))
-
-
-@query("plan_validation", """
-WITH x AS (SELECT count(*) FILTER (WHERE o_orderkey % 31 = 0) AS alerts, count(*) AS n FROM orders),
-s AS (SELECT count(*) AS lost FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey % 29 = 0))
-SELECT 'capacity' AS "check", lost AS findings, lost = 0 AS passed FROM s UNION ALL SELECT 'bilingual_numbers', alerts, alerts = 0 FROM x""")
+    return c, ev
+
+
+@query("plan_validation", w(ATTEMPTS, FACILITIES) + f"""
+, al AS (SELECT provider AS shelter_id, sum(tokens) AS people, sum(CASE WHEN optional AND task_id = 7 THEN tokens ELSE 0 END) AS acc FROM attempts GROUP BY 1),
+rt AS (SELECT profile AS route_id, provider AS shelter_id, tokens, CASE WHEN profile % 3 = 0 THEN 1 ELSE 0 END AS acc FROM attempts WHERE profile % 500 <> 0),
+rv AS (SELECT c_nationkey AS h, count(*) AS n FROM customer GROUP BY 1),
+u AS (SELECT n_regionkey AS region, s_suppkey AS item, CAST(floor(s_acctbal) AS BIGINT) AS want FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+dq AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY want, item) AS good FROM u WHERE item % 50 <> 0),
+dp AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY rank, item) AS pos FROM (SELECT *, CASE WHEN item % 23 = 0 THEN good + 2 ELSE good END AS rank FROM dq)),
+ct AS (SELECT user_id AS plan_id, event_id % 1000 AS ref, count(*) AS n FROM events GROUP BY ALL), rq AS (SELECT DISTINCT user_id AS plan_id, user_id % 1000 AS ref FROM events),
+al9 AS ({ORACLES["alert_checks"]}),
+r AS (SELECT '{PLAN_CHECKS[0]}' AS "check", count(*) FILTER (WHERE o_orderkey % 61 = 0) + count(*) FILTER (WHERE o_orderkey % 53 = 0) AS n FROM orders
+  UNION ALL SELECT '{PLAN_CHECKS[1]}', count(*) FROM ({ORACLES["capacity_breaches"]})
+  UNION ALL SELECT '{PLAN_CHECKS[1]}', count(*) FILTER (WHERE h % 7 = 0) + count(*) FILTER (WHERE n > 50 + h % 3) FROM rv
+  UNION ALL SELECT '{PLAN_CHECKS[1]}', CASE WHEN sum(people) <> 5000 THEN 1 ELSE 0 END FROM al
+  UNION ALL SELECT '{PLAN_CHECKS[2]}', count(*) FROM (SELECT route_id FROM rt GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT '{PLAN_CHECKS[2]}', count(*) FROM ({ORACLES["route_breaches"]}) WHERE route_id % 500 <> 0
+  UNION ALL SELECT '{PLAN_CHECKS[2]}', count(*) FROM ({ORACLES["demand_conservation"]})
+  UNION ALL SELECT '{PLAN_CHECKS[3]}', count(*) FROM ({ORACLES["closed_routes"]}) WHERE route_id IN (SELECT route_id FROM rt)
+  UNION ALL SELECT '{PLAN_CHECKS[4]}', (SELECT count(*) FROM u WHERE item % 50 = 0) + count(*) FILTER (WHERE rank <> pos) + count(*) FILTER (WHERE pos <> good) FROM dp
+  UNION ALL SELECT '{PLAN_CHECKS[5]}', count(*) FILTER (WHERE o_orderkey % 67 = 0) + count(*) FILTER (WHERE o_orderkey % 71 = 0) + count(*) FILTER (WHERE o_orderkey % 73 = 0) + count(*) FILTER (WHERE o_orderkey % 79 = 0) FROM orders
+  UNION ALL SELECT '{PLAN_CHECKS[5]}', CASE WHEN sum(acc) <> 40 THEN 1 ELSE 0 END FROM al UNION ALL SELECT '{PLAN_CHECKS[5]}', CASE WHEN sum(acc) <> 40 THEN 1 ELSE 0 END FROM rt
+  UNION ALL SELECT '{PLAN_CHECKS[6]}', count(*) FROM al9 WHERE code IN ('alert_language_tags', 'numeric_facts_differ')
+  UNION ALL SELECT '{PLAN_CHECKS[7]}', count(*) FROM ({ORACLES["citation_checks"]})
+  UNION ALL SELECT '{PLAN_CHECKS[7]}', (SELECT count(*) FROM rq ANTI JOIN ct ON ct.plan_id = rq.plan_id AND ct.ref = rq.ref) + count(*) FILTER (WHERE n > 1) + count(*) FILTER (WHERE ref NOT IN (SELECT doc_id FROM documents)) FROM ct
+  UNION ALL SELECT '{PLAN_CHECKS[8]}', count(*) FROM al9 WHERE code NOT IN ('alert_language_tags', 'numeric_facts_differ'))
+SELECT "check", CAST(sum(n) AS BIGINT) AS findings, sum(n) = 0 AS passed FROM r GROUP BY 1""")
 def plan_validation(spark, d):
-    """Report rows of two plan checks: unknown facilities, and alerts whose numbers differ."""
-    from tallyline.catalog.evidence import _allocations, _facilities
-    from tallyline.operators import policy as pol
-    from tallyline.plans.audits import counted
-
-    cap = pol.capacity_breaches(_allocations(spark, d), _facilities(spark, d), "shelter_id").where("code = 'unknown_facility'")
-    return counted("capacity", cap).unionByName(counted("bilingual_numbers", alert_checks(spark, d).where("code = 'numeric_facts_differ'")))
+    """Orders as plans; suppliers as shelters and utilities, nations as hospitals, parts as routes."""
+    from tallyline.plans.audits import BOUNDARY
+    from tallyline.plans.audits import plan_validation as report
+
+    i, s = F.col("plan_id"), F.col("s_suppkey")
+    disclaimer = f"{BOUNDARY}: no real place."
+    boundary = F.when(F.col("disclaimer") == "fictional", disclaimer).otherwise(F.col("disclaimer"))
+    plans = _plans(spark, d).withColumns({
+        "scenario": F.when(i % 61 == 0, "other").otherwise("storm"), "disclaimer": boundary, "screen_reader": i % 67 != 0, "plain_language": i % 71 != 0,
+        "nonvisual": i % 73 != 0, "tags": F.when(i % 79 == 0, F.array(L("en"))).otherwise(F.array(L("es"), L("en")))})
+    region = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("long").alias("region"))
+    utilities = fx.table(spark, d, "supplier").join(region, "s_nationkey").select("region", s.alias("item"), F.floor("s_acctbal").cast("long").alias("want"))
+    ranked = running(utilities.where("item % 50 <> 0"), ["region"], "want", {"rank": rcount()}, tie=["item"])
+    n = F.col("n_nationkey").cast("long")
+    none = L(0).cast("long")
+    cited, evidence = _cited(spark, d)
+    return report({
+        "plans": plans, "allocations": _allocations(spark, d), "shelters": _facilities(spark, d), "routes": _routes(spark, d),
+        "hospitals": fx.table(spark, d, "nation").select(
+            n.alias("hospital_id"), F.when(n % 7 == 0, "closed").otherwise("open").alias("status"), (n % 3 + 60).alias("capacity"), L(10).cast("long").alias("occupied"),
+            none.alias("accessible_capacity"), none.alias("accessible_occupied")),
+        "reservations": fx.table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("hospital_id")).agg(F.count("*").alias("people"), F.max(none).alias("accessible")),
+        "assignments": fx.attempts(spark, d).where("profile % 500 <> 0").select(
+            F.col("profile").alias("route_id"), F.col("provider").alias("shelter_id"), F.col("tokens").alias("passengers"), F.when(F.col("profile") % 3 == 0, 1).otherwise(0).cast("long").alias("accessible")),
+        "closures": fx.providers(spark, d).where("provider % 3 = 0").select((F.col("provider") % 40).alias("segment")),
+        "utilities": utilities, "priorities": ranked.select("region", "item", (F.col("rank") + F.when(F.col("item") % 23 == 0, 2).otherwise(0)).alias("rank")),
+        "evidence": evidence, "citations": cited, "required": fx.table(spark, d, "events").select(F.col("user_id").alias("plan_id"), (F.col("user_id") % 1000).alias("ref")),
+    }, "storm", disclaimer, 5000, 40, ["en", "es"], L(500))

@@ -183,16 +183,20 @@ def coverage_gate(spark, d):
 
 
 @query("scanner_gate", w(EVENTS) + """
-, g AS (SELECT run_id AS report, count(*) FILTER (WHERE k % 50 = 1) AS m, count(*) FILTER (WHERE k % 50 = 2) AS h, count(*) FILTER (WHERE k % 50 > 2 AND k % 50 < 20) AS l FROM ev GROUP BY ALL)
-SELECT report, 'blocked_findings' AS code FROM g WHERE m + h > 0 UNION ALL SELECT report, 'count_mismatch' FROM g WHERE report % 9 = 0""")
+, g AS (SELECT run_id AS report, count(*) FILTER (WHERE k % 50 = 1) AS m, count(*) FILTER (WHERE k % 50 = 2) AS h, count(*) FILTER (WHERE k % 50 = 20) AS u, bool_or(k % 50 < 20 AND k % 50 > 0 AND event_id % 401 = 0) AS bare FROM ev GROUP BY ALL)
+SELECT report, 'blocked_findings' AS code FROM g WHERE m + h > 0 UNION ALL SELECT report, 'count_mismatch' FROM g WHERE report % 9 = 0 OR (report % 4 = 0 AND u > 0)
+UNION ALL SELECT report, 'finding_fields_missing' FROM g WHERE bare""")
 def scanner_gate(spark, d):
+    """A report of four does not declare its findings of undefined severity."""
     k = F.col("k") % 50
-    e = fx.events(spark, d).withColumn("severity", F.when(k == 1, "MEDIUM").when(k == 2, "HIGH").when((k > 2) & (k < 20), "LOW"))
-    f = e.where("severity is not null").select(F.col("run_id").alias("report"), "severity")
+    e = fx.events(spark, d).withColumn("severity", F.when(k == 1, "MEDIUM").when(k == 2, "HIGH").when((k > 2) & (k < 20), "LOW").when(k == 20, "UNDEFINED"))
+    f = e.where("severity is not null").select(
+        F.col("run_id").alias("report"), "severity", F.lit("a.py").alias("filename"), F.lit("B101").alias("test_id"),
+        F.when((F.col("event_id") % 401 != 0) | (k == 20), "text").otherwise("").alias("issue_text"))
+    n = lambda s: F.count_if(F.col("severity") == s)
     t = e.groupBy(F.col("run_id").alias("report")).agg(
-        F.count("*").alias("loc"), F.lit(0).alias("errors"), F.lit(0).alias("skipped_tests"), F.count_if(F.col("severity") == "LOW").alias("l"),
-        F.count_if(F.col("severity") == "MEDIUM").alias("medium"), F.count_if(F.col("severity") == "HIGH").alias("high"))
-    t = t.withColumn("low", F.col("l") + F.when(F.col("report") % 9 == 0, 1).otherwise(0))
+        F.count("*").alias("loc"), F.lit(0).alias("errors"), F.lit(0).alias("skipped_tests"), n("UNDEFINED").alias("u"), n("LOW").alias("l"), n("MEDIUM").alias("medium"), n("HIGH").alias("high"))
+    t = t.withColumns({"low": F.col("l") + F.when(F.col("report") % 9 == 0, 1).otherwise(0), "undefined": F.when(F.col("report") % 4 == 0, 0).otherwise(F.col("u"))})
     return gates.scanner_breaches(f, t)
 
 

@@ -61,12 +61,17 @@ CLAIMS = """claims AS (
 TRIALS = """trials AS (
   SELECT event_type AS scenario, user_id AS seed, event_id AS trial, value < 50 AS passed,
          CAST(ceil(value) AS BIGINT) AS duration,
-         CASE WHEN event_type = 'error' THEN CAST(ceil(value) AS BIGINT) END AS recovery FROM events)"""
+         CASE WHEN event_type = 'error' THEN CAST(ceil(value) AS BIGINT) END AS recovery,
+         CASE WHEN event_type = 'view' THEN CAST(ceil(value) AS BIGINT) * 2 END AS direct,
+         CASE WHEN event_type <> 'error' THEN CAST(ceil(value) AS BIGINT) + event_id % 7 END AS overhead,
+         CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS calls, event_id % 3 AS effects, CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS duplicates FROM events)"""
 
 EXPERIMENT = """experiment AS (
   SELECT user_id AS seed, event_type AS fault, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS policy,
          sum(CAST(ceil(value) AS BIGINT)) < 170 AS success, max(CAST(ceil(value) AS BIGINT)) AS makespan,
-         CAST(sum(CAST(ceil(value) AS BIGINT)) AS BIGINT) AS tokens
+         CAST(sum(CAST(ceil(value) AS BIGINT)) AS BIGINT) AS tokens,
+         CAST(sum(CAST(ceil(value) AS BIGINT)) * 3 + any_value(user_id) % 11 AS BIGINT) AS cost, min(CAST(ceil(value) AS BIGINT)) * 100 AS context,
+         CASE WHEN max(CAST(ceil(value) AS BIGINT)) > 90 THEN 'deadline' WHEN max(CAST(ceil(value) AS BIGINT)) > 70 THEN 'capacity' END AS reason
   FROM events GROUP BY ALL)"""
 
 

@@ -104,14 +104,15 @@ def paired_deltas(spark, d):
 
 
 @query("paired_delta_summary", PAIRED + """
-SELECT fault, policy, count(success_tokens_delta) AS pairs, round(avg(success_tokens_delta), 6) AS mean,
-  round(quantile_cont(success_tokens_delta, 0.5), 6) AS p50 FROM pd GROUP BY ALL HAVING count(success_tokens_delta) > 0""")
+, v AS (SELECT fault, policy, fault || '/' || policy AS k, success_tokens_delta AS x, row_number() OVER (PARTITION BY fault, policy ORDER BY seed) - 1 AS i,
+   count(*) OVER (PARTITION BY fault, policy) AS n FROM pd WHERE success_tokens_delta IS NOT NULL),
+q AS (SELECT k, b, CAST(('0x' || substr(md5('delta:' || k || '|' || b || '|' || i), 1, 15)) AS BIGINT) % n AS i FROM v, (SELECT unnest(range(1, 201)) AS b)),
+s AS (SELECT q.k, q.b, sum(v.x) / count(*) AS s FROM q JOIN v ON v.k = q.k AND v.i = q.i GROUP BY ALL),
+e AS (SELECT k, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM s GROUP BY k),
+g AS (SELECT fault, policy, k, count(*) AS pairs, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS p50 FROM v GROUP BY ALL)
+SELECT fault, policy, pairs, mean, p50, low, high FROM g JOIN e USING (k)""")
 def paired_delta_summary(spark, d):
-    p = _paired(spark, d).where("success_tokens_delta is not null")
-    g = p.groupBy("fault", "policy").agg(
-        F.count("*").alias("pairs"), F.round(F.avg("success_tokens_delta"), 6).alias("mean")
-    )
-    return g.join(st.percentiles(p, ["fault", "policy"], "success_tokens_delta", {"p50": 0.5}, "linear"), ["fault", "policy"])
+    return st.delta_summary(_paired(spark, d), ["fault", "policy"], "success_tokens_delta", "seed", 200, "delta")
 
 
 @query("design_gaps", w(EXPERIMENT) + """
@@ -148,18 +149,26 @@ def binding_conditions(spark, d):
     return st.binding(fx.experiment(spark, d), ["fault", "policy"], "success")
 
 
-@query("survival_report", w(TRIALS) + """
-, r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY duration) AS i, count(*) OVER (PARTITION BY scenario) AS n,
-   row_number() OVER (ORDER BY duration) AS gi, count(*) OVER () AS gn,
-   row_number() OVER (PARTITION BY scenario ORDER BY recovery NULLS LAST) AS ri, count(recovery) OVER (PARTITION BY scenario) AS rn FROM trials)
-SELECT scenario, count(*) AS trials, count(*) FILTER (WHERE passed) AS passes, round(count(*) FILTER (WHERE passed) / count(*), 6) AS pass_rate,
-  round(pow(count(*) FILTER (WHERE passed) / count(*), count(*)), 12) AS pass_pow_k, bool_and(passed) AS all_k,
-  max(duration) FILTER (WHERE i = ceil(0.95::DOUBLE * n)) AS p95_duration, max(recovery) FILTER (WHERE ri = ceil(0.95::DOUBLE * rn)) AS p95_recovery
-FROM r GROUP BY scenario
-UNION ALL
-SELECT NULL, count(*), count(*) FILTER (WHERE passed), round(count(*) FILTER (WHERE passed) / count(*), 6),
-  round(pow(count(*) FILTER (WHERE passed) / count(*), count(*)), 12), bool_and(passed), max(duration) FILTER (WHERE gi = ceil(0.95::DOUBLE * gn)),
-  (SELECT max(recovery) FILTER (WHERE ri = ceil(0.95::DOUBLE * rn)) FROM r WHERE scenario = 'error') FROM r""")
+def _nearest(column: str, q: float) -> str:
+    return f"list_sort(list({column}) FILTER (WHERE {column} IS NOT NULL))[greatest(1, CAST(ceil({q}::DOUBLE * count({column})) AS BIGINT))]"
+
+
+def _trial_sql(key: str) -> str:
+    times = [("duration", q) for q in (50, 95, 99)] + [("recovery", q) for q in (50, 95, 99)] + [("direct", 50), ("overhead", 50)]
+    ranked = ", ".join(f"{_nearest(c, q / 100)} AS p{q}_{c}" for c, q in times)
+    return f"""{key}, count(*) AS trials, count(*) FILTER (WHERE passed) AS passes, round(count(*) FILTER (WHERE passed) / count(*), 6) AS pass_rate,
+  round(pow(count(*) FILTER (WHERE passed) / count(*), count(*)), 12) AS pass_pow_k, bool_and(passed) AS all_k, {ranked},
+  CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(effects) AS BIGINT) AS effects, CAST(sum(duplicates) AS BIGINT) AS duplicates"""
+
+
+@query("trial_summary", w(TRIALS) + f" SELECT {_trial_sql('seed')} FROM trials GROUP BY seed")
+def trial_summary(spark, d):
+    return st.trial_summary(fx.trials(spark, d), "seed")
+
+
+@query("survival_report", w(TRIALS) + f"""
+, u AS (SELECT * FROM trials UNION ALL SELECT * REPLACE (NULL AS scenario) FROM trials)
+SELECT {_trial_sql('scenario')} FROM u GROUP BY scenario""")
 def survival_report(spark, d):
     from tallyline.plans.reports import survival_report as report
 
@@ -212,24 +221,77 @@ def experiment_summary(spark, d):
     return report(fx.experiment(spark, d))
 
 
+def _intervals(source: str) -> str:
+    """``source``: k, seed, x.  Values, p50 and p95 per k with intervals of 50 resamples, in ``sums``."""
+    return f"""v AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY seed) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM {source}),
+qs AS (SELECT s, k, b, CAST(('0x' || substr(md5(s || ':' || k || '|' || b || '|' || i), 1, 15)) AS BIGINT) % n AS i
+  FROM v, (SELECT unnest(range(1, 51)) AS b), (SELECT unnest(['p50', 'p95', 'delta']) AS s)),
+es AS (SELECT qs.s, qs.k, qs.b, coalesce(quantile_cont(v.x, 0.5) FILTER (WHERE qs.s = 'p50'), quantile_cont(v.x, 0.95) FILTER (WHERE qs.s = 'p95'), sum(v.x) / count(*)) AS e FROM qs JOIN v ON v.k = qs.k AND v.i = qs.i GROUP BY ALL),
+ends AS (SELECT k, {", ".join(f"round(quantile_cont(e, {q}) FILTER (WHERE s = '{s}'), 6) AS {s}_{n}" for s in ("p50", "p95", "delta") for n, q in (("low", 0.025), ("high", 0.975)))} FROM es GROUP BY k),
+sums AS (SELECT k, count(*) AS "values", round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95 FROM v GROUP BY k)"""
+
+
+@query("experiment_metrics", w(EXPERIMENT) + f"""
+, l AS (SELECT fault, policy, seed, unnest(['success_makespan', 'success_tokens', 'success_cost', 'success_context', 'time_to_failure']) AS measure,
+   unnest([CASE WHEN success THEN makespan END, CASE WHEN success THEN tokens END, CASE WHEN success THEN cost END, CASE WHEN success THEN context END, CASE WHEN NOT success THEN makespan END]) AS x FROM experiment),
+src AS (SELECT fault || '/' || policy || '/' || measure AS k, * FROM l WHERE x IS NOT NULL), {_intervals('src')}
+SELECT DISTINCT fault, policy, measure, "values", p50, p95, p50_low, p50_high, p95_low, p95_high FROM src JOIN sums USING (k) JOIN ends USING (k)""")
+def experiment_metrics(spark, d):
+    from tallyline.plans.reports import experiment_metrics as report
+
+    return report(fx.experiment(spark, d), 50)
+
+
+@query("experiment_reasons", w(EXPERIMENT) + """
+SELECT fault, policy, coalesce(reason, 'unspecified') AS reason, count(*) AS runs FROM experiment WHERE NOT success GROUP BY ALL""")
+def experiment_reasons(spark, d):
+    from tallyline.plans.reports import experiment_reasons as report
+
+    return report(fx.experiment(spark, d))
+
+
+@query("experiment_deltas", w(EXPERIMENT) + f"""
+, pr AS (SELECT c.*, c.success AND b.success AS pass2, NOT c.success AND NOT b.success AS fail2, CAST(c.success AS BIGINT) - CAST(b.success AS BIGINT) AS ds, c.makespan - b.makespan AS dm,
+   c.tokens - b.tokens AS dt, c.cost - b.cost AS dc, c.context - b.context AS dx FROM experiment c JOIN experiment b ON c.seed = b.seed AND c.fault = b.fault AND b.policy = 0 WHERE c.policy <> 0),
+l AS (SELECT fault, policy, seed, unnest(['success_delta', 'success_makespan_delta', 'success_tokens_delta', 'success_cost_delta', 'success_context_delta', 'failure_makespan_delta']) AS measure,
+   unnest([ds, CASE WHEN pass2 THEN dm END, CASE WHEN pass2 THEN dt END, CASE WHEN pass2 THEN dc END, CASE WHEN pass2 THEN dx END, CASE WHEN fail2 THEN dm END]) AS x FROM pr),
+src AS (SELECT fault || '/' || policy || '/' || measure AS k, * FROM l WHERE x IS NOT NULL), {_intervals('src')}
+SELECT DISTINCT fault, policy, measure, "values" AS pairs, mean, p50, delta_low AS low, delta_high AS high FROM src JOIN sums USING (k) JOIN ends USING (k)""")
+def experiment_deltas(spark, d):
+    from tallyline.plans.reports import experiment_deltas as report
+
+    return report(fx.experiment(spark, d), 0, 50)
+
+
 @query("benchmark_summary", w(EVENTS) + f"""
-, r AS (SELECT kind AS system, run_id AS seed, units AS duration, k % 5 <> 0 AS slo, sequence = 1 AS warmup FROM ev),
-m AS (SELECT system, seed, max(duration) AS duration, bool_and(slo) AS slo FROM r WHERE NOT warmup GROUP BY ALL),
-g AS (SELECT system, CAST(count(*) AS BIGINT) AS runs, count(*) FILTER (WHERE slo) AS passes,
-        round(quantile_cont(duration, 0.5) FILTER (WHERE slo), 6) AS p50, round(quantile_cont(duration, 0.95) FILTER (WHERE slo), 6) AS p95
-      FROM m GROUP BY system),
-p AS (SELECT c.system, count(*) AS eligible_pairs, round(avg(b.duration - c.duration), 6) AS mean_delta FROM m c JOIN m b
-        ON c.seed = b.seed AND b.system = 'view' WHERE c.slo AND b.slo AND c.system <> 'view' GROUP BY c.system)
-SELECT system, runs, passes, round(passes / runs, 6) AS pass_rate, {WILSON_LOW} AS wilson_low, {WILSON_HIGH} AS wilson_high, p50, p95,
-  eligible_pairs, mean_delta FROM g LEFT JOIN p USING (system)""")
+, r AS (SELECT kind AS system, run_id AS seed, CASE WHEN sequence = 1 THEN 'warmup' ELSE 'measured' END AS phase, max(units) AS duration, bool_and(k % 5 <> 0) AS slo,
+   CASE WHEN bool_or(k % 7 = 0) THEN 'refused' WHEN bool_or(k % 11 = 0) THEN 'error' ELSE 'passed' END AS outcome, bool_and(k % 13 <> 0) AS guardrail,
+   bool_or(k % 7 = 0) AND bool_and(k % 13 <> 0) AS safe, count(*) FILTER (WHERE k % 17 = 0) AS bad FROM ev GROUP BY ALL),
+m AS (SELECT * FROM r WHERE phase = 'measured'),
+g AS (SELECT system, CAST(count(*) AS BIGINT) AS runs, count(*) FILTER (WHERE slo) AS passes, count(*) FILTER (WHERE outcome = 'refused') AS refusals, count(*) FILTER (WHERE safe) AS safe_refusals,
+   count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) FILTER (WHERE bad > 0) AS unsafe_runs, count(*) FILTER (WHERE guardrail) AS guardrail_passes FROM m GROUP BY system),
+pd AS (SELECT c.system, c.seed, b.duration - c.duration AS x FROM m c JOIN m b ON c.seed = b.seed AND b.system = 'view' WHERE c.slo AND b.slo AND c.system <> 'view'),
+src AS (SELECT system AS k, seed, duration AS x FROM m WHERE slo),
+dd AS (SELECT system AS k, x, row_number() OVER (PARTITION BY system ORDER BY seed) - 1 AS i, count(*) OVER (PARTITION BY system) AS n FROM pd),
+dq AS (SELECT k, b, CAST(('0x' || substr(md5('delta:' || k || '|' || b || '|' || i), 1, 15)) AS BIGINT) % n AS i FROM dd, (SELECT unnest(range(1, 51)) AS b)),
+de AS (SELECT dq.k, dq.b, sum(dd.x) / count(*) AS e FROM dq JOIN dd ON dd.k = dq.k AND dd.i = dq.i GROUP BY ALL),
+dn AS (SELECT k, round(quantile_cont(e, 0.025), 6) AS delta_low, round(quantile_cont(e, 0.975), 6) AS delta_high FROM de GROUP BY k),
+ds AS (SELECT k, count(*) AS pairs, round(avg(x), 6) AS mean_delta, round(quantile_cont(x, 0.5), 6) AS p50_delta FROM dd GROUP BY k), {_intervals('src')}
+SELECT system, runs, passes, refusals, safe_refusals, errors, unsafe_runs, guardrail_passes, round(passes / runs, 6) AS pass_rate, {WILSON_LOW} AS wilson_low, {WILSON_HIGH} AS wilson_high,
+  round(guardrail_passes / runs, 6) AS guardrail_rate, {WILSON_LOW.replace("passes", "guardrail_passes")} AS guardrail_low, {WILSON_HIGH.replace("passes", "guardrail_passes")} AS guardrail_high,
+  (SELECT count(*) FROM r WHERE r.system = g.system AND phase = 'warmup') AS warmups, p50, p95, p50_low, p50_high, p95_low, p95_high,
+  CASE WHEN system <> 'view' THEN coalesce(pairs, 0) END AS eligible_pairs, CASE WHEN system <> 'view' THEN runs - coalesce(pairs, 0) END AS excluded_pairs, mean_delta, p50_delta, dn.delta_low, dn.delta_high
+FROM g LEFT JOIN sums ON sums.k = system LEFT JOIN ends ON ends.k = system LEFT JOIN ds ON ds.k = system LEFT JOIN dn ON dn.k = system""")
 def benchmark_summary(spark, d):
     from tallyline.plans.reports import benchmark_summary as report
 
-    e = fx.events(spark, d)
-    r = e.where("sequence <> 1").groupBy(F.col("kind").alias("system"), F.col("run_id").alias("seed")).agg(
-        F.max("units").alias("duration"), F.bool_and(F.col("k") % 5 != 0).alias("slo")
-    )
-    return report(r, "view")
+    k = F.col("k")
+    refused, guarded = F.bool_or(k % 7 == 0), F.bool_and(k % 13 != 0)
+    r = fx.events(spark, d).groupBy(
+        F.col("kind").alias("system"), F.col("run_id").alias("seed"), F.when(F.col("sequence") == 1, "warmup").otherwise("measured").alias("phase")).agg(
+        F.max("units").alias("duration"), F.bool_and(k % 5 != 0).alias("slo"), F.when(refused, "refused").when(F.bool_or(k % 11 == 0), "error").otherwise("passed").alias("outcome"),
+        guarded.alias("guardrail"), (refused & guarded).alias("safe_refusal"), F.count_if(k % 17 == 0).alias("unauthorized"))
+    return report(r, "view", 50)
 
 
 @query("load_gates", w(EVENTS) + """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyline.catalog import fixtures as fx
-from tallyline.catalog.registry import query
+from tallyline.catalog.evidence import _grants
+from tallyline.catalog.registry import ORACLES, query
 from tallyline.catalog.sqlviews import w
 from tallyline.functions.columns import canonical_base64, contrast_ratio, integer_multiset, normalize_space, utc_time
 from tallyline.operators import text as tx
@@ -204,17 +205,54 @@ def time_and_encoding_checks(spark, d):
         canonical_base64(F.col("code")).alias("canonical"))
 
 
-@query("text_safety_report", CITATIONS.replace("SELECT claim_id, CASE", ", r AS (SELECT claim_id, CASE") + """),
-f AS (SELECT doc_id, NOT (doc_id <= 500 AND 500 <= doc_id + n_chars % 400) AS stale FROM documents),
-cited AS (SELECT DISTINCT cited FROM c)
-SELECT 'citation_support' AS "check", count(*) FILTER (WHERE code <> 'supported') AS findings, count(*) FILTER (WHERE code <> 'supported') = 0 AS passed FROM r
-UNION ALL SELECT 'cited_freshness', count(*) FILTER (WHERE coalesce(stale, true)), count(*) FILTER (WHERE coalesce(stale, true)) = 0 FROM cited LEFT JOIN f ON f.doc_id = cited
-UNION ALL SELECT 'url_policy', count(*) FILTER (WHERE NOT starts_with(url, 'https:')), count(*) FILTER (WHERE NOT starts_with(url, 'https:')) = 0 FROM pages
-UNION ALL SELECT 'declared_accessibility', count(*), count(*) = 0 FROM pages WHERE NOT regexp_matches(html, '<main')""")
+@query("text_safety_report", f"""WITH c AS (SELECT DISTINCT p_partkey AS i FROM part),
+a AS (SELECT 20000000 + i AS ref, i FROM c WHERE i % 83 <> 0),
+q AS (SELECT x.i, y.i AS r FROM c x LEFT JOIN c y ON y.i = x.i + 1 WHERE x.i % 2 = 0 AND x.i % 38 <> 0),
+used AS (SELECT i FROM q WHERE r IS NOT NULL UNION ALL SELECT r FROM q WHERE r IS NOT NULL),
+o AS (SELECT o_orderkey AS i, CASE WHEN o_orderkey % 41 = 0 THEN 20000000 + o_orderkey % 50 ELSE o_custkey END AS g, 20000000 + o_orderkey % 2100 AS e FROM orders),
+f AS (SELECT 'input-contract' AS "check", 0 AS n
+  UNION ALL SELECT 'citation-support-controlled-facts', count(*) FROM c WHERE i % 83 = 0 OR i % 71 = 0 OR i % 67 = 0 OR i % 61 = 0
+  UNION ALL SELECT 'key-fact-number-unit-consistency', 2 * count(*) FROM c WHERE i % 29 = 0
+  UNION ALL SELECT 'bilingual-structured-fact-equivalence', count(*) FILTER (WHERE r IS NULL OR i % 61 = 0 OR r % 61 = 0) FROM q
+  UNION ALL SELECT 'bilingual-structured-fact-equivalence', count(*) FROM c WHERE i NOT IN (SELECT i FROM used)
+  UNION ALL SELECT 'cited-artifact-freshness', count(*) FROM c WHERE i % 83 = 0 OR NOT (i <= 700 AND 700 <= i + 400)
+  UNION ALL SELECT 'url-protocol-host-allowlist', count(*) FROM pages WHERE NOT starts_with(url, 'https:')
+  UNION ALL SELECT 'authority-taint-separation', count(*) FROM a WHERE i % 53 = 0
+  UNION ALL SELECT 'authority-taint-separation', count(*) FROM ({ORACLES["grant_breaches"]})
+  UNION ALL SELECT 'authority-taint-separation', count(*) FILTER (WHERE i % 37 = 0) + count(*) FILTER (WHERE g IN (SELECT ref FROM a)) + count(*) FILTER (WHERE g NOT IN (SELECT c_custkey FROM customer))
+    + count(*) FILTER (WHERE g IN (SELECT c_custkey FROM customer) AND g % 4 IN (1, 3)) + count(*) FILTER (WHERE e NOT IN (SELECT ref FROM a)) FROM o
+  UNION ALL SELECT 'declared-render-accessibility-structural-only', count(*) FROM ({ORACLES["accessibility_breaches"]}))
+SELECT "check", CAST(sum(n) AS BIGINT) AS findings, sum(n) = 0 AS passed FROM f GROUP BY 1""")
 def text_safety_report(spark, d):
+    """Parts as artifacts and as claims, two of them a bilingual pair; customers as grants, orders as actions."""
+    from tallyline.plans.audits import UNTRUSTED
     from tallyline.plans.audits import text_safety_report as report
 
-    docs = fx.artifacts(spark, d)
-    pages = fx.table(spark, d, "pages")
-    hosts = pages.select(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"))
-    return report(_citations(spark, d), docs, pages, hosts, ["https"], F.lit(500))
+    i, half = F.col("p_partkey"), F.expr("p_partkey div 2").cast("string")
+    ref = (i + 20000000).alias("doc_id")
+    key, size = F.concat(F.lit("part."), half), F.expr("p_partkey div 2 % 50 + 1")
+    fact = F.concat(F.lit("FACT["), key, F.lit("|size]="), size.cast("string"), F.lit(" beds"))
+    loose = F.concat(F.lit("part "), half, F.lit(" has "), size.cast("string"), F.lit(" beds"))
+    p = fx.table(spark, d, "part")
+    value = F.when(i % 61 == 0, size + 100).otherwise(size)
+    said = F.when(i % 29 == 0, value + 1).otherwise(value).cast("string")
+    english = i % 2 == 0
+    o = F.col("o_orderkey")
+    return report({
+        "artifacts": p.where("p_partkey % 83 <> 0").select(
+            ref, F.concat(F.col("p_name"), F.lit("\n  "), fact, F.lit(" \r\n"), loose).alias("text"), i.alias("created"), (i + 400).alias("fresh_until"),
+            F.when(i % 53 != 0, UNTRUSTED).alias("trust")),
+        "claims": p.select(
+            i.alias("claim_id"), (i + 20000000).alias("cited"), F.when(i % 71 == 0, F.concat(fact, F.lit("x"))).when(i % 67 == 0, loose).otherwise(fact).alias("quote"),
+            key.alias("subject"), F.lit("size").alias("predicate"), value.cast("string").alias("value"), F.lit("beds").alias("unit"),
+            F.when(english, "en").otherwise("es").alias("language"),
+            F.concat(F.when(english, "There are ").otherwise("Hay "), said, F.when(english, " beds").otherwise(" camas")).alias("statement")),
+        "pairs": p.where("p_partkey % 2 = 0 and p_partkey % 38 <> 0").select(i.alias("pair_id"), i.alias("left_id"), (i + 1).alias("right_id")),
+        "grants": _grants(spark, d),
+        "actions": fx.table(spark, d, "orders").select(
+            o.alias("action_id"), F.when(o % 37 == 0, "talk").otherwise("tool").alias("kind"), F.lit("cap-0").alias("capability"),
+            F.when(o % 41 == 0, 20000000 + o % 50).otherwise(F.col("o_custkey")).alias("grant_id"), F.array(o % 2100 + 20000000).alias("evidence")),
+        "urls": fx.table(spark, d, "pages").select(F.col("page_id").alias("url_id"), "url"),
+        "hosts": fx.table(spark, d, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host")),
+        "pages": fx.table(spark, d, "pages"),
+    }, ["https"], ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"], ["cap-0", "cap-1"], F.lit(700))

@@ -74,6 +74,44 @@ def pass_k(trials: DataFrame, key: str, passed: str) -> DataFrame:
     )
 
 
+def trial_summary(trials: DataFrame, key: str) -> DataFrame:
+    """pass^k with nearest-rank times and effect counts per key.
+
+    ``trials``: key, passed, duration, calls, effects, duplicates and, NULL where a trial has none, recovery, direct and
+    overhead.  The four times are ranked in one scan.
+    """
+    times = ("duration", "recovery", "direct", "overhead")
+    named = F.array(*[F.struct(F.lit(m).alias("__m"), F.col(m).cast("long").alias("__v")) for m in times])
+    long = trials.select(key, F.explode(named).alias("__x")).select(key, "__x.*")
+    ranked = percentiles(long, [key, "__m"], "__v", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "nearest")
+    wanted = [(p, m) for m in ("duration", "recovery") for p in ("p50", "p95", "p99")] + [("p50", "direct"), ("p50", "overhead")]
+    wide = ranked.groupBy(key).agg(*[F.max(F.when(F.col("__m") == m, F.col(p))).alias(f"{p}_{m}") for p, m in wanted])
+    sums = trials.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("calls", "effects", "duplicates")])
+    return pass_k(trials, key, "passed").join(wide, key, "left").join(sums, key)
+
+
+def delta_summary(deltas: DataFrame, keys: Sequence[str], value: str, order: str, resamples: int, label: str) -> DataFrame:
+    """Pairs, mean, median and 95 % bootstrap interval of the mean of paired deltas per key; NULL deltas are no pairs."""
+    keys = list(keys)
+    x = deltas.where(F.col(value).isNotNull()).withColumn("__k", F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    g = x.groupBy("__k", *keys).agg(F.count("*").alias("pairs"), F.round(F.avg(value), 6).alias("mean"))
+    mid = percentiles(x, ["__k"], value, {"p50": 0.5}, "linear")
+    ends = bootstrap_ci(x, "__k", value, order, "mean", resamples, label)
+    return g.join(mid, "__k").join(ends, "__k").drop("__k")
+
+
+def metric_summary(df: DataFrame, keys: Sequence[str], value: str, order: str, resamples: int) -> DataFrame:
+    """Values, p50 and p95 with a 95 % bootstrap interval of each per key; NULL values are left out (A3, A5)."""
+    keys = list(keys)
+    x = df.where(F.col(value).isNotNull()).withColumn("__k", F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    out = x.groupBy("__k", *keys).agg(F.count("*").alias("values"))
+    out = out.join(percentiles(x, ["__k"], value, {"p50": 0.5, "p95": 0.95}, "linear"), "__k")
+    for stat in ("p50", "p95"):
+        ends = bootstrap_ci(x, "__k", value, order, stat, resamples, stat)
+        out = out.join(ends.select("__k", F.col("low").alias(f"{stat}_low"), F.col("high").alias(f"{stat}_high")), "__k")
+    return out.drop("__k")
+
+
 def draw(label: Column | str, resample: Column, position: Column, n: Column) -> Column:
     """Index in [0, n) fixed by (label, resample, position)."""
     label = F.lit(label) if isinstance(label, str) else label

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyline.operators.checks import flagged
 
 # Severities, licence markers of the deny policy.
-SEVERITIES = ("LOW", "MEDIUM", "HIGH")
+SEVERITIES = ("UNDEFINED", "LOW", "MEDIUM", "HIGH")
 UNKNOWN_LICENSES = ("", "N/A", "NOASSERTION", "NONE", "UNKNOWN")
 PROHIBITED_MARKERS = (
     "AFFERO GENERAL PUBLIC LICENSE", "AGPL", "BUSINESS SOURCE LICENSE", "COMMONS CLAUSE", "ELASTIC LICENSE",
@@ -60,17 +60,25 @@ def coverage_breaches(reports: DataFrame, statement_floor: float, branch_floor:
 
 
 def scanner_breaches(findings: DataFrame, totals: DataFrame) -> DataFrame:
-    """``findings``: report, severity; ``totals``: report, loc, errors, skipped_tests, low, medium, high."""
+    """``findings``: report, severity, filename, issue_text, test_id; ``totals``: report, loc, errors, skipped_tests, undefined, low, medium, high.
+
+    A declared total that is absent matches nothing, and findings of a report without totals have no total at all.
+    """
     sev = F.col("severity")
+    blank = F.lit(False)
+    for c in ("filename", "issue_text", "test_id"):
+        blank = blank | (F.coalesce(F.col(c), F.lit("")) == "")
     seen = findings.groupBy("report").agg(*[F.count_if(sev == s).alias(f"n_{s.lower()}") for s in SEVERITIES],
-                                          F.count_if(~sev.isin(list(SEVERITIES))).alias("n_other"))
-    x = totals.join(seen, "report", "left").na.fill(0)
+                                          F.count_if(~F.coalesce(sev.isin(list(SEVERITIES)), F.lit(False))).alias("n_other"), F.count_if(blank).alias("n_blank"))
+    counts = [c for c in seen.columns if c != "report"]
+    x = totals.join(seen, "report", "full_outer").na.fill(0, counts)
     differs = F.lit(False)
-    for s in ("low", "medium", "high"):
-        differs = differs | (F.col(s) != F.col(f"n_{s}"))
+    for s in SEVERITIES:
+        differs = differs | ~F.col(s.lower()).eqNullSafe(F.col(f"n_{s.lower()}"))
     return flagged(x, {
-        "scanner_errors": F.col("errors") > 0, "no_source_lines": F.col("loc") <= 0, "skipped_tests": F.col("skipped_tests") > 0,
-        "unknown_severity": F.col("n_other") > 0, "count_mismatch": differs, "blocked_findings": (F.col("n_medium") + F.col("n_high")) > 0,
+        "scanner_errors": F.col("errors") > 0, "no_source_lines": F.coalesce("loc", F.lit(0)) <= 0, "skipped_tests": F.col("skipped_tests") > 0,
+        "unknown_severity": F.col("n_other") > 0, "finding_fields_missing": F.col("n_blank") > 0, "count_mismatch": differs,
+        "blocked_findings": (F.col("n_medium") + F.col("n_high")) > 0,
     }, ["report"])
 
 
