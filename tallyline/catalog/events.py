@@ -9,7 +9,8 @@ from tallyline.catalog.registry import query
 from tallyline.catalog.sqlviews import ATTEMPTS, DEPS, EVENTS, NUMBERED, RUNS, TASKS, w
 from tallyline.functions.columns import seal
 from tallyline.operators import events as ev
-from tallyline.operators.checks import duplicates, flagged, holds, set_difference, transition_breaches
+from tallyline.operators import resources as rs
+from tallyline.operators.checks import duplicates, flagged, holds, order_breaches, set_difference, transition_breaches
 from tallyline.operators.scan import rlag, running
 from tallyline.operators.skew import spread_join
 
@@ -362,23 +363,71 @@ def dependency_order(spark, d):
 
 @query("residual_work", w(ATTEMPTS, RUNS) + """
 , t AS (SELECT run_id, task_id, bool_or(outcome = 'completed') AS done, bool_and(outcome = 'cancelled' AND optional) AS skipped,
-   sum(cost) AS cost FROM attempts GROUP BY ALL)
-SELECT run_id, count(*) FILTER (WHERE NOT done AND NOT skipped) AS residual,
-  max(cost_cap) - CAST(sum(CASE WHEN done THEN cost ELSE 0 END) AS BIGINT) AS remaining_budget
+   sum(cost) AS cost, sum(tokens) AS tokens, sum(context) AS context, (run_id + task_id) % 7 = 0 AS sealed, max(end_ms) AS fin FROM attempts GROUP BY ALL)
+SELECT run_id, count(*) FILTER (WHERE NOT done AND NOT skipped AND NOT sealed) AS residual, count(*) FILTER (WHERE sealed AND NOT done) AS sealed, max(started_ms) + 3456000000 - max(fin) AS remaining_ms,
+  CAST(120 - sum(CASE WHEN done OR sealed THEN tokens ELSE 0 END) AS BIGINT) AS remaining_tokens,
+  max(cost_cap) - CAST(sum(CASE WHEN done OR sealed THEN cost ELSE 0 END) AS BIGINT) AS remaining_cost,
+  CAST(9000 - sum(CASE WHEN done OR sealed THEN context ELSE 0 END) AS BIGINT) AS remaining_context
 FROM t JOIN runs USING (run_id) GROUP BY run_id""")
 def residual_work(spark, d):
-    t = fx.attempts(spark, d).groupBy("run_id", "task_id").agg(
+    """The time is that of the run's last end; a task of seven is sealed."""
+    a = fx.attempts(spark, d)
+    t = a.groupBy("run_id", "task_id").agg(
         F.bool_or(F.col("outcome") == "completed").alias("done"),
         F.bool_and((F.col("outcome") == "cancelled") & F.col("optional")).alias("skipped"),
-        F.sum("cost").alias("cost"),
-    )
-    g = t.groupBy("run_id").agg(
-        F.count_if(~F.col("done") & ~F.col("skipped")).alias("residual"),
-        F.sum(F.when(F.col("done"), F.col("cost")).otherwise(0)).alias("spent"),
-    )
-    return g.join(fx.runs(spark, d), "run_id").select(
-        "run_id", "residual", (F.col("cost_cap") - F.col("spent")).alias("remaining_budget")
-    )
+        *[F.sum(c).alias(c) for c in ("cost", "tokens", "context")])
+    last = a.groupBy("run_id").agg(F.max("end_ms").alias("now_ms"))
+    env = fx.runs(spark, d).join(last, "run_id").select(
+        "run_id", (F.col("started_ms") + 3456000000).alias("deadline_ms"), "now_ms", F.col("cost_cap").alias("max_cost"), F.lit(120).cast("long").alias("max_tokens"),
+        F.lit(9000).cast("long").alias("max_context"))
+    return rs.residual_work(t, t.where("(run_id + task_id) % 7 = 0"), env, ["tokens", "cost", "context"], "now_ms")
+
+
+@query("state_facts", w(EVENTS) + """
+, s AS (SELECT run_id, sequence, at_ms, CAST(sum(CASE kind WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 WHEN 'error' THEN -1 ELSE 0 END) OVER o AS BIGINT) AS active,
+  CAST(sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER o AS BIGINT) AS completed, CAST(sum(CASE WHEN kind IN ('purchase', 'error') THEN units ELSE 0 END) OVER o AS BIGINT) AS u,
+  CAST(sum(CASE WHEN kind IN ('purchase', 'error') THEN units * 3 + k % 4 ELSE 0 END) OVER o AS BIGINT) AS c FROM ev WINDOW o AS (PARTITION BY run_id ORDER BY sequence))
+SELECT run_id, sequence, active, completed, u AS tokens_so_far, c AS cost_so_far, 2000 - u AS remaining_tokens, CASE WHEN run_id % 5 <> 0 THEN 5000 - c END AS remaining_cost,
+  1714521600000 - at_ms AS slack_ms FROM s""")
+def state_facts(spark, d):
+    """Runs whose id five divides declare no cost cap."""
+    k = F.col("kind")
+    e = fx.events(spark, d).select(
+        "run_id", "sequence", "at_ms", "kind", F.col("units").alias("tokens"), (F.col("units") * 3 + F.col("k") % 4).alias("cost"), F.lit(2000).cast("long").alias("max_tokens"),
+        F.when(F.col("run_id") % 5 != 0, 5000).cast("long").alias("max_cost"), F.lit(1714521600000).cast("long").alias("deadline_ms"))
+    x = ev.state_facts(e, ["run_id"], "sequence", [], k == "signup", k.isin("purchase", "error"), k == "purchase", {"tokens": "max_tokens", "cost": "max_cost"},
+                       k.isin("purchase", "error"), "at_ms", "deadline_ms")
+    return x.select("run_id", "sequence", "active", "completed", "tokens_so_far", "cost_so_far", "remaining_tokens", "remaining_cost", "slack_ms")
+
+
+@query("control_fields", w(EVENTS) + """
+SELECT run_id, k % 5 AS provider, max(sequence) FILTER (WHERE kind IN ('view', 'click', 'signup')) AS set_at, arg_max(units, sequence) FILTER (WHERE kind = 'view') AS capacity,
+  arg_max(units * 10, sequence) FILTER (WHERE kind = 'click') AS slow_down, arg_max(1000 - units, sequence) FILTER (WHERE kind = 'signup') AS cost_cap
+FROM ev WHERE sequence <= 40 GROUP BY ALL HAVING count(*) FILTER (WHERE kind IN ('view', 'click', 'signup')) > 0""")
+def control_fields(spark, d):
+    k, u = F.col("kind"), F.col("units")
+    e = fx.events(spark, d).where("sequence <= 40").withColumn("provider", F.col("k") % 5)
+    return ev.control_fields(e, ["run_id", "provider"], "sequence", {
+        "capacity": F.when(k == "view", u), "slow_down": F.when(k == "click", u * 10), "cost_cap": F.when(k == "signup", 1000 - u)})
+
+
+@query("failed_pairs", w(EVENTS) + """
+SELECT run_id, k AS task_id, k % 5 AS provider, min(sequence) AS failed_at, count(*) AS failures FROM ev WHERE kind = 'error' GROUP BY ALL""")
+def failed_pairs(spark, d):
+    e = fx.events(spark, d).select("run_id", F.col("k").alias("task_id"), (F.col("k") % 5).alias("provider"), "sequence", "kind")
+    return ev.failed_pairs(e, ["run_id", "task_id", "provider"], "sequence", F.col("kind") == "error")
+
+
+@query("expected_order", """
+WITH c AS (SELECT n_regionkey AS region, s_suppkey AS id, s_suppkey + CASE WHEN s_suppkey % 41 = 0 THEN 60 ELSE 0 END AS got FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 17 <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY id) AS expected_at, row_number() OVER (PARTITION BY region ORDER BY got, id) AS observed_at FROM c)
+SELECT CAST(region AS BIGINT) AS region, id, expected_at, observed_at FROM p WHERE expected_at <> observed_at""")
+def expected_order(spark, d):
+    """Suppliers by id are the expected list of their region; some are seen late, some not at all."""
+    n = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("long").alias("region"))
+    i = F.col("s_suppkey")
+    u = fx.table(spark, d, "supplier").join(n, "s_nationkey").select("region", i.alias("id"), i.alias("want"), (i + F.when(i % 41 == 0, 60).otherwise(0)).alias("got"))
+    return order_breaches(u.select("region", "id", "want"), u.where("id % 17 <> 0").select("region", "id", "got"), ["region"], "id", "want", "got")
 
 
 @query("run_summary", w(EVENTS) + """

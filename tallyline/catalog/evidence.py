@@ -118,6 +118,26 @@ def as_of_snapshots(spark, d):
     return evd.as_of_lookup(c, s, ["k"], "at_ms", ["event_id"], bits=24)
 
 
+@query("snapshot_admission", w(TASKS) + """
+, t AS (SELECT run_id, task_id, provider, run_id * 31 + task_id AS h FROM tasks)
+SELECT run_id, CASE WHEN h % 47 = 0 THEN task_id + 1000 ELSE task_id END AS task_id, CASE WHEN h % 47 = 0 THEN 'unselected_snapshot' WHEN h % 29 = 0 THEN 'snapshot_missing' WHEN h % 43 = 0 THEN 'snapshot_stale'
+  WHEN h % 37 = 0 THEN 'identity_mismatch' WHEN h % 31 = 0 THEN 'provider_mismatch' ELSE 'digest_mismatch' END AS code
+FROM t WHERE h % 47 = 0 OR (h % 29 = 0 AND h % 3 <> 0) OR (h % 29 <> 0 AND (h % 43 = 0 OR h % 37 = 0 OR h % 31 = 0 OR (h % 41 = 0 AND h % 3 <> 0)))
+UNION ALL SELECT run_id, task_id, 'snapshot_missing' FROM t WHERE h % 47 = 0 AND h % 3 <> 0""")
+def snapshot_admission(spark, d):
+    """Two tasks of three declare the digest of their snapshot; the snapshots of some lie under an id that was not selected."""
+    h = F.col("run_id") * 31 + F.col("task_id")
+    t = fx.tasks(spark, d).select("run_id", "task_id", "provider", h.alias("h"))
+    h = F.col("h")
+    tasks = t.select("run_id", "task_id", F.lit("p").alias("profile"), "provider", F.when(h % 3 != 0, seal(["h"])).alias("declared"))
+    new = t.where("h % 47 = 0 or h % 29 <> 0").select(
+        "run_id", (F.col("task_id") + F.when(h % 47 == 0, 1000).otherwise(0)).alias("task_id"), F.when(h % 37 == 0, "q").otherwise("p").alias("profile"),
+        (F.col("provider") + F.when(h % 31 == 0, 1).otherwise(0)).alias("provider"), F.when(h % 41 == 0, "other").otherwise(seal(["h"])).alias("digest"),
+        F.lit(400).alias("snapshot_at"), F.when(h % 43 == 0, 499).otherwise(500).alias("valid_until"))
+    old = new.withColumns({"snapshot_at": F.lit(300), "profile": F.lit("old")})
+    return evd.snapshot_admission(tasks, new.unionByName(old), ["run_id", "task_id"], False, F.lit(500))
+
+
 @query("seal_breaches", """
 SELECT doc_id, 'digest_mismatch' AS code FROM documents WHERE doc_id % 103 = 0""")
 def seal_breaches(spark, d):

@@ -243,15 +243,24 @@ def _quota(spark, d):
 
 
 @query("quota_counters", QUOTA + """
-, lease AS (SELECT c.provider, c.seq AS a, c.seq + 101 AS b FROM c JOIN z ON z.provider = c.provider AND z.win = c.win AND z.call = c.call),
-m AS (SELECT provider, p, sum(v) AS v FROM (SELECT provider, a AS p, 1 AS v FROM lease UNION ALL SELECT provider, b, -1 FROM lease) GROUP BY ALL),
-pk AS (SELECT provider, CAST(max(l) AS BIGINT) AS peak_leases FROM (SELECT provider, sum(v) OVER (PARTITION BY provider ORDER BY p) AS l FROM m) GROUP BY provider)
-SELECT c.provider, count(*) FILTER (WHERE z.call IS NOT NULL) AS admitted, count(*) FILTER (WHERE z.call IS NULL) AS refused,
-  CAST(sum(CASE WHEN z.call IS NOT NULL THEN units ELSE 0 END) AS BIGINT) AS tokens, any_value(peak_leases) AS peak_leases
-FROM c LEFT JOIN z ON z.provider = c.provider AND z.win = c.win AND z.call = c.call JOIN pk ON pk.provider = c.provider GROUP BY c.provider""")
+, d AS (SELECT s.provider, s.call, min(s.seq) AS seq, max(s.unused) AS unused FROM s GROUP BY ALL),
+x AS (SELECT c.*, z.call IS NOT NULL AS ok, d.seq AS ended, d.unused FROM c LEFT JOIN z ON z.provider = c.provider AND z.win = c.win AND z.call = c.call
+  LEFT JOIN d ON d.provider = c.provider AND d.call = c.call),
+m AS (SELECT provider, p, sum(v) AS v FROM (SELECT provider, seq AS p, 1 AS v FROM x WHERE ok UNION ALL SELECT provider, ended, -1 FROM x WHERE ok AND ended IS NOT NULL) GROUP BY ALL),
+pk AS (SELECT provider, CAST(max(l) AS BIGINT) AS peak_leases FROM (SELECT provider, sum(v) OVER (PARTITION BY provider ORDER BY p) AS l FROM m) GROUP BY provider),
+e AS (SELECT k % 5 AS provider, event_id, kind, at_ms, max(CASE WHEN kind = 'error' THEN at_ms + units * 60000 END) OVER (PARTITION BY k % 5 ORDER BY at_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM ev),
+rs AS (SELECT provider, count(*) AS n FROM e WHERE kind IN ('view', 'click') AND at_ms < r GROUP BY 1)
+SELECT x.provider, count(*) FILTER (WHERE ok) AS admitted, count(*) FILTER (WHERE NOT ok) AS refused, CAST(sum(CASE WHEN ok THEN units ELSE 0 END) AS BIGINT) AS tokens,
+  count(*) FILTER (WHERE ok AND ended IS NOT NULL) AS settled, CAST(sum(CASE WHEN ok AND ended IS NOT NULL THEN units - unused ELSE 0 END) AS BIGINT) AS tokens_settled,
+  count(*) FILTER (WHERE ok AND ended IS NULL) AS open_leases, coalesce(any_value(rs.n), 0) AS reset_suppressed, any_value(peak_leases) AS peak_leases
+FROM x JOIN pk ON pk.provider = x.provider LEFT JOIN rs ON rs.provider = x.provider GROUP BY x.provider""")
 def quota_counters(spark, d):
+    from tallyline.operators.events import reset_suppressed
     from tallyline.plans.audits import quota_counters as counters
 
     calls, settles = _quota(spark, d)
     ok = lg.quota_admission(calls, settles, "provider", "seq", "call", "at_ms", 86400000, 20, 300)
-    return counters(calls, ok, 101)
+    e = fx.events(spark, d).select((F.col("k") % 5).alias("provider"), F.col("event_id").alias("call"), "at_us", "at_ms", "kind", "units")
+    reset = F.when(F.col("kind") == "error", F.col("at_ms") + F.col("units") * 60000)
+    late = reset_suppressed(e, ["provider"], "at_us", ["call"], "at_ms", reset, 31)
+    return counters(calls, ok, settles, late)

@@ -51,6 +51,22 @@ def set_difference(expected: DataFrame, observed: DataFrame, keys: Sequence[str]
     return both.select(*keys, code.alias("code")).where("code is not null")
 
 
+def order_breaches(expected: DataFrame, observed: DataFrame, keys: Sequence[str], ident: str, want: str, got: str) -> DataFrame:
+    """Ids of both lists that stand at another place among those ids than expected.
+
+    ``expected``: keys, ident, want; ``observed``: keys, ident, got; integer positions, ties by id.  Ids of one list only and
+    repeated ones are ``set_difference``'s; of a repeated id the first place counts.
+    """
+    from tallyline.operators.scan import rcount, running
+
+    keys = list(keys)
+    e = expected.groupBy(*keys, ident).agg(F.min(want).alias(want))
+    o = observed.groupBy(*keys, ident).agg(F.min(got).alias(got))
+    x = running(e.join(o, [*keys, ident]), keys, want, {"expected_at": rcount()}, tie=[ident])
+    x = running(x, keys, got, {"observed_at": rcount()}, tie=[ident])
+    return x.where("expected_at <> observed_at").select(*keys, ident, "expected_at", "observed_at")
+
+
 def transition_breaches(df: DataFrame, state: str, previous: str, legal: dict[str, Sequence[str]],
                         initial: Sequence[str]) -> DataFrame:
     """Rows whose (previous, state) step is not in the legal table."""

@@ -183,6 +183,34 @@ def cumulative_state(events: DataFrame, keys: Sequence[str], seq: str, tie: Sequ
     return running(events, keys, seq, specs, tie=tie)
 
 
+def state_facts(events: DataFrame, keys: Sequence[str], seq: str, tie: Sequence[str], opens: Column, closes: Column, completes: Column,
+                caps: dict[str, str], charged: Column, at: str, deadline: str) -> DataFrame:
+    """State after each event with what is left of every cap and of the time.
+
+    ``caps`` maps a measure column to the column of its cap.  What is left is NULL where the cap is, and negative past it.
+    """
+    x = cumulative_state(events, keys, seq, tie, opens, closes, completes, list(caps), charged)
+    left = {f"remaining_{m}": F.try_subtract(F.col(cap), F.col(f"{m}_so_far")) for m, cap in caps.items()}
+    return x.withColumns({**left, "slack_ms": F.try_subtract(F.col(deadline), F.col(at))})
+
+
+def control_fields(events: DataFrame, keys: Sequence[str], seq: str, fields: dict[str, Column]) -> DataFrame:
+    """Latest known value of every control field per key, NULL where none was set.
+
+    ``fields`` maps a name to a column that is non-null on the rows that set it.  One partial aggregate; a key without any
+    such row has no row.
+    """
+    known = [F.max_by(c, F.when(c.isNotNull(), F.col(seq))).alias(n) for n, c in fields.items()]
+    set_at = F.greatest(*[F.max(F.when(c.isNotNull(), F.col(seq))) for c in fields.values()]) if len(fields) > 1 else F.max(
+        F.when(next(iter(fields.values())).isNotNull(), F.col(seq)))
+    return events.groupBy(*keys).agg(set_at.alias("set_at"), *known).where(F.col("set_at").isNotNull())
+
+
+def failed_pairs(events: DataFrame, pair: Sequence[str], seq: str, failed: Column) -> DataFrame:
+    """The set of pairs, such as (run, task, provider), that failed, with the first failure (W23); a row per pair."""
+    return events.where(holds(failed)).groupBy(*pair).agg(F.min(seq).alias("failed_at"), F.count("*").alias("failures"))
+
+
 def growing_caps(events: DataFrame, keys: Sequence[str], seq: str, caps: Sequence[str]) -> DataFrame:
     """Cap changes that raise a dimension."""
     x = running(events, keys, seq, {f"__p_{c}": rlag(F.col(c)) for c in caps})

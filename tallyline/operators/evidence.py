@@ -112,6 +112,32 @@ def as_of_lookup(calls: DataFrame, snapshots: DataFrame, keys: Sequence[str], at
                                         F.col("__found.digest").alias("digest"), code.alias("code"))
 
 
+def snapshot_admission(tasks: DataFrame, snapshots: DataFrame, keys: Sequence[str], required: bool, as_of: Column) -> DataFrame:
+    """First reason a selected profile has no usable snapshot, and snapshots of work that was not selected.
+
+    ``tasks``: keys, profile, provider, declared (digest or NULL), one row per key; ``snapshots``: keys, profile, provider, digest,
+    snapshot_at, valid_until.  Of several snapshots of a key the newest at ``as_of`` counts, equal times by digest; a key
+    with later ones only is stale.  A task without a snapshot passes if none is ``required`` and it declares no digest.
+    """
+    keys = list(keys)
+    live = F.col("snapshot_at") <= as_of
+    fields = F.struct(live.alias("live"), "snapshot_at", "digest", "profile", "provider", "valid_until")
+    s = snapshots.groupBy(*keys).agg(F.max(fields).alias("__s"))
+    t = tasks.select(*keys, F.struct("profile", "provider", "declared").alias("__t"))
+    x = t.join(s, keys, "full_outer")
+    none = F.col("__s").isNull()
+    code = (
+        F.when(F.col("__t").isNull(), "unselected_snapshot")
+        .when(none & (F.lit(required) | F.col("__t.declared").isNotNull()), "snapshot_missing")
+        .when(none, F.lit(None).cast("string"))
+        .when(~holds(F.col("__s.live") & (as_of <= F.col("__s.valid_until"))), "snapshot_stale")
+        .when(~holds(F.col("__s.profile") == F.col("__t.profile")), "identity_mismatch")
+        .when(~holds(F.col("__s.provider") == F.col("__t.provider")), "provider_mismatch")
+        .when(F.col("__t.declared").isNotNull() & ~holds(F.col("__s.digest") == F.col("__t.declared")), "digest_mismatch")
+    )
+    return x.select(*keys, code.alias("code")).where("code is not null")
+
+
 def set_digest(df: DataFrame, keys: Sequence[str], digest: str, order: str | None = None) -> DataFrame:
     """Digest of a set, or with ``order`` of a chain, of record digests per key: a hash tree of fixed fan-in.
 

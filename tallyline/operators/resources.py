@@ -166,3 +166,21 @@ def run_metrics(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.when(F.col("outcome") == "cancelled", F.col("tokens")).otherwise(0)).alias("cancelled_tokens"),
         (F.max("end_ms") - F.min("start_ms")).alias("makespan_ms"),
     )
+
+
+def residual_work(tasks: DataFrame, sealed: DataFrame, envelopes: DataFrame, measures: Sequence[str], now: str) -> DataFrame:
+    """Work that is neither completed, skipped nor sealed, and what is left of the envelope, per run.
+
+    ``tasks``: run_id, task_id, done, skipped, measures (what the task has used); ``sealed``: run_id, task_id of write intents
+    that must not run again; ``envelopes``: run_id, deadline_ms, ``now`` and max_<measure>.  Completed and sealed tasks are
+    charged.  What is left is negative past a cap, NULL where the cap is; runs without tasks have no row.
+    """
+    s = sealed.select("run_id", "task_id", F.lit(True).alias("__sealed")).distinct()
+    x = tasks.join(s, ["run_id", "task_id"], "left")
+    closed, skipped = holds(F.col("done")) | F.col("__sealed").isNotNull(), holds(F.col("skipped"))
+    g = x.groupBy("run_id").agg(
+        F.count_if(~closed & ~skipped).alias("residual"), F.count_if(F.col("__sealed").isNotNull() & ~holds(F.col("done"))).alias("sealed"),
+        *[F.sum(F.when(closed, F.col(m)).otherwise(0)).alias(f"__{m}") for m in measures])
+    return g.join(envelopes, "run_id").select(
+        "run_id", "residual", "sealed", F.try_subtract(F.col("deadline_ms"), F.col(now)).alias("remaining_ms"),
+        *[F.try_subtract(F.col(f"max_{m}"), F.col(f"__{m}")).alias(f"remaining_{m}") for m in measures])

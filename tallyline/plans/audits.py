@@ -141,17 +141,26 @@ def model_bounds(tasks: DataFrame, down: DataFrame, limits: DataFrame) -> DataFr
     return path.join(work, "run_id").withColumn("bound", F.greatest("critical_path", "work_bound", "provider_bound"))
 
 
-def quota_counters(calls: DataFrame, admitted: DataFrame, lease: int) -> DataFrame:
-    """Admitted, refused, tokens and most leases open at once per provider."""
+def quota_counters(calls: DataFrame, admitted: DataFrame, settles: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """Counters of a quota replay per provider.
+
+    ``calls``: provider, seq, call, tokens; ``admitted``: provider, call, admitted; ``settles``: provider, seq, call, unused;
+    ``suppressed``: provider, call of calls made before a declared reset.  A lease runs from an admitted call to its first
+    settlement, and stays open without one; settlements of calls that were refused count nothing.
+    """
     from tallyline.operators import resources as rs
 
-    x = calls.join(admitted.select("provider", "call", "admitted"), ["provider", "call"])
+    on = ["provider", "call"]
+    done = settles.groupBy(*on).agg(F.min(F.struct("seq", "unused")).alias("__end"))
+    late = suppressed.select(*on).distinct().withColumn("__late", F.lit(True))
+    x = calls.join(admitted.select(*on, "admitted"), on).join(done, on, "left").join(late, on, "left")
+    ok, ended = F.col("admitted"), F.col("__end").isNotNull()
     g = x.groupBy("provider").agg(
-        F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("refused"),
-        F.sum(F.when(F.col("admitted"), F.col("tokens")).otherwise(0)).alias("tokens"),
-    )
-    spans = x.where("admitted").select("provider", "seq", (F.col("seq") + lease).alias("until"))
-    p = rs.peak_concurrency(spans, ["provider"], "seq", "until").withColumnRenamed("peak", "peak_leases")
+        F.count_if(ok).alias("admitted"), F.count_if(~ok).alias("refused"), F.sum(F.when(ok, F.col("tokens")).otherwise(0)).alias("tokens"),
+        F.count_if(ok & ended).alias("settled"), F.sum(F.when(ok & ended, F.col("tokens") - F.col("__end.unused")).otherwise(0)).alias("tokens_settled"),
+        F.count_if(ok & ~ended).alias("open_leases"), F.count_if("__late").alias("reset_suppressed"))
+    end = F.coalesce(F.col("__end.seq"), F.lit(2**62))
+    p = rs.peak_concurrency(x.where(ok).select("provider", "seq", end.alias("until")), ["provider"], "seq", "until").withColumnRenamed("peak", "peak_leases")
     return g.join(p, "provider", "left")
 
 
