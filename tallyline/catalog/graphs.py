@@ -11,6 +11,7 @@ from tallyline.operators import graph as gr
 from tallyline.operators import ledgers as lg
 from tallyline.operators import resources as rs
 from tallyline.operators import selection as sel
+from tallyline.operators.scan import rlast, running
 
 RW = lambda *views: w(*views).replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -209,6 +210,30 @@ def ledger_mismatches(spark, d):
     return lg.ledger_mismatches(r, "ledger", ["units"])
 
 
+@query("ledger_failures", LEDGER + f"""
+, y AS (SELECT o.ledger, o.seq, o.op, lag(f.active) OVER (PARTITION BY f.ledger ORDER BY f.seq)[o.att + 1] AS before,
+  last_value(o.res IGNORE NULLS) OVER (PARTITION BY o.ledger, o.att ORDER BY o.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said
+  FROM f LEFT JOIN o ON o.ledger = f.ledger AND o.seq = f.seq)
+SELECT ledger, seq, 'invalid_event_id' AS code FROM o WHERE seq % 41 = 0 UNION ALL SELECT ledger, seq, 'duplicate_event_id' FROM o WHERE seq % 41 = 0
+UNION ALL SELECT ledger, seq, 'unknown_operation' FROM o WHERE op = 'audit'
+UNION ALL SELECT ledger, seq, 'reservation_mismatch' FROM y WHERE op <> 'reserve' AND said IS DISTINCT FROM (CASE WHEN before >= 0 THEN before END)
+UNION ALL SELECT ledger, seq, 'decision_mismatch' FROM f WHERE seq > 0 AND seq % 29 = 0 UNION ALL SELECT ledger, seq, 'post_snapshot_mismatch' FROM f WHERE seq > 0 AND seq % 31 = 0
+UNION ALL SELECT DISTINCT ledger, CAST(NULL AS BIGINT), 'claimed_snapshot_mismatch' FROM o WHERE ledger % 7 = 0""")
+def ledger_failures(spark, d):
+    """Each row that ends an attempt records what the attempt last asked for, also where that was refused or has ended."""
+    s = F.col("seq")
+    r = lg.replay_ledger(_ops(spark, d), "ledger", ["units"], ["cap"])
+    asked = running(r, ["ledger", "attempt_id"], "seq", {"__asked": rlast(F.col("res_units"), inclusive=False)})
+    name = F.concat(F.lit(lg.EVENT_PREFIX + "-"), F.lpad((s - F.when(s % 41 == 0, 1).otherwise(0)).cast("string"), 12, "0"))
+    r = asked.select(
+        "*", name.alias("event_id"), F.when(F.col("operation") == "reserve", F.col("res_units")).otherwise(F.col("__asked")).alias("rec_res_units"),
+        F.when(s % 29 == 0, ~F.col("applied")).otherwise(F.col("applied")).alias("rec_applied"), F.col("reason").alias("rec_reason"),
+        F.when(s % 31 == 0, F.col("spent_units") + 1).otherwise(F.col("spent_units")).alias("rec_spent_units"), F.col("held_units").alias("rec_held_units"))
+    end = r.groupBy("ledger").agg(F.max_by(F.struct("spent_units", "held_units"), "seq").alias("e"))
+    claimed = end.select("ledger", (F.col("e.spent_units") + F.when(F.col("ledger") % 7 == 0, 1).otherwise(0)).alias("spent_units"), "e.held_units")
+    return lg.ledger_failures(r, "ledger", ["units"], ["cap"], claimed)
+
+
 @query("quota_usage", w(EVENTS) + """
 SELECT k AS provider, at_ms // 3600000 AS "window", count(*) AS calls, CAST(sum(units) AS BIGINT) AS tokens FROM ev GROUP BY ALL""")
 def quota_usage(spark, d):

@@ -280,6 +280,7 @@ class _Quota(StatefulProcessor):
                     if r.op in ("fail", "limited") and nxt < self.attempts:
                         retry = at + self._backoff(nxt)
                         retry = max(retry, reset) if r.op == "limited" else retry
+                        retry = None if 0 <= deadline < retry else retry  # too late: the call ends here
                     book.put(who, (last, -1 if retry is None else int(retry), retry is None, at, -1, -1, deadline))
             out.append((key[0], r.seq, not reasons, "|".join(reasons), retry, open_, calls, tokens))
         book.write()
@@ -298,7 +299,8 @@ def quota_admission_stream(rows: DataFrame, provider: dict, aggregate: dict, wid
     """Admission with leases, resets and retries that cross windows.
 
     ``rows``: provider, seq, at_ms, op (acquire / complete / fail / limited), logical, attempt, tokens, reset_ms and, if calls have
-    one, deadline_ms: the deadline of a call is that of its first admitted attempt, and later acquires are refused.
+    one, deadline_ms: the deadline of a call is that of its first admitted attempt; later acquires are refused, and a call whose
+    next attempt would come after it ends.
     ``retain``: calls without a lease are forgotten after this many ms; None keeps all.
     """
     schema = "provider long, seq long, ok boolean, reasons string, retry_at long, open long, calls long, tokens long"

@@ -159,10 +159,11 @@ def test_deadline_of_the_first_attempt():
     quota = stateful._Quota(lim, lim, 1000, 3, 10, 100, None)
     quota.init(Handle())
     row = lambda seq, at, op, who, attempt, deadline: {"seq": seq, "at_ms": at, "op": op, "logical": who, "attempt": attempt, "tokens": 1, "reset_ms": 0, "deadline_ms": deadline}
-    rows = [row(1, 50, "acquire", 1, 0, 49), row(2, 50, "acquire", 1, 0, 50), row(3, 51, "fail", 1, 0, None), row(4, 90, "acquire", 1, 1, 500),
-            row(5, 90, "acquire", 2, 0, None), row(6, 91, "fail", 2, 0, None), row(7, 10**6, "acquire", 2, 1, 5)]
+    rows = [row(1, 50, "acquire", 1, 0, 49), row(2, 50, "acquire", 1, 0, 70), row(3, 51, "fail", 1, 0, None), row(4, 90, "acquire", 1, 1, 500),
+            row(5, 90, "acquire", 2, 0, None), row(6, 91, "fail", 2, 0, None), row(7, 10**6, "acquire", 2, 1, 5),
+            row(8, 10**6, "acquire", 3, 0, 10**6 + 9), row(9, 10**6, "fail", 3, 0, None), row(10, 10**6 + 2, "acquire", 3, 1, None)]
     got = [r.reasons for pdf in quota.handleInputRows((1,), iter([pd.DataFrame(rows)]), None) for r in pdf.itertuples()]
-    assert got == ["deadline", "", "", "deadline", "", "", ""]
+    assert got == ["deadline", "", "", "deadline", "", "", "", "", "", "terminal"]  # the retry of call 3 would be due past its deadline
 
 
 @pytest.mark.parametrize("batches", [1, 4])
