@@ -52,74 +52,99 @@ def ready_rank(tasks: DataFrame, keys: Sequence[str], protected: str, slack: str
 # --- skyline ---------------------------------------------------------------------------------------
 
 BLOCK = 4096
+_WIDE = 1e300  # sums of clipped dimensions stay finite, so the order of the sums is one of all rows
 
 
-def _undominated(points: np.ndarray, against: np.ndarray) -> np.ndarray:
-    """Mask of points no row of ``against`` beats in all dimensions and betters in one."""
-    keep = np.ones(len(points), dtype=bool)
-    for i in range(0, len(against), 256):
+def _undominated(points: list[np.ndarray], against: list[np.ndarray]) -> np.ndarray:
+    """Mask of points no row of ``against`` beats in all dimensions and betters in one; both hold one array a dimension."""
+    keep = np.ones(len(points[0]), dtype=bool)
+    for i in range(0, len(against[0]), 256):
         live = np.flatnonzero(keep)
         if not len(live):
             break
-        a = against[i : i + 256]
-        p = points[live]
-        beats = (a[None, :, :] <= p[:, None, :]).all(axis=2) & (a[None, :, :] < p[:, None, :]).any(axis=2)
-        keep[live[beats.any(axis=1)]] = False
+        beats = np.ones((256 if i + 256 <= len(against[0]) else len(against[0]) - i, len(live)), dtype=bool)
+        better = np.zeros_like(beats)
+        for p, a in zip(points, against, strict=True):
+            mine, theirs = p[live][None, :], a[i : i + 256, None]
+            beats &= theirs <= mine
+            better |= theirs < mine
+        keep[live[(beats & better).any(axis=0)]] = False
     return keep
 
 
-def pareto(df: DataFrame, keys: Sequence[str], minimise: Sequence[str], maximise: Sequence[str] = ()) -> DataFrame:
+def pareto(df: DataFrame, keys: Sequence[str], minimise: Sequence[str], maximise: Sequence[str] = (), block: int | None = None) -> DataFrame:
     """Vectors of a group no other vector dominates (G5); equal vectors are kept once.
 
-    Equal vectors are merged first.  Arrow batches, each sorted so that one hot group spreads over all
-    tasks, drop what their own batch dominates.  What is left is cut into blocks of a fixed size and each
-    block is compared with each other block of its group, so a task never holds more than two blocks.
+    Equal vectors are merged first.  Arrow batches, each sorted so that one hot group spreads over all tasks, drop what
+    their own batch dominates.  What is left is range-partitioned by a score that every dominated vector has at least
+    as high as its victor, and cut into blocks in that order.  Each round merges pairs of neighbouring nodes, first
+    blocks, then what earlier rounds left of two, four, eight: only the node of higher scores can lose rows, so its
+    rows meet those of the lower node, in pieces of about ``block`` rows (BLOCK if none is given).  A group of n blocks takes
+    log2(n) rounds, and a task holds two pieces.  Where rounds leave few rows a node is one piece; a group whose
+    vectors are all undominated has to compare all its pieces once.
+
+    Dimensions are compared in their own type, integers as int64.  A vector with a null or NaN dimension is not
+    comparable: it is kept and dominates nothing.  Rows with a null key belong to no group and are left out.
     """
-    keys = list(keys)
-    dims = [*minimise, *maximise]
-    score = [F.col(m).cast("double") for m in minimise] + [-F.col(m).cast("double") for m in maximise]
-    vectors = df.select(*keys, *dims).distinct()
+    keys, dims, block = list(keys), [*minimise, *maximise], block or BLOCK
+    kinds = dict(df.dtypes)
+    vectors = df.select(*keys, *dims).dropna(subset=keys).distinct()
+    odd = F.lit(False)
+    for d in dims:
+        odd = odd | F.col(d).isNull() | (F.isnan(d) if kinds[d] in ("float", "double") else F.lit(False))
     schema = vectors.schema
 
-    def scores(pdf: pd.DataFrame) -> np.ndarray:
-        cols = [pdf[m].to_numpy(dtype=float) for m in minimise] + [-pdf[m].to_numpy(dtype=float) for m in maximise]
-        return np.column_stack(cols)
+    def columns(pdf: pd.DataFrame) -> list[np.ndarray]:
+        # ~v is -v - 1: the order of integers is turned without an overflow
+        turned = [~v if v.dtype.kind == "i" else -v for v in (pdf[m].to_numpy() for m in maximise)]
+        return [pdf[m].to_numpy() for m in minimise] + turned
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = columns(pdf)
+        return pdf[_undominated(points, points)]
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            mask = np.zeros(len(pdf), dtype=bool)
-            points = scores(pdf)
-            for rows in pdf.groupby(keys, sort=False).indices.values():
-                local = points[rows]
-                order = np.argsort(local.sum(axis=1), kind="stable")
-                mask[rows[order]] = _undominated(local[order], local[order])
-            yield pdf[mask]
-
-    total = score[0]
-    for s in score[1:]:
-        total = total + s
-    spread = vectors.repartition(*keys, F.pmod(F.xxhash64(*dims), F.lit(64)))
-    left = durable(spread.sortWithinPartitions(*keys).mapInPandas(prune, schema))
-    sized = left.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
-    blocks = left.join(sized, keys).withColumn(
-        "__b", F.pmod(F.xxhash64(*dims), F.col("__blocks")).cast("int")
-    )
-    # Block b meets block j of its group for every j; dominated vectors are reported by either meeting.
-    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    mine = blocks.select(*keys, *dims, F.col("__b").alias("__i"), every.alias("__j"))
-    other = blocks.select(
-        *[F.col(c).alias(c) for c in [*keys, *dims]], every.alias("__i"), F.col("__b").alias("__j")
-    )
+            parts = [own(pdf.iloc[rows]) for rows in pdf.groupby(keys, sort=False).indices.values()]
+            yield pd.concat(parts) if parts else pdf
+
+    def beaten(high: pd.DataFrame, low: pd.DataFrame) -> pd.DataFrame:
+        gone = high[~_undominated(columns(high), columns(low))] if len(high) and len(low) else high[:0]
+        return gone[[*keys, *dims]]
 
-    def beaten(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return a[[*keys, *dims]]
-        keep = _undominated(scores(a), scores(b)) if len(b) else np.ones(len(a), dtype=bool)
-        return a.loc[~keep, [*keys, *dims]]
+    spread = vectors.where(~odd).repartition(*keys, F.pmod(F.xxhash64(*dims), F.lit(64)))
+    left = durable(spread.sortWithinPartitions(*keys).mapInPandas(prune, schema))
 
-    meet = [*keys, "__i", "__j"]
-    gone = mine.groupBy(*meet).cogroup(other.groupBy(*meet)).applyInPandas(beaten, schema)
-    return left.join(gone.distinct(), [*keys, *dims], "left_anti")
+    total = F.lit(0.0)
+    for d in dims:
+        v = F.least(F.greatest(F.col(d).cast("double"), F.lit(-_WIDE)), F.lit(_WIDE))
+        total = total + (v if d in minimise else -v)
+    # A victor has a sum no higher, and on equal sums comes first by the dimensions themselves.
+    order = [*keys, "__score", *minimise, *[F.desc(m) for m in maximise]]
+    placed = durable(
+        left.withColumn("__score", total).repartitionByRange(*order).sortWithinPartitions(*order).drop("__score")
+        .withColumn("__run", F.call_function("div", F.monotonically_increasing_id(), F.lit(block)))
+    )
+    one = Window.partitionBy(*keys).orderBy("__run")  # one row for each block of rows
+    nodes = placed.select(*keys, "__run").distinct().withColumn("__node", F.row_number().over(one) - 1)
+    state = placed.join(nodes, [*keys, "__run"]).drop("__run")
+    state = durable(state.groupBy(*keys, "__node").applyInPandas(own, state.schema))
+
+    depth = (state.agg(F.max("__node")).first()[0] or 0).bit_length()
+    at, meet = [*keys, "__node"], [*keys, "__pair", "__i", "__j"]
+    for _ in range(depth):
+        pieces = state.groupBy(*at).agg(F.ceil(F.count("*") / block).cast("int").alias("__own"))
+        other = pieces.select(*keys, F.col("__node").bitwiseXOR(F.lit(1)).alias("__node"), F.col("__own").alias("__there"))
+        x = state.join(pieces.join(other, at), at).withColumn("__pair", F.shiftright("__node", 1))
+        mine, theirs = F.pmod(F.xxhash64(*dims), F.col("__own")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("__there") - 1))
+        upper = x.where("__node % 2 = 1").select(*keys, *dims, "__pair", mine.alias("__i"), theirs.alias("__j"))
+        lower = x.where("__node % 2 = 0").select(
+            *[F.col(c).alias(c) for c in (*keys, *dims, "__pair")], theirs.alias("__i"), mine.alias("__j")
+        )
+        gone = upper.groupBy(*meet).cogroup(lower.groupBy(*meet)).applyInPandas(beaten, schema)
+        kept = state.join(gone.distinct(), [*keys, *dims], "left_anti")
+        state = durable(kept.withColumn("__node", F.shiftright("__node", 1)))
+    return state.drop("__node").unionByName(vectors.where(odd))
 
 
 # --- first fit -------------------------------------------------------------------------------------

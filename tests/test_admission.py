@@ -137,6 +137,28 @@ def test_skyline_equals_brute_force(spark):
     sel.BLOCK = old
 
 
+def test_skyline_merges_nodes_of_exact_values(spark):
+    rnd = random.Random(5)
+    big = 2**53
+    rows = [("one", big + 1, 0), ("one", big, 0), ("one", -2**63, -2**63), ("two", 5, 2**63 - 1), ("two", 5, -2**63), ("none", None, 9), ("none", 3, 4), ("none", 4, 4)]
+    rows += [("front", i, i) for i in range(40)]  # nothing is dominated, so every piece of a node meets every other
+    rows += [("cloud", rnd.randint(0, 10**6), rnd.randint(0, 10**6)) for _ in range(600)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "g string, a long, q long")
+    pts = {r for r in rows if r[0] is not None and r[1] is not None}
+    want = {p for p in pts if not any(o[0] == p[0] and o[1] <= p[1] and o[2] >= p[2] and o != p for o in pts)} | {("none", None, 9)}
+    got = [tuple(r) for r in sel.pareto(df, ["g"], ["a"], ["q"], block=3).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_skyline_of_doubles(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("x", -inf, inf), ("x", 0.0, inf), ("x", 1.0, 2.0), ("x", 1.0, 2.0000000000000004), ("x", 1e308, -1e308), ("y", nan, 0.0), ("y", 1.0, 1.0), ("y", 2.0, 0.5), ("y", 2.0, 1.5)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    got = {(r.g, str(r.a), str(r.b)) for r in sel.pareto(df, ["g"], ["a", "b"], block=1).collect()}
+    assert got == {("x", "-inf", "inf"), ("x", "1.0", "2.0"), ("x", "1e+308", "-1e+308"), ("y", "nan", "0.0"), ("y", "1.0", "1.0"), ("y", "2.0", "0.5")}
+    assert not sel.pareto(df.where("false"), ["g"], ["a"], ["b"]).collect()
+
+
 def test_pack_refuses_whole_context(spark):
     b = spark.createDataFrame([("x", 1, 50, 5, 0, True, True), ("x", 2, 10, 1, 9, False, True), ("y", 1, 5, 1, 0, True, False), ("y", 2, 1, 1, 1, False, True),
                                ("z", 1, 5, 1, 0, True, True), ("z", 2, 4, 1, 8, False, True), ("z", 3, 4, 1, 7, False, True), ("z", 4, 1, 1, 1, False, False)],
