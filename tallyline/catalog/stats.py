@@ -86,6 +86,28 @@ def bootstrap_p95(spark, d):
     return st.bootstrap_ci(e, "fault", "tokens", "unit", "p95", 200, "tokens")
 
 
+@query("bootstrap_trimmed", w(EXPERIMENT) + DRAWS + """
+, r AS (SELECT fault, b, tokens, row_number() OVER (PARTITION BY fault, b ORDER BY tokens) AS i, count(*) OVER (PARTITION BY fault, b) AS n FROM x),
+s AS (SELECT fault, b, sum(tokens) / count(*) AS s FROM r WHERE i > n // 10 AND i <= n - n // 10 GROUP BY ALL)
+SELECT fault, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM s GROUP BY fault""")
+def bootstrap_trimmed(spark, d):
+    """A statistic of the caller: the mean without a tenth at either end."""
+    e = fx.experiment(spark, d).withColumn("unit", F.col("seed") * 3 + F.col("policy"))
+    return st.bootstrap(e, ["fault"], "tokens", "unit", 200, F.concat_ws(":", F.lit("tokens"), "fault"), st.trimmed_mean(0.1), merge=True)
+
+
+@query("bootstrap_poisson", w(EXPERIMENT) + f"""
+, b AS (SELECT unnest(range(1, 201)) AS b),
+u AS (SELECT fault, b, tokens, CAST(('0x' || substr(md5('tokens:' || fault || '|' || b || '|' || (seed * 3 + policy)), 1, 15)) AS BIGINT) AS u FROM experiment, b),
+x AS (SELECT *, len(list_filter({st.POISSON_STEPS}, lambda t: t <= u)) AS w FROM u),
+s AS (SELECT fault, b, sum(w * tokens) / sum(w) AS s FROM x WHERE w > 0 GROUP BY ALL)
+SELECT fault, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM s GROUP BY fault""")
+def bootstrap_poisson(spark, d):
+    """The interval of the mean, each trial held a Poisson number of times."""
+    e = fx.experiment(spark, d).withColumn("unit", F.col("seed") * 3 + F.col("policy"))
+    return st.bootstrap(e, ["fault"], "tokens", "unit", 200, F.concat_ws(":", F.lit("tokens"), "fault"), weights=st.poisson_weights)
+
+
 PAIRED = w(EXPERIMENT) + """
 , pd AS (SELECT c.seed, c.fault, c.policy, CAST(c.success AS BIGINT) - CAST(b.success AS BIGINT) AS success_delta,
   CASE WHEN c.success AND b.success THEN c.makespan - b.makespan END AS success_makespan_delta,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,39 +122,102 @@ def draw(label: Column | str, resample: Column, position: Column, n: Column) ->
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), n)
 
 
-def bootstrap_ci(df: DataFrame, key: str, value: str, order: str, stat: str, resamples: int, label: str) -> DataFrame:
-    """95 % bootstrap interval of the mean, or of a percentile such as "p95", per group (A5).
+def drawn_weights(df: DataFrame, keys: Sequence[str], value: str, order: str, resamples: int, label: Column | str) -> DataFrame:
+    """keys, __b, value, __w: resamples of a group's own size, drawn with replacement.
 
     Values take a rank inside their group; draw i of resample b picks the rank fixed by a digest of
-    (label, group, b, i), found by an equi join.  Rows spread over (group, rank) and (group, resample),
-    so a large group is not one task.  The draws differ from a sequential generator by design.
+    (label, b, i), found by an equi join.  Draws spread over (group, rank).  NULL values take no part.
     """
-    ranked = running(df.where(F.col(value).isNotNull()), [key], order,
+    keys = list(keys)
+    label = F.lit(label) if isinstance(label, str) else label
+    ranked = running(df.where(F.col(value).isNotNull()).withColumn("__l", label), keys, order,
                      {"__i": rcount(), "__n": rtotal(F.lit(1).cast("long"))})
-    ranked = ranked.select(key, value, (F.col("__i") - 1).alias("__i"), "__n")
-    picks = ranked.select(key, "__i", "__n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("__b")).select(
-        key, "__b", draw(F.concat_ws(":", F.lit(label), key), F.col("__b"), F.col("__i"), F.col("__n")).alias("__i")
-    )
-    drawn = picks.groupBy(key, "__b", "__i").agg(F.count("*").alias("__w")).join(
-        ranked.select(key, "__i", value), [key, "__i"]
+    ranked = ranked.select(*keys, "__l", value, (F.col("__i") - 1).alias("__i"), "__n")
+    picks = ranked.select(*keys, "__i", "__n", "__l", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("__b")).select(
+        *keys, "__b", draw(F.col("__l"), F.col("__b"), F.col("__i"), F.col("__n")).alias("__i")
     )
+    drawn = picks.groupBy(*keys, "__b", "__i").agg(F.count("*").alias("__w"))
+    return drawn.join(ranked.select(*keys, "__i", value), [*keys, "__i"]).select(*keys, "__b", value, "__w")
+
+
+# Poisson(1) by its inverse distribution function on 60 bits: a draw is the number of steps at or below a uniform one.
+POISSON_STEPS = [math.floor(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) * 2**60) for k in range(16)]
+
+
+def poisson_weights(df: DataFrame, keys: Sequence[str], value: str, order: str, resamples: int, label: Column | str) -> DataFrame:
+    """keys, __b, value, __w: resamples where each row is held a Poisson(1) number of times.
+
+    The number is fixed by a digest of (label, b, ``order``), so a row is weighed where it lies: no rank, no join, and an
+    aggregate by resample sums before its shuffle.  The size of a resample varies around the group's own.  Rows of a group
+    that share ``order`` share their weights.  NULL values take no part, rows held no times are left out.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("__l", F.lit(label) if isinstance(label, str) else label)
+    rows = rows.select(*keys, "__l", F.col(order).alias("__o"), value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("__b"))
+    uniform = draw(F.col("__l"), F.col("__b"), F.col("__o"), F.lit(2**60))
+    weight = sum(((F.col("__u") >= t).cast("long") for t in POISSON_STEPS), F.lit(0).cast("long"))
+    return rows.withColumn("__u", uniform).where(F.col("__u") >= POISSON_STEPS[0]).select(*keys, "__b", value, weight.alias("__w"))
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    return F.sum(weight * value) / F.sum(weight)
+
+
+def trimmed_mean(cut: float) -> Callable[[Column, Column], Column]:
+    """Mean without the floor(``cut`` * n) lowest and highest of the n values held, as a grouped-aggregate Pandas UDF."""
+
+    def mean(value: pd.Series, weight: pd.Series) -> float:
+        order = np.argsort(value.to_numpy(), kind="stable")
+        v, w = value.to_numpy()[order], weight.to_numpy()[order]
+        high = np.cumsum(w)
+        n = int(high[-1])
+        drop = math.floor(cut * n)
+        held = np.clip(np.minimum(high, n - drop) - np.maximum(high - w, drop), 0, None)
+        return float((held * v).sum() / held.sum()) if held.sum() else float("nan")
+
+    return F.pandas_udf(mean, "double")
+
+
+def bootstrap(df: DataFrame, keys: Sequence[str], value: str, order: str, resamples: int, label: Column | str,
+              statistic: Callable[[Column, Column], Column] = weighted_mean, weights: Callable[..., DataFrame] = drawn_weights,
+              merge: bool = False, tails: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """keys, low, high: bootstrap interval of a caller's statistic per group (H2).
+
+    ``statistic`` makes an aggregate of the columns (value, times held).  One of built-in functions is summed before the shuffle.
+    A grouped-aggregate Pandas UDF gets one resample of one group in one task; ``merge`` sums the times of equal values
+    first, so that it holds distinct values only, and it suits values of which a group has a bounded number.
+    ``weights``: ``drawn_weights`` or ``poisson_weights``.
+    """
+    keys = list(keys)
+    x = weights(df, keys, value, order, resamples, label)
+    if merge:
+        x = x.groupBy(*keys, "__b", value).agg(F.sum("__w").alias("__w"))
+    return _interval(x.groupBy(*keys, "__b").agg(statistic(F.col(value), F.col("__w")).alias("__s")), keys, tails)
+
+
+def _interval(est: DataFrame, keys: Sequence[str], tails: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    # Resample counts are a parameter, so one group's estimates are a bounded set.
+    low, high = (F.round(F.percentile("__s", p), 6) for p in tails)
+    return est.groupBy(*keys).agg(low.alias("low"), high.alias("high"))
+
+
+def bootstrap_ci(df: DataFrame, key: str, value: str, order: str, stat: str, resamples: int, label: str) -> DataFrame:
+    """95 % bootstrap interval of the mean, or of a percentile such as "p95", per group (A5).
+
+    The draws differ from a sequential generator by design.  Percentiles are exact at any number of distinct values:
+    they are ranked by chunked running counts.
+    """
+    text = F.concat_ws(":", F.lit(label), key)
     if stat == "mean":
-        est = drawn.groupBy(key, "__b").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("__s"))
-        # Resample counts are a parameter, so one group's estimates are a bounded set.
-        return est.groupBy(key).agg(
-            F.round(F.percentile("__s", 0.025), 6).alias("low"), F.round(F.percentile("__s", 0.975), 6).alias("high")
-        )
+        return bootstrap(df, [key], value, order, resamples, text)
     q = int(stat[1:]) / 100
-    byv = drawn.groupBy(key, "__b", value).agg(F.sum("__w").alias("__w"))
+    byv = drawn_weights(df, [key], value, order, resamples, text).groupBy(key, "__b", value).agg(F.sum("__w").alias("__w"))
     x = running(byv, [key, "__b"], value, {"__hi": rsum(F.col("__w")), "__lo": rsum(F.col("__w"), inclusive=False),
                                            "__t": rtotal(F.col("__w"))})
     pos = (F.col("__t") - 1) * F.lit(q)
     at = lambda i: F.max(F.when((F.col("__lo") <= i) & (i < F.col("__hi")), F.col(value)))
     weight = F.max(pos - F.floor(pos))
     est = x.groupBy(key, "__b").agg((at(F.floor(pos)) * (1 - weight) + at(F.ceil(pos)) * weight).alias("__s"))
-    return est.groupBy(key).agg(
-        F.round(F.percentile("__s", 0.025), 6).alias("low"), F.round(F.percentile("__s", 0.975), 6).alias("high")
-    )
+    return _interval(est, [key])
 
 
 def paired(df: DataFrame, pair: Sequence[str], policy: str, baseline, success: str, on_success: Sequence[str],

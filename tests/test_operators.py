@@ -1,7 +1,9 @@
+import hashlib
 import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions import columns as fc
@@ -116,6 +118,34 @@ def test_bootstrap_is_deterministic(spark):
     assert a[0].low < 17 * 0.5 < a[0].high + 4 and a != st.bootstrap_ci(df, "k", "v", "i", "mean", 50, "y").collect()
 
 
+def _resample(n, b, label="x"):
+    return [int(hashlib.md5(f"{label}|{b}|{i}".encode()).hexdigest()[:15], 16) for i in range(n)]
+
+
+def test_bootstrap_of_a_callers_trimmed_mean(spark):
+    values = [(i * 37) % 11 for i in range(40)]
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)] + [("g", 99, None), ("h", 0, 7)], "k string, i long, v long")
+    est = []
+    for b in range(1, 41):
+        held = sorted(values[u % 40] for u in _resample(40, b))[8:-8]
+        est.append(sum(held) / len(held))
+    want = [round(float(np.percentile(est, p)), 6) for p in (5, 95)]
+    for merge in (False, True):
+        got = {r.k: [r.low, r.high] for r in st.bootstrap(df, ["k"], "v", "i", 40, "x", st.trimmed_mean(0.2), merge=merge, tails=(0.05, 0.95)).collect()}
+        assert got["g"] == pytest.approx(want) and got["h"] == [7.0, 7.0]
+    assert not st.bootstrap(df.where("false"), ["k"], "v", "i", 40, "x", st.trimmed_mean(0.2)).collect()
+
+
+def test_poisson_weights_are_poisson_and_need_no_exchange(spark):
+    df = spark.createDataFrame([("g", i, i % 5) for i in range(400)], "k string, i long, v long")
+    x = st.poisson_weights(df, ["k"], "v", "i", 100, "x")
+    assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+    w = np.array([r["__w"] for r in x.collect()])
+    assert abs(w.sum() / 40_000 - 1) < 0.02 and abs((w == 1).sum() / 40_000 - math.exp(-1)) < 0.01 and abs((w**2).sum() / 40_000 - 2) < 0.05
+    u = [v * int(sum(t <= d for t in st.POISSON_STEPS)) for v, d in zip([i % 5 for i in range(400)], _resample(400, 3), strict=True)]
+    assert x.where("__b = 3").selectExpr("sum(v * __w)").first()[0] == sum(u)
+
+
 def test_longest_path_is_null_around_a_cycle(spark):
     n = spark.createDataFrame([(1, x, 2) for x in "abcde"] + [(2, "a", 3), (2, "b", 4)], "r long, node string, w long")
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "b"), (1, "c", "d"), (1, "d", "e"), (2, "a", "b")], "r long, src string, dst string")
