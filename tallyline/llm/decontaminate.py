@@ -140,8 +140,8 @@ class Automaton:
 
 
 def _groups(items: DataFrame) -> tuple[int, DataFrame]:
-    """Number of groups and the items with their group ``g``: groups of at most ITEM_BYTES text; the group count is 1 unless the benchmark outgrows one automaton."""
-    rows = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Number of groups and the distinct items with their group ``g``: about ITEM_BYTES of text in each; one group unless the benchmark outgrows one automaton."""
+    rows = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     n = max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // ITEM_BYTES))
     return n, rows.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
 

@@ -90,3 +90,11 @@ def test_the_whole_pipeline(spark, tmp_path):
     # no model, so toxicity and quality keep all; the copy without an id goes, the null and empty texts stay; document 3 is the item
     assert sorted({r["doc_id"] for r in got}) == [i for i in range(32) if i != 3]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "decontamination", "packing"]
+
+
+def test_equal_items_are_listed_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
+    rows = [("same", "one two three four five")] * 500 + [("same", "six seven"), ("other", "one two three four five"), (None, "eight"), ("none", None)]
+    n, items = decontaminate._groups(spark.createDataFrame(rows, "item_id string, text string"))
+    assert n == 1 and sorted((r["item_id"], r["text"]) for r in items.collect()) == [
+        ("none", ""), ("other", "one two three four five"), ("same", "one two three four five"), ("same", "six seven")]
