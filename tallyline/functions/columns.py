@@ -133,18 +133,19 @@ def url_problem(url: Column, schemes: Sequence[str], hosts: Sequence[str] | Colu
     user = F.regexp_extract(netloc, r"^(.*)@", 1)
     place = F.regexp_replace(netloc, r"^.*@", "")
     host = F.lower(F.regexp_replace(place, r":[^:\]]*$", ""))
-    port = F.regexp_extract(place, r":([^:\]]*)$", 1)
+    port = F.regexp_replace(F.regexp_extract(place, r":([^:\]]*)$", 1), r"^0+(?=.)", "")
+    number = F.try_to_number(port, F.lit("99999"))
     known = hosts if isinstance(hosts, Column) else host.isin(list(hosts))
     return (
         F.when(url.isNull() | (url == "") | (url != F.trim(url)), "not-canonical-text")
         .when(url.rlike(r"(?U)[\s\x00-\x1f]"), "whitespace-or-control")
         .when(url.contains("\\"), "backslash")
-        .when((port != "") & ~port.rlike(r"^\d{1,5}$"), "unparsable")
+        .when((port != "") & (~port.rlike(r"^\d{1,5}$") | (number > 65535)), "unparsable")
         .when((scheme == "") | (host == ""), "not-absolute")
         .when(~scheme.isin(list(schemes)), "scheme-not-allowed")
         .when(netloc.contains("@"), "embedded-credentials")
         .when(~F.coalesce(known, F.lit(False)), "host-not-allowed")
-        .when((port != "") & (F.try_to_number(port, F.lit("99999")) != 443), "non-default-port")
+        .when((port != "") & (number != 443), "non-default-port")
     )
 
 

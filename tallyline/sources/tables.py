@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +26,44 @@ def write_records(df: DataFrame, path: str, order: Sequence[str], partitions: in
     df.repartitionByRange(*args, *order).sortWithinPartitions(*order).write.json(path)
 
 
+CHUNK_BYTES = 1 << 20
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Size and digest of files, read a chunk at a time through Arrow's file systems."""
+    opened: dict[str, tuple[fs.FileSystem, str]] = {}
+    for pdf in batches:
+        found = []
+        for path, name in zip(pdf["path"], pdf["name"], strict=True):
+            root, inner = re.match(r"([^:/]+:(?://[^/]*)?)?(.*)", path, re.DOTALL).groups()
+            if not root or root.startswith("file:"):
+                store, base = fs.LocalFileSystem(), ""
+            else:
+                if root not in opened:
+                    opened[root] = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", root) + "/")
+                store, base = opened[root]
+            digest, size = hashlib.sha256(), 0
+            with store.open_input_stream(base.rstrip("/") + inner) as stream:
+                while part := stream.read(CHUNK_BYTES):
+                    digest.update(part)
+                    size += len(part)
+            found.append((name, size, digest.hexdigest()))
+        yield pd.DataFrame(found, columns=["name", "bytes", "sha256"])
+
+
 def folder_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """name, bytes, sha256 of every data file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(
-        ~F.col("name").rlike(r"^[._]"))
+    """name (path below the folder), bytes, sha256 of every data file at any depth.
+
+    Spark lists the files and deals them by size; a task reads a file in chunks, so no file is a row.  Names that start with
+    a dot or an underscore, of files or folders below, are no data; Spark's scan leaves out files of no bytes.  ``folder`` is absolute or a URI.
+    """
+    inner = re.sub(r"^[^:/]+:(//[^/]*)?", "", folder).rstrip("/")
+    if inner and not inner.startswith("/"):
+        raise ValueError("give the evidence folder as an absolute path or a URI")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    name = F.expr("substring(regexp_replace(path, '^[^:/]+:(//[^/]*)?', ''), {})".format(len(re.sub("/+", "/", inner)) + 2))
+    rows = files.select("path", name.alias("name")).where(~F.col("name").rlike(r"(^|/)[._]"))
+    return rows.mapInPandas(_digests, "name string, bytes bigint, sha256 string")
 
 
 def write_evidence(df: DataFrame, folder: str, order: Sequence[str], partitions: int | None = None) -> DataFrame:

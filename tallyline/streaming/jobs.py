@@ -51,22 +51,33 @@ def status_stream(events: DataFrame, key: str, seq: str, kind: str, terminal: Se
     )
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append stream over what is available and return the table it wrote."""
+def _places(spark: SparkSession, label: str, folder: str | None) -> tuple[str, str]:
+    """Folders of a job's table and of its checkpoint."""
+    if folder is None:
+        return fresh_dir(spark, label), fresh_dir(spark, f"{label}-checkpoint")
+    return f"{folder.rstrip('/')}/table", f"{folder.rstrip('/')}/checkpoint"
+
+
+def drain(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Run an append stream over what is available and return the table it wrote.
+
+    With the same ``folder`` a later call, also after a lost driver, goes on where the last one ended and returns all rows;
+    without one each call starts anew.
+    """
     spark = stream.sparkSession
-    out, mark = fresh_dir(spark, label), fresh_dir(spark, f"{label}-checkpoint")
+    out, mark = _places(spark, label, folder)
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_updates(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Run an updating stream and return the last version of every key.
+def drain_updates(stream: DataFrame, keys: Sequence[str], label: str, folder: str | None = None) -> DataFrame:
+    """Run an updating stream and return the last version of every key; ``folder`` as in ``drain``.
 
     Each batch lands in its own folder by batch id, so a repeated batch replaces itself.
     """
     spark = stream.sparkSession
-    out, mark = fresh_dir(spark, label), fresh_dir(spark, f"{label}-checkpoint")
+    out, mark = _places(spark, label, folder)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

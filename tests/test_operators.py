@@ -98,7 +98,9 @@ def test_fact_and_number_texts(spark):
 def test_url_ladder(spark):
     want = {"https://a.org/x": None, "": "not-canonical-text", "https://a.org/ x": "whitespace-or-control", "https://a.org\\x": "backslash", "a.org/x": "not-absolute",
             "ftp://a.org": "scheme-not-allowed", "https://u:p@a.org": "embedded-credentials", "https://b.org": "host-not-allowed", "https://a.org:8443/": "non-default-port",
-            "https://a.org:443/": None, "https://a.org:x/": "unparsable", "HTTPS://A.ORG": None}
+            "https://a.org:443/": None, "https://a.org:x/": "unparsable", "HTTPS://A.ORG": None,
+            "https://a.org:99999/": "unparsable", "https://a.org:65536/": "unparsable", "https://a.org:65535/": "non-default-port", "https://a.org:000443/": None,
+            "https://a.org:0/": "non-default-port", "https://a.org:123456/": "unparsable"}
     df = spark.createDataFrame([(u,) for u in want], "u string")
     assert {r.u: r.p for r in df.select("u", fc.url_problem(F.col("u"), ["https"], ["a.org"]).alias("p")).collect()} == want
 
