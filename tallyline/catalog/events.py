@@ -12,7 +12,6 @@ from tallyline.operators import events as ev
 from tallyline.operators import resources as rs
 from tallyline.operators.checks import duplicates, flagged, holds, order_breaches, set_difference, transition_breaches
 from tallyline.operators.scan import rlag, running
-from tallyline.operators.skew import spread_join
 
 
 @query("sequence_breaches", w(EVENTS) + """
@@ -528,7 +527,7 @@ def decision_explanations(spark, d):
 
     n = fx.numbered_attempts(spark, d)
     q = fx.table(spark, d, "part").select(F.col("p_partkey").alias("profile"), (F.col("p_size") % 20 + 80).alias("quality"))
-    x = spread_join(n, q, ["profile"], "inner")
+    x = n.join(q, ["profile"], "inner")
     best = x.groupBy("run_id", "task_id").agg(F.max("quality").alias("best_quality"))
     o, t = F.col("outcome"), F.col("task_id").cast("string")
     kind = (
@@ -541,7 +540,7 @@ def decision_explanations(spark, d):
         .when(F.col("task_id") % 3 == 0, F.concat(F.lit("protected task "), t, F.lit(" has no admissible backend plan")))
         .when(F.col("task_id") % 3 == 1, F.concat(F.lit("required task "), t, F.lit(" depends on skipped work 1")))
     )
-    y = spread_join(x, best, ["run_id", "task_id"], "inner").withColumns({"event_type": kind, "reason": reason})
+    y = x.join(best, ["run_id", "task_id"], "inner").withColumns({"event_type": kind, "reason": reason})
     return explain(y, "event_type", "reason", "quality", "best_quality").select(
         "run_id", "task_id", "attempt", "action", "reason_code"
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import backoff_ms, sorted_unique
 from tallyline.operators.checks import flagged, holds
 from tallyline.operators.scan import rcount, rlag, rlast, rmax, rsum, running
-from tallyline.operators.skew import spread_join
 
 GENESIS = "0" * 64
 
@@ -57,7 +56,7 @@ def cause_breaks(events: DataFrame, keys: Sequence[str], seq: str, ident: str, c
     )
     links = events.select(*keys, seq, F.explode(causes).alias(ident))
     known = events.groupBy(*keys, ident).agg(F.min(seq).alias("__at"))
-    bad = spread_join(links, known, [*keys, ident]).where(~holds(F.col("__at") < F.col(seq)))
+    bad = links.join(known, [*keys, ident], "left").where(~holds(F.col("__at") < F.col(seq)))
     return shape.unionByName(bad.select(*keys, seq, F.lit("invalid_event_cause").alias("code")))
 
 
@@ -281,7 +280,7 @@ def approval_use(commits: DataFrame, grants: DataFrame, on: Sequence[str], at: s
     """
     uses = commits.groupBy(*on).agg(F.count("*").alias("__uses"))
     g = grants.select(*on, "not_before", "expires", F.col("scope").alias("__scope")).join(uses, list(on))
-    x = spread_join(commits, g, on)
+    x = commits.join(g, on, "left")
     t = F.col(at)
     return x.withColumn(
         "code",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import is_fresh
 from tallyline.operators.checks import flagged, holds
 from tallyline.operators.scan import rlast, running
-from tallyline.operators.skew import spread_join, spread_joins
 from tallyline.session import durable
 
 
@@ -23,7 +22,7 @@ def assess_claims(claims: DataFrame, artifacts: DataFrame, as_of: Column) -> Dat
     refs = claims.select("claim_id", F.explode_outer("evidence").alias("ref")).distinct()
     known = artifacts.select("ref", F.lit(True).alias("__known"), F.col("valid").alias("__valid"),
                              is_fresh(F.col("created"), F.col("fresh_until"), as_of).alias("__fresh"))
-    facts = spread_join(refs, known, ["ref"]).groupBy("claim_id").agg(
+    facts = refs.join(known, ["ref"], "left").groupBy("claim_id").agg(
         F.count("ref").alias("refs"),
         F.bool_or(F.col("ref").isNotNull() & F.col("__known").isNull()).alias("missing"),
         F.bool_or(F.col("__known").isNotNull() & ~holds(F.col("__valid"))).alias("invalid"),
@@ -49,7 +48,7 @@ def contradictions(assessed: DataFrame) -> DataFrame:
     edges = said.unionByName(said.select(F.col("other").alias("claim_id"), F.col("claim_id").alias("other")))
     edges = edges.where("claim_id <> other").distinct()
     ok = durable(ok)  # read twice below
-    live = spread_joins(edges, (ok, ["claim_id"], "left_semi"), (ok.select(F.col("claim_id").alias("other")), ["other"], "left_semi"))
+    live = edges.join(ok, ["claim_id"], "left_semi").join(ok.select(F.col("claim_id").alias("other")), ["other"], "left_semi")
     return live.groupBy("claim_id").agg(F.count("*").alias("conflicts"))
 
 
@@ -61,7 +60,7 @@ def evidence_causality(uses: DataFrame, artifacts: DataFrame, keys: Sequence[str
     """
     a = artifacts.select(*keys, ref, F.col("produced_at").alias("__p"), F.col("created").alias("__c"),
                          F.col("fresh_until").alias("__f"), F.lit(True).alias("__known"))
-    x = spread_join(uses, a, [*keys, ref])
+    x = uses.join(a, [*keys, ref], "left")
     late = (F.col("__p") >= F.col(position)) if strict else (F.col("__p") > F.col(position))
     late = F.col("__p").isNull() | late  # no producing event: never produced before a use
     code = (
@@ -76,12 +75,12 @@ def lineage_order(artifacts: DataFrame, events: DataFrame, ref: str, parents: st
                   position: str, at: str) -> DataFrame:
     """Parents must be known and produced earlier; an artifact may not predate its producer."""
     e = events.select(F.col(event).alias(producer), F.col(position).alias("__pos"), F.col(at).alias("__at"))
-    x = spread_join(artifacts, e, [producer])
+    x = artifacts.join(e, [producer], "left")
     own = x.select(ref, F.when(F.col("__pos").isNull(), "artifact_producer_mismatch")
                    .when(F.col("created") < F.col("__at"), "artifact_time_causality").alias("code")).where("code is not null")
     links = x.select(ref, F.col("__pos").alias("__mine"), F.explode(parents).alias("__parent"))
     up = x.select(F.col(ref).alias("__parent"), F.col("__pos").alias("__theirs"), F.lit(True).alias("__known"))
-    y = spread_join(links, up, ["__parent"])
+    y = links.join(up, ["__parent"], "left")
     code = F.when(F.col("__known").isNull(), "missing_artifact_parent").when(
         F.col("__theirs").isNull() | F.col("__mine").isNull() | (F.col("__theirs") >= F.col("__mine")), "artifact_lineage_causality"
     )
@@ -224,7 +223,7 @@ def claim_citation_gaps(required: DataFrame, cited: DataFrame, known: DataFrame,
     c = cited.groupBy(*keys, ref).agg(F.count("*").alias("__n"))
     k = known.select(ref).distinct().withColumn("__k", F.lit(True))
     x = r.join(c, [*keys, ref], "full_outer")
-    x = spread_join(x, k, [ref])
+    x = x.join(k, [ref], "left")
     given = F.col("__n").isNotNull()
     return flagged(x, {
         "missing_citation": F.col("__r").isNotNull() & ~given,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import DIGEST, INT64_MAX, scoped_key
 from tallyline.operators.checks import flagged, holds, violations
 from tallyline.operators.scan import rcount, running
-from tallyline.operators.skew import spread_join, spread_joins
 
 # Ranks of the capability levels, effect kinds that write, page actions.
 CANCELLATION = {"none": 0, "cooperative": 1, "hard": 2}
@@ -107,9 +106,10 @@ def port_breaches(inputs: DataFrame, outputs: DataFrame, tasks: DataFrame, deps:
     direct = deps.select("run_id", "task_id", F.col("dep_id").alias("source_task"), F.lit(True).alias("__direct"))
     made = outputs.select("run_id", F.col("task_id").alias("source_task"), F.col("port").alias("source_port"),
                           F.col("type").alias("__type"), F.lit(True).alias("__made"))
-    x = spread_joins(
-        inputs, (known, ["run_id", "source_task"], "left"), (direct, ["run_id", "task_id", "source_task"], "left"),
-        (made, ["run_id", "source_task", "source_port"], "left"),
+    x = (
+        inputs.join(known, ["run_id", "source_task"], "left")
+        .join(direct, ["run_id", "task_id", "source_task"], "left")
+        .join(made, ["run_id", "source_task", "source_port"], "left")
     )
     code = (
         F.when(F.col("__known").isNull(), "missing_producer").when(F.col("__direct").isNull(), "not_a_direct_dependency")
@@ -122,7 +122,7 @@ def profile_match(entries: DataFrame, declared: DataFrame, on: Sequence[str], id
                   measures: Sequence[str]) -> DataFrame:
     """Each schedule entry matches exactly one declared profile, with equal measures."""
     d = declared.groupBy(*on).agg(F.count("*").alias("__n"), *[F.min(m).alias(f"__{m}") for m in measures])
-    x = spread_join(entries, d, on)
+    x = entries.join(d, on, "left")
     same = F.lit(True)
     for m in measures:
         same = same & F.col(m).eqNullSafe(F.col(f"__{m}"))
@@ -138,7 +138,7 @@ def capability_breaches(needs: DataFrame, adapters: DataFrame, on: Sequence[str]
     """Declared adapter capability against the task requirement."""
     a = adapters.select(*on, *[F.col(c).alias(f"a_{c}") for c in (
         "provider", "cancellation", "checkpoint", "streaming", "usage", "effects", "fencing", "hidden_retries")], F.lit(True).alias("__a"))
-    x = spread_join(needs, a, on)
+    x = needs.join(a, on, "left")
     have = F.col("__a").isNotNull()
     return flagged(x, {
         "no_manifest": ~have,
@@ -173,7 +173,7 @@ def action_breaches(actions: DataFrame, grants: DataFrame, evidence: DataFrame,
     """
     g = grants.select("grant_id", F.col("capabilities").alias("__caps"))
     known = evidence.select(F.col("ref").alias("grant_id"), F.lit(True).alias("__data")).distinct()
-    x = spread_joins(actions, (g, ["grant_id"], "left"), (known, ["grant_id"], "left"))
+    x = actions.join(g, ["grant_id"], "left").join(known, ["grant_id"], "left")
     own = flagged(x, {
         "unknown_kind": ~holds(F.col("kind").isin("tool", "effect")),
         "capability_outside_policy": ~holds(F.col("capability").isin(list(capabilities))),
@@ -182,14 +182,14 @@ def action_breaches(actions: DataFrame, grants: DataFrame, evidence: DataFrame,
         "capability_not_granted": F.col("__caps").isNotNull() & ~F.array_contains("__caps", F.col("capability")),
     }, ["action_id"])
     refs = actions.select("action_id", F.explode("evidence").alias("ref")).distinct()
-    lost = spread_join(refs, evidence.select("ref").distinct(), ["ref"], "left_anti").select("action_id").distinct()
+    lost = refs.join(evidence.select("ref").distinct(), ["ref"], "left_anti").select("action_id").distinct()
     return own.unionByName(lost.select("action_id", F.lit("unknown_evidence").alias("code")))
 
 
 def page_action_breaches(intents: DataFrame, observations: DataFrame) -> DataFrame:
     """Page-action proposals: known observations, no observation as authority, writes fully declared (P10)."""
     obs = observations.select(F.col("observation_id").alias("grant_id"), F.lit(True).alias("__o")).distinct()
-    x = spread_join(intents, obs, ["grant_id"])
+    x = intents.join(obs, ["grant_id"], "left")
     mut = F.col("mutates")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     own = flagged(x, {
@@ -205,7 +205,7 @@ def page_action_breaches(intents: DataFrame, observations: DataFrame) -> DataFra
         "read_inconsistent": ~mut & (~F.col("action").isin(list(READS)) | (F.col("effect_kind") != "read")),
     }, ["intent_id"])
     refs = intents.select("intent_id", F.explode("observations").alias("observation_id")).distinct()
-    lost = spread_join(refs, observations.select("observation_id").distinct(), ["observation_id"], "left_anti")
+    lost = refs.join(observations.select("observation_id").distinct(), ["observation_id"], "left_anti")
     return own.unionByName(lost.select("intent_id", F.lit("unknown_observation").alias("code")).distinct())
 
 
@@ -217,7 +217,7 @@ def gate_breaches(gates: DataFrame, artifacts: DataFrame, commit: str) -> DataFr
         "evidence_not_sorted_unique": F.array_sort(F.array_distinct("evidence")) != F.col("evidence"),
     }, ["gate_id"])
     refs = gates.select("gate_id", F.explode("evidence").alias("ref")).distinct()
-    lost = spread_join(refs, artifacts.select("ref").distinct(), ["ref"], "left_anti").select("gate_id").distinct()
+    lost = refs.join(artifacts.select("ref").distinct(), ["ref"], "left_anti").select("gate_id").distinct()
     return own.unionByName(lost.select("gate_id", F.lit("missing_artifact").alias("code")))
 
 
@@ -239,7 +239,7 @@ def attestation_readiness(attestations: DataFrame, artifacts: DataFrame, gate_re
     bound = gate_refs.select("gate_id", "ref").distinct().withColumn("__bound", F.lit(True))
     a = artifacts.select("ref", F.col("classification").alias("__class"))
     x = attestations.join(F.broadcast(need), "kind")
-    x = spread_joins(x, (a, ["ref"], "left"), (bound, ["gate_id", "ref"], "left"))
+    x = x.join(a, ["ref"], "left").join(bound, ["gate_id", "ref"], "left")
     age = as_of - F.col("observed")
     ok = (
         F.array_contains("classes", F.col("classification")) & (F.col("classification") == F.col("__class"))
@@ -254,7 +254,7 @@ def completion_breaches(completions: DataFrame, profiles: DataFrame, effects: Da
     """Recorded outputs against profile usage or effect intent, key derived from its scope."""
     p = profiles.select(*on, *[F.col(m).alias(f"p_{m}") for m in dims], F.lit(True).alias("__p"))
     e = effects.select(*on, F.col("resource").alias("e_resource"), F.col("idempotency_key").alias("e_key"), F.lit(True).alias("__e"))
-    x = spread_joins(completions, (p, on, "left"), (e, on, "left"))
+    x = completions.join(p, on, "left").join(e, on, "left")
     fits = F.col("__p").isNotNull()
     for m in dims:
         fits = fits & (F.col(f"reserved_{m}") == F.col(f"p_{m}")) & (F.col(f"actual_{m}") <= F.col(f"p_{m}"))
@@ -272,7 +272,7 @@ def completion_breaches(completions: DataFrame, profiles: DataFrame, effects: Da
 def pending_effects(completions: DataFrame, effects: DataFrame, on: Sequence[str]) -> DataFrame:
     """Completed write tasks whose intent is not yet committed or compensated."""
     e = effects.select(*on, F.col("state").alias("effect_state"))
-    x = spread_join(completions.where("writes"), e, on)
+    x = completions.where("writes").join(e, on, "left")
     return x.where(~holds(F.col("effect_state").isin("committed", "compensated")))
 
 
@@ -297,7 +297,7 @@ def capacity_breaches(plan: DataFrame, facilities: DataFrame, key: str) -> DataF
 def route_breaches(assignments: DataFrame, routes: DataFrame) -> DataFrame:
     """Route assignments against route status, destination and capacity."""
     r = routes.select("route_id", F.col("status").alias("__s"), F.col("destination").alias("__d"), F.col("capacity").alias("__c"))
-    x = spread_join(assignments, r, ["route_id"])
+    x = assignments.join(r, ["route_id"], "left")
     known = F.col("__s").isNotNull()
     return flagged(x, {
         "unknown_route": ~known,
@@ -318,7 +318,7 @@ def conservation(allocations: DataFrame, routed: DataFrame, key: str, left: str,
 def closed_routes(routes: DataFrame, closures: DataFrame) -> DataFrame:
     """Routes crossing a closed segment, with the number of closed segments."""
     segs = routes.select("route_id", F.explode("segments").alias("segment")).distinct()
-    hit = spread_join(segs, closures.select("segment").distinct(), ["segment"], "left_semi")
+    hit = segs.join(closures.select("segment").distinct(), ["segment"], "left_semi")
     return hit.groupBy("route_id").agg(F.count("*").alias("closed_segments"))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tallyline.operators.admission import BLOCK as ROWS
 from tallyline.operators.admission import admit
 from tallyline.operators.scan import rcount, running
-from tallyline.operators.skew import spread_join
 from tallyline.session import durable
 
 # The three lexicographic orders of a choice; a leading minus means descending.
@@ -196,7 +195,7 @@ def pack_context(blocks: DataFrame, budgets: DataFrame, key: str, block: int = R
     total = total.select(
         key, "__bad", (F.col("max_bytes") - F.col("__mb")).alias("__cb"), (F.col("max_tokens") - F.col("__mt")).alias("__ct"),
     ).withColumn("__state", F.when(F.col("__bad") > 0, "invalid").when((F.col("__cb") < 0) | (F.col("__ct") < 0), "over").otherwise("packed"))
-    x = spread_join(blocks, total, [key], "inner")
+    x = blocks.join(total, [key], "inner")
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     foot = F.greatest(F.lit(1).cast("decimal(38,0)"), wide("bytes") + 4 * wide("tokens"))
     digits = [f"__density_{k}" for k in range(4)]

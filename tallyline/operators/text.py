@@ -19,7 +19,6 @@ from tallyline.functions.columns import (
     url_problem,
 )
 from tallyline.operators.checks import flagged, holds
-from tallyline.operators.skew import spread_join, spread_joins
 
 
 def document_lines(documents: DataFrame, ident: str, text: str) -> DataFrame:
@@ -43,7 +42,7 @@ def citation_support(claims: DataFrame, documents: DataFrame, controlled: bool =
     lines = document_lines(wanted, "doc_id", "text").select(F.col("doc_id").alias("cited"), "line_digest", F.lit(True).alias("__found"))
     quote = normalize_space(F.col("quote"))
     x = claims.withColumns({"__quote": quote, "line_digest": F.sha2(quote, 256)})
-    x = spread_joins(x, (known, ["cited"], "left"), (lines, ["cited", "line_digest"], "left"))
+    x = x.join(known, ["cited"], "left").join(lines, ["cited", "line_digest"], "left")
     code = (
         F.when(F.col("__known").isNull(), "unknown_artifact")
         .when(F.coalesce("__quote", F.lit("")) == "", "empty_quote")
@@ -91,7 +90,7 @@ def pair_breaches(pairs: DataFrame, claims: DataFrame, left_language: str, right
     ``pairs``: pair_id, left_id, right_id; ``claims``: claim_id, language, signature.
     """
     side = lambda s: claims.select(F.col("claim_id").alias(f"{s}_id"), F.col("language").alias(f"__{s}l"), F.col("signature").alias(f"__{s}s"))
-    x = spread_joins(pairs, (side("left"), ["left_id"], "left"), (side("right"), ["right_id"], "left"))
+    x = pairs.join(side("left"), ["left_id"], "left").join(side("right"), ["right_id"], "left")
     both = F.col("__leftl").isNotNull() & F.col("__rightl").isNotNull()
     own = flagged(x, {
         "unknown_left": F.col("__leftl").isNull(), "unknown_right": F.col("__rightl").isNull(),
@@ -113,7 +112,7 @@ def number_parity(pairs: DataFrame, left: Column, right: Column, ident: Sequence
 def url_policy(rows: DataFrame, ident: Sequence[str], url: str, schemes: Sequence[str], hosts: DataFrame) -> DataFrame:
     """First reason each URL is refused; ``hosts`` is a table of allowed hosts (J13, URL family)."""
     allowed = hosts.select(F.col("host").alias("__host"), F.lit(True).alias("__ok")).distinct()
-    x = spread_join(rows.withColumn("__host", url_host(F.col(url))), allowed, ["__host"])
+    x = rows.withColumn("__host", url_host(F.col(url))).join(allowed, ["__host"], "left")
     return x.select(*ident, url_problem(F.col(url), schemes, F.col("__ok")).alias("problem")).where("problem is not null")
 
 

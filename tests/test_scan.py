@@ -3,7 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 from tallyline.operators.scan import peak, rcount, rlag, rlast, rmax, rmin, rsum, rtotal, running
-from tallyline.operators.skew import spread_join
 
 
 def test_running_across_chunks_equals_one_pass(spark):
@@ -38,12 +37,3 @@ def test_peak_ends_before_starts(spark):
     df = spark.createDataFrame(marks, "k string, at long, d long")
     for bits in (0, 1, 21):
         assert {r.k: r.peak for r in peak(df, ["k"], "at", "d", bits).collect()} == {"a": 1, "b": 2}
-
-
-def test_spread_join_salts_hot_keys_only(spark):
-    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 1), ("lost", 2)], "k string, i long")
-    right = spark.createDataFrame([("hot", "x"), ("cold", "y"), ("spare", "z")], "k string, v string")
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        want = sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
-        got = spread_join(left, right, ["k"], how, hot_rows=10, salts=4).select(*left.join(right, ["k"], how).columns)
-        assert sorted(map(tuple, got.collect()), key=str) == want

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.session import _one_machine, shared_dir
 
@@ -23,3 +24,22 @@ def test_unset_folder_raises_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_settings_split_a_hot_key(spark):
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {name: spark.conf.get(name, None) for name in small}
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        row = F.sha2(F.col("id").cast("string"), 256)
+        uses = spark.range(0, 60_000, 1, 8).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 1000).alias("ref"), row.alias("use"))
+        known = spark.range(0, 1000, 1, 2).select(F.col("id").alias("ref"), F.lit(True).alias("known")).unionByName(spark.sql("SELECT -1L AS ref, true AS known"))
+        joined = uses.join(known, ["ref"], "left")
+        rows = joined.collect()
+        assert len(rows) == 60_000 and all(r["known"] for r in rows)
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
