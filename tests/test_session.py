@@ -43,3 +43,18 @@ def test_settings_split_a_hot_key(spark):
     finally:
         for name, value in old.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_no_broadcast_on_the_size_of_compressed_files(spark, tmp_path):
+    from tallyline.operators.text import citation_support
+    from tallyline.session import tune
+
+    path = str(tmp_path / "parts")  # a small file of many rows
+    spark.range(0, 200_000, 1, 1).select("id", F.sequence(F.lit(0), F.lit(20)).alias("pad")).write.parquet(path)
+    rows = tune(spark).read.parquet(path)
+    line = F.concat(F.lit("line "), F.col("id").cast("string"))
+    claims = rows.select(F.col("id").alias("claim_id"), F.col("id").alias("cited"), line.alias("quote"))
+    checked = citation_support(claims, rows.select(F.col("id").alias("doc_id"), F.concat(line, F.lit("\nsecond "), line).alias("text")))
+    planned = checked._jdf.queryExecution().executedPlan().toString()  # before a stage has run
+    assert "SortMergeJoin" in planned and "BroadcastExchange" not in planned
+    assert [tuple(r) for r in checked.groupBy("code").count().collect()] == [("supported", 200_000)]
