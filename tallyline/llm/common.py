@@ -21,8 +21,9 @@ _WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 6
 
 
 def base(spark: SparkSession) -> SparkSession:
-    """Session settings of these operators: AQE with skew splits, small Arrow batches."""
+    """Session settings of these operators: AQE with skew splits, Spark's own limit of planned broadcasts, small Arrow batches."""
     tune(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 

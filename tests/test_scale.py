@@ -24,3 +24,20 @@ def test_few_ranks_make_many_tasks_of_draws(spark):
     rows = spark.range(0, 40, 1, 1).select(F.lit("g").alias("k"), F.col("id").alias("v"), F.col("id").alias("o"))
     plan = st.drawn_weights(rows, ["k"], "v", "o", 5, "x")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_stage_tables_of_digests_take_little_disk(spark):
+    rows = spark.range(0, 20_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    files = durable(rows).inputFiles()
+    assert files and all(".zstd." in f for f in files)
+
+
+def test_workflow_documents_are_parsed_once(spark, tmp_path):
+    from tallyline.sources import documents as docs
+
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([('{"schema_version":"v1","run_id":1,"envelope":{"deadline_ms":5},"tasks":[{"task_id":2,"dependencies":[1]}]}',)], "value string").write.text(path)
+    good, _ = docs.read_documents(spark, path, docs.WORKFLOW, ["run_id"])
+    tables = docs.workflow_tables(good)
+    assert not [n for n, t in tables.items() if "from_json" in t._jdf.queryExecution().executedPlan().toString()]
+    assert [tuple(r) for r in tables["task_deps"].collect()] == [(1, 2, 1)]
