@@ -158,15 +158,21 @@ def qualified_profiles(spark, d):
     )
 
 
-def _offers(spark, d):
-    """Every profile variant a task of a run could take."""
-    a = fx.attempts(spark, d).select("run_id", "task_id", "profile").distinct()
-    p = fx.profiles(spark, d).select(
+def _asks(spark, d):
+    return fx.attempts(spark, d).select("run_id", "task_id", "profile")
+
+
+def _options(spark, d):
+    return fx.profiles(spark, d).select(
         "profile", "variant", "quality_pct", "p95", "cost", "tokens", "context", "provider",
         (100 - F.col("quality_pct")).alias("failure"), F.col("quality_pct").alias("quality"),
         F.concat_ws("-", F.lit("v"), "variant").alias("name"),
     )
-    return a.join(p, "profile")
+
+
+def _offers(spark, d):
+    """Every profile variant a task of a run could take."""
+    return _asks(spark, d).distinct().join(_options(spark, d), "profile")
 
 
 OFFERS = w(ATTEMPTS, PROFILES) + """
@@ -179,8 +185,8 @@ SELECT run_id, task_id, profile, variant, cost FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY cost, tokens, context, 100 - quality_pct,
          -quality_pct, p95, provider, 'v-' || variant, profile, variant) AS n FROM offers) WHERE n = 1""")
 def best_profile_cheapest(spark, d):
-    o = _offers(spark, d).where("quality_pct >= 85")
-    return sel.best(o, ["run_id", "task_id"], sel.CHEAPEST, ["profile", "variant", "cost"])
+    p = _options(spark, d).where("quality_pct >= 85")
+    return sel.best(_asks(spark, d), ["run_id", "task_id"], sel.CHEAPEST, ["profile", "variant", "cost"], p, ["profile"])
 
 
 @query("best_profile_token_first", OFFERS + """
@@ -188,8 +194,8 @@ SELECT run_id, task_id, profile, variant, tokens FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY tokens, cost, context, p95, provider,
          'v-' || variant, profile, variant) AS n FROM offers) WHERE n = 1""")
 def best_profile_token_first(spark, d):
-    o = _offers(spark, d).where("quality_pct >= 85")
-    return sel.best(o, ["run_id", "task_id"], sel.TOKEN_FIRST, ["profile", "variant", "tokens"])
+    p = _options(spark, d).where("quality_pct >= 85")
+    return sel.best(_asks(spark, d), ["run_id", "task_id"], sel.TOKEN_FIRST, ["profile", "variant", "tokens"], p, ["profile"])
 
 
 @query("best_profile_highest_quality", OFFERS + """
@@ -197,8 +203,8 @@ SELECT run_id, task_id, profile, variant, quality_pct FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY -quality_pct, p95, cost, tokens, context,
          100 - quality_pct, provider, 'v-' || variant, profile, variant) AS n FROM offers) WHERE n = 1""")
 def best_profile_highest_quality(spark, d):
-    o = _offers(spark, d).where("quality_pct >= 85")
-    return sel.best(o, ["run_id", "task_id"], sel.HIGHEST_QUALITY, ["profile", "variant", "quality_pct"])
+    p = _options(spark, d).where("quality_pct >= 85")
+    return sel.best(_asks(spark, d), ["run_id", "task_id"], sel.HIGHEST_QUALITY, ["profile", "variant", "quality_pct"], p, ["profile"])
 
 
 @query("cheapest_qualified_total", OFFERS + """

@@ -27,13 +27,25 @@ def qualified(profiles: DataFrame, quality: str, floor: str, p95: str, task_dead
     return profiles.where((F.col(quality) >= F.col(floor)) & (F.col(p95) <= limit))
 
 
-def best(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """First row per key by a lexicographic order, as one partial aggregate."""
+def best(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str], options: DataFrame | None = None,
+         on: Sequence[str] = ()) -> DataFrame:
+    """First row per key by a lexicographic order, as one partial aggregate.
+
+    With ``options``, a row of ``df`` (keys, on) may take any of the options of its ``on``, which hold the columns of ``order`` and ``keep``.
+    They are numbered in order once, and a key takes its least number: no task sorts the pairs of rows and options.
+    """
     parts = [
         (-F.col(o[1:]) if o.startswith("-") else F.col(o)).alias(f"o{i}") for i, o in enumerate(order)
     ]
-    top = F.min(F.struct(*parts, *[F.col(k).alias(f"k_{k}") for k in keep]))
-    return df.groupBy(*keys).agg(top.alias("__b")).select(*keys, *[F.col(f"__b.k_{k}").alias(k) for k in keep])
+    if options is None:
+        top = F.min(F.struct(*parts, *[F.col(k).alias(f"k_{k}") for k in keep]))
+        return df.groupBy(*keys).agg(top.alias("__b")).select(*keys, *[F.col(f"__b.k_{k}").alias(k) for k in keep])
+    place = [*[f"o{i}" for i in range(len(order))], *keep]
+    ranked = options.select(*dict.fromkeys([*on, *keep]), *parts).repartitionByRange(*place).sortWithinPartitions(*place)
+    ranked = durable(ranked.select(*dict.fromkeys([*on, *keep]), F.monotonically_increasing_id().alias("__n")))
+    first = ranked.groupBy(*on).agg(F.min("__n").alias("__n"))
+    least = df.select(*keys, *on).join(first, list(on)).groupBy(*keys).agg(F.min("__n").alias("__n"))
+    return least.join(ranked.select("__n", *keep), "__n").select(*keys, *keep)
 
 
 def ready_rank(tasks: DataFrame, keys: Sequence[str], protected: str, slack: str, rank: str, value: str,
