@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallyline.streaming.jobs import ROCKS
 
 BATCH = 10_000
+HELD = 50_000  # entries of one key in memory
 
 
 def _ordered(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
@@ -29,33 +30,58 @@ def _emit(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows[i : i + BATCH], columns=columns)
 
 
+def _full(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows decided so far, taken out of ``rows``, once they are a batch."""
+    if len(rows) >= BATCH:
+        yield from _emit(rows, columns)
+        rows.clear()
+
+
 def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return df.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time_mode)
 
 
 class _Book:
-    """Entries by id of one key: those a batch touches are read once and written once."""
+    """Entries by id of one key: those a batch touches are read once and written once, or again for each HELD of them.
+
+    Each call of the store is a round trip: a key that had no entries is asked once, and what was not stored is not removed.
+    """
 
     def __init__(self, state) -> None:
-        self.state, self.seen, self.changed = state, {}, set()
+        self.state, self.seen, self.changed, self.stored = state, {}, set(), {}
+        self.empty = not state.exists()
 
     def get(self, ident: int) -> tuple | None:
         if ident not in self.seen:
-            found = self.state.getValue((ident,)) if self.state.exists() else None
+            self._room()
+            found = None if self.empty else self.state.getValue((ident,))
             self.seen[ident] = None if found is None else tuple(found)
+            self.stored[ident] = found is not None
         return self.seen[ident]
 
     def put(self, ident: int, entry: tuple | None) -> None:
+        if ident not in self.seen:
+            self._room()
         self.seen[ident] = entry
         self.changed.add(ident)
 
+    def _room(self) -> None:
+        if len(self.seen) >= HELD:
+            self.write()
+            self.seen, self.stored = {}, {}
+
     def write(self) -> None:
+        empty = self.empty
         for ident in sorted(self.changed):
             if self.seen[ident] is not None:
                 self.state.updateValue((ident,), self.seen[ident])
-            elif self.state.containsKey((ident,)):
+                self.empty = False
+                self.stored[ident] = True
+            elif self.stored[ident] if ident in self.stored else not empty and self.state.containsKey((ident,)):
                 self.state.removeKey((ident,))
+                self.stored[ident] = False
+        self.changed = set()
 
     def sweep(self, over) -> None:
         """Remove the entries that ``over`` names; reads all of the key's entries."""
@@ -87,6 +113,7 @@ class _Once(StatefulProcessor):
                 book.put(who, (r.digest, at))
                 high = at if high is None else max(high, at)
             out.append((key[0], who, r.pos, outcome))
+            yield from _full(out, ["run_id", "event_id", "pos", "outcome"])
         book.write()
         swept = high if swept is None else swept
         if self.delay is not None and high is not None and high - swept > self.delay:
@@ -183,6 +210,7 @@ class _Ledger(StatefulProcessor):
                 book.put(who, entry)
             now = int(r.seq)
             out.append((key[0], r.seq, reason is None, reason, spent, held))
+            yield from _full(out, ["ledger", "seq", "applied", "reason", "spent_units", "held_units"])
         book.write()
         if self.retain is not None and now - swept >= self.retain:
             book.sweep(lambda entry: self._forgotten(entry, now))
@@ -283,6 +311,7 @@ class _Quota(StatefulProcessor):
                         retry = None if 0 <= deadline < retry else retry  # too late: the call ends here
                     book.put(who, (last, -1 if retry is None else int(retry), retry is None, at, -1, -1, deadline))
             out.append((key[0], r.seq, not reasons, "|".join(reasons), retry, open_, calls, tokens))
+            yield from _full(out, ["provider", "seq", "ok", "reasons", "retry_at", "open", "calls", "tokens"])
         book.write()
         if self.retain is not None and at - swept >= self.retain:
             book.sweep(lambda entry: self._forgotten(entry, at))
