@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import arrow_map, base, durable, free_name, space_words, text_bytes
@@ -231,9 +231,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _shuffled(spark: SparkSession) -> None:
+    """Joins go through shuffles: lists and sketches grow with the documents, so that broadcasts of 10 MB, several at once, fill a small driver."""
+    base(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "256k")
+
+
 def _placed(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, __row, n_shingles, root of every row; rows of one component have one root, rows with empty sets have none."""
-    base(docs.sparkSession)
+    _shuffled(docs.sparkSession)
     rows = durable(sketches(docs, row))
     classes = durable(
         rows.where("set_hash is not null").dropDuplicates(["set_hash"])
