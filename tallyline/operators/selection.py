@@ -237,7 +237,7 @@ def shed_optional(tasks: DataFrame, deps: DataFrame, key: str, block: int = ROWS
     from tallyline.operators.graph import closure
 
     x = tasks.withColumn("__value", -F.col("value"))
-    fit = first_fit(x, [key], ["__value", "task_id"], "task_id", ["use"], ["headroom"], block)
+    fit = durable(first_fit(x, [key], ["__value", "task_id"], "task_id", ["use"], ["headroom"], block))
     shed = fit.where("not admitted").select(key, F.col("task_id").alias("node"))
     among = deps.join(fit.select(key, "task_id"), [key, "task_id"], "left_semi")
     hit = closure(among.select(key, F.col("dep_id").alias("src"), F.col("task_id").alias("dst")), shed, [key])

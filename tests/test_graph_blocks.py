@@ -54,3 +54,16 @@ def test_keys_run_on_over_batches(spark):
         assert _rows(gr.critical_path(nodes, edges, ["r"], "w")) == [(r, 75.0) for r in range(4)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_optional_tasks_are_admitted_once(spark, monkeypatch):
+    from tallyline.operators import selection as sel
+
+    made = []
+    keep = sel.durable
+    monkeypatch.setattr(sel, "durable", lambda df: made.append(df.columns) or keep(df))
+    tasks = spark.createDataFrame([(1, 1, 9, 5, 6), (1, 2, 8, 4, 6), (1, 3, 7, 1, 6), (1, 4, 6, 1, 6)], "run_id long, task_id long, value long, use long, headroom long")
+    deps = spark.createDataFrame([(1, 3, 2)], "run_id long, task_id long, dep_id long")
+    got = sel.shed_optional(tasks, deps, "run_id")
+    assert _rows(got) == [(1, 1, True, True), (1, 2, False, False), (1, 3, True, False), (1, 4, False, False)]
+    assert made == [["run_id", "task_id", "admitted"]]
