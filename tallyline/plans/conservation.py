@@ -170,6 +170,7 @@ def physical_admission(selected: DataFrame, envelopes: DataFrame, down: DataFram
     ``selected``: run_id, task_id, the additive and peak dimensions, rtt; ``envelopes``: run_id, parallelism, max_<dim>,
     available_bandwidth, max_rtt, deadline_ms; ``down``: run_id, src (dependency), dst.
     """
+    selected, envelopes = durable(selected), durable(envelopes)
     totals = rs.safe_totals(selected, [RUN], ADDITIVE).select(RUN, *ADDITIVE)
     x = envelopes.join(totals, RUN, "left")
     slotted = selected.join(envelopes.select(RUN, "parallelism"), RUN)
