@@ -17,15 +17,21 @@ def _workflows(spark, d):
     """One JSON workflow document per run, some broken on purpose."""
     r = F.col("run_id")
     t = fx.tasks(spark, d)
-    up = fx.deps(spark, d).groupBy("run_id", "task_id").agg(F.array_sort(F.collect_set("dep_id")).alias("dependencies"))
-    task = F.struct(
-        "task_id", F.coalesce("dependencies", F.array().cast("array<bigint>")).alias("dependencies"), "optional", F.lit(1.0).alias("value"), F.lit(0.5).alias("min_quality"),
-        F.struct(F.when(F.col("task_id") % 3 == 0, "idempotent_write").otherwise("pure").alias("kind"), F.lit("res").alias("resource")).alias("effect"),
-        F.array(F.struct(F.lit("p").alias("name"), F.col("provider").cast("string").alias("provider"), F.lit(1).alias("p50"), F.lit(2).alias("p95"), "tokens", "cost", "context",
-                         F.lit(0.9).alias("quality"), F.lit(0.1).alias("failure"))).alias("profiles"),
-        F.array(F.struct(F.lit("out").alias("port"), F.lit("out").alias("direction"), F.lit("s1").alias("type"))).alias("ports"),
-    )
-    x = t.join(up, ["run_id", "task_id"], "left").groupBy("run_id").agg(F.array_sort(F.collect_list(task)).alias("tasks"))
+    up = fx.deps(spark, d).groupBy("run_id").agg(F.collect_list(F.struct("task_id", "dep_id")).alias("up"))
+
+    def task(x):
+        mine = F.transform(F.filter("up", lambda e: e["task_id"] == x["task_id"]), lambda e: e["dep_id"])
+        return F.struct(
+            x["task_id"].alias("task_id"), F.coalesce(F.array_sort(mine), F.array().cast("array<bigint>")).alias("dependencies"), x["optional"].alias("optional"),
+            F.lit(1.0).alias("value"), F.lit(0.5).alias("min_quality"),
+            F.struct(F.when(x["task_id"] % 3 == 0, "idempotent_write").otherwise("pure").alias("kind"), F.lit("res").alias("resource")).alias("effect"),
+            F.array(F.struct(F.lit("p").alias("name"), x["provider"].cast("string").alias("provider"), F.lit(1).alias("p50"), F.lit(2).alias("p95"), x["tokens"].alias("tokens"),
+                             x["cost"].alias("cost"), x["context"].alias("context"), F.lit(0.9).alias("quality"), F.lit(0.1).alias("failure"))).alias("profiles"),
+            F.array(F.struct(F.lit("out").alias("port"), F.lit("out").alias("direction"), F.lit("s1").alias("type"))).alias("ports"),
+        )
+
+    own = F.struct("task_id", "optional", "provider", "tokens", "cost", "context")
+    x = t.groupBy("run_id").agg(F.array_sort(F.collect_list(own)).alias("own")).join(up, "run_id", "left").select("run_id", F.transform("own", task).alias("tasks"))
     x = x.select(F.when(r % 97 == 0, "v0").otherwise("v1").alias("schema_version"), "run_id",
                  F.struct(F.lit(1000).alias("deadline_ms"), F.lit(1).alias("max_tokens"), F.lit(1).alias("max_cost"), F.lit(1).alias("max_context"), F.lit(2).alias("max_parallelism"),
                           F.lit(0.9).alias("success_floor"), F.array(F.struct(F.lit("a").alias("provider"), F.lit(1).alias("limit"))).alias("provider_limits")).alias("envelope"), "tasks")
@@ -145,18 +151,23 @@ def pending_outbox(spark, d):
     return tables.pending_outbox(box, spark.read.parquet(path), 100).select("event_id", "sequence", "kind")
 
 
+CASES = 1_000_000  # test cases for one more file of each report
+
+
 def _junit(spark, d):
-    """One XML report per supplier region, test cases from line items."""
-    a = fx.attempts(spark, d).select((F.col("provider") % 7).alias("r"), "run_id", "task_id", "outcome")
+    """One XML report per supplier region, test cases from line items, in files of one suite each."""
+    a = fx.attempts(spark, d)
+    files = a.count() // CASES + 1
+    a = a.select((F.col("provider") % 7).alias("r"), F.pmod(F.xxhash64("run_id", "task_id", "profile", "start_ms"), F.lit(files)).alias("f"), "run_id", "task_id", "outcome")
     inner = F.when((F.col("r") == 1) & (F.col("run_id") == 12), "<failure>x</failure>").otherwise("")
     case = F.concat(F.lit('<testcase name="t'), F.col("run_id").cast("string"), F.lit('">'), inner, F.lit("</testcase>"))
-    n = a.groupBy("r").agg(F.count("*").alias("n"), F.count_if(F.col("run_id") == 12).alias("f"))
-    head = n.select("r", F.lit(0).alias("o"), F.concat(F.lit('<testsuite tests="'), (F.col("n") + F.when(F.col("r") == 2, 1).otherwise(0)).cast("string"), F.lit('" failures="'),
-                    F.when(F.col("r") == 1, F.col("f")).otherwise(F.lit(0)).cast("string"), F.lit('" errors="0" skipped="0" disabled="'), F.when(F.col("r") == 3, "1").otherwise("0"), F.lit('">')).alias("value"))
-    tail = n.select("r", F.lit(2).alias("o"), F.lit("</testsuite>").alias("value"))
-    x = head.unionByName(a.select("r", F.lit(1).alias("o"), case.alias("value"))).unionByName(tail)
+    n = a.groupBy("r", "f").agg(F.count("*").alias("n"), F.count_if(F.col("run_id") == 12).alias("failed"))
+    head = n.select("r", "f", F.lit(0).alias("o"), F.concat(F.lit('<testsuite tests="'), (F.col("n") + F.when(F.col("r") == 2, 1).otherwise(0)).cast("string"), F.lit('" failures="'),
+                    F.when(F.col("r") == 1, F.col("failed")).otherwise(F.lit(0)).cast("string"), F.lit('" errors="0" skipped="0" disabled="'), F.when(F.col("r") == 3, "1").otherwise("0"), F.lit('">')).alias("value"))
+    tail = n.select("r", "f", F.lit(2).alias("o"), F.lit("</testsuite>").alias("value"))
+    x = head.unionByName(a.select("r", "f", F.lit(1).alias("o"), case.alias("value"))).unionByName(tail)
     path = fresh_dir(spark, "junit")
-    x.repartition(7, "r").sortWithinPartitions("r", "o").select("r", "value").write.partitionBy("r").text(path)
+    x.repartition(7 * files, "r", "f").sortWithinPartitions("r", "f", "o").select("r", "f", "value").write.partitionBy("r", "f").text(path)
     return path
 
 
@@ -165,7 +176,8 @@ WITH n AS (SELECT l_suppkey % 7 AS r, count(*) AS n, count(*) FILTER (WHERE l_or
 SELECT r AS report, 'not_all_passed' AS code FROM n WHERE (r = 1 AND f > 0) OR r = 3 UNION ALL SELECT r, 'count_mismatch' FROM n WHERE r = 2""")
 def junit_gate(spark, d):
     path = _junit(spark, d)
-    out = gates.junit_breaches(gates.junit_cases(spark, path), gates.junit_suites(spark, path))
+    folder = F.regexp_extract("_metadata.file_path", r"^.*/r=[^/]+/", 0)
+    out = gates.junit_breaches(gates.junit_cases(spark, path, folder), gates.junit_suites(spark, path, folder))
     return out.select(F.regexp_extract("report", r"/r=(\d+)/", 1).cast("long").alias("report"), "code")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.operators.checks import flagged
@@ -20,19 +20,22 @@ GPL = r"(?:\bGNU GENERAL PUBLIC LICENSE\b|\bGPL(?:[- V]?[0-9])?\b)"
 PERMISSIVE_MARKERS = ("APACHE", "BSD", "MIT", "MOZILLA", "MPL", "PSF", "PUBLIC DOMAIN", "PYTHON SOFTWARE FOUNDATION")
 
 
-def junit_cases(spark: SparkSession, path: str) -> DataFrame:
-    """One row per test case of every report; a case is the unit read, not the report."""
+def junit_cases(spark: SparkSession, path: str, report: Column | None = None) -> DataFrame:
+    """One row per test case of every report; a case is the unit read, not the report.
+
+    A report is a file, or what ``report`` makes of ``_metadata.file_path``: a report of many files is read by as many tasks.
+    """
     schema = "_name string, failure array<string>, error array<string>, skipped array<string>"
     rows = spark.read.schema(schema).option("rowTag", "testcase").xml(path)
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return rows.select(F.col("_metadata.file_path").alias("report"), n("failure").alias("failures"), n("error").alias("errors"), n("skipped").alias("skips"))
+    return rows.select((F.col("_metadata.file_path") if report is None else report).alias("report"), n("failure").alias("failures"), n("error").alias("errors"), n("skipped").alias("skips"))
 
 
-def junit_suites(spark: SparkSession, path: str) -> DataFrame:
+def junit_suites(spark: SparkSession, path: str, report: Column | None = None) -> DataFrame:
     schema = "_tests bigint, _failures bigint, _errors bigint, _skipped bigint, _disabled bigint"
     rows = spark.read.schema(schema).option("rowTag", "testsuite").xml(path)
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rows.select(F.col("_metadata.file_path").alias("report"), *[z(f"_{c}").alias(c) for c in ("tests", "failures", "errors", "skipped", "disabled")])
+    return rows.select((F.col("_metadata.file_path") if report is None else report).alias("report"), *[z(f"_{c}").alias(c) for c in ("tests", "failures", "errors", "skipped", "disabled")])
 
 
 def junit_breaches(cases: DataFrame, suites: DataFrame) -> DataFrame:
