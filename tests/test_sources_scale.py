@@ -5,6 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tallyline.catalog import sources as src
+from tallyline.catalog import whole
 from tallyline.sources import documents as docs
 
 
@@ -31,3 +32,25 @@ def test_reports_of_many_files(spark, sf, monkeypatch):
     sizes = [sum("<testcase" in x for x in f.read_text().splitlines()) for f in path.rglob("*.txt")]
     assert len(sizes) > 7 and max(sizes) <= 500 and sum(sizes) == src.fx.attempts(spark, sf).count()
     assert sorted(tuple(r) for r in src.junit_gate(spark, sf).collect()) == whole
+
+
+def parses(df):
+    return len(re.findall(r"from_json\(", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_a_table_of_documents_parses_them_once(spark, tmp_path):
+    (tmp_path / "docs.txt").write_text('{"schema_version":"v1","run_id":1,"envelope":{"deadline_ms":5},"tasks":[{"task_id":1}]}\n{"run_id":2}}\n')
+    good, bad = docs.read_documents(spark, str(tmp_path), docs.WORKFLOW, ["run_id"])
+    assert [parses(good), parses(bad)] == [1, 1]
+    assert [r.run_id for r in good.collect()] == [1] and [r.reason for r in bad.collect()] == ["unparsable"]
+
+
+def test_evidence_documents_are_parsed_once_for_all_tables(spark, sf, tmp_path, monkeypatch):
+    (tmp_path / "docs.txt").write_text('{"run_id":1,"envelope":{"deadline_ms":5},"events":[{"sequence":1,"digest":"d"},{"sequence":2,"digest":"e"}]}\n{"run_id":2}\n')
+    good, bad = docs.read_documents(spark, str(tmp_path), docs.EVIDENCE, ["run_id", "envelope", "events"], keep=True)
+    read = docs.evidence_tables(good)
+    assert not [x for x in (bad, *read.values()) if parses(x)]
+    assert [(r.run_id, r.pos, r.digest) for r in read["events"].collect()] == [(1, 1, "d"), (1, 2, "e")] and [r.reason for r in bad.collect()] == ["missing_envelope"]
+    real = whole.fx.tasks
+    monkeypatch.setattr(whole.fx, "tasks", lambda s, d: real(s, d).where("run_id < 40"))
+    assert parses(whole.load_evidence(spark, sf)) == 0
