@@ -13,6 +13,9 @@ from tallyline.sources import documents as docs
 from tallyline.sources import gates, tables
 
 
+DOCUMENTS = 50_000  # workflow documents of one file, which is compressed and so read by one task
+
+
 def _workflows(spark, d):
     """One JSON workflow document per run, some broken on purpose."""
     r = F.col("run_id")
@@ -39,7 +42,7 @@ def _workflows(spark, d):
     value = F.when(r % 89 == 0, F.concat(text, F.lit("}{"))).when(r % 83 == 0, F.concat(F.lit('{"extra":1,'), F.substring(text, 2, 10**9))).when(
         r % 79 == 0, F.regexp_replace(text, r'"envelope":\{.*?\]\},', "")).otherwise(text)
     path = fresh_dir(spark, "workflows")
-    x.select(value.alias("value")).write.text(path)
+    x.select(value.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", DOCUMENTS).text(path)
     return docs.read_documents(spark, path, docs.WORKFLOW, ["schema_version", "run_id", "envelope", "tasks"], ["v1"])
 
 

@@ -54,3 +54,14 @@ def test_evidence_documents_are_parsed_once_for_all_tables(spark, sf, tmp_path,
     real = whole.fx.tasks
     monkeypatch.setattr(whole.fx, "tasks", lambda s, d: real(s, d).where("run_id < 40"))
     assert parses(whole.load_evidence(spark, sf)) == 0
+
+
+def test_workflow_documents_are_written_compressed_in_bounded_files(spark, sf, monkeypatch):
+    paths, keep = [], src.docs.read_documents
+    monkeypatch.setattr(src.docs, "read_documents", lambda s, path, *a: paths.append(path) or keep(s, path, *a))
+    monkeypatch.setattr(src, "DOCUMENTS", 100)
+    good, bad = src._workflows(spark, sf)
+    files = sorted(Path(paths[0]).glob("part-*"))
+    rows = [spark.read.text(str(f)).count() for f in files[:5]]
+    assert len(files) > 5 and all(f.name.endswith(".gz") for f in files) and max(rows) <= 100
+    assert good.count() + bad.count() == src.fx.attempts(spark, sf).select("run_id").distinct().count()
