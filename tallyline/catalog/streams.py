@@ -8,7 +8,7 @@ from tallyline.catalog import fixtures as fx
 from tallyline.catalog.graphs import LEDGER, _ops
 from tallyline.catalog.registry import query
 from tallyline.catalog.sqlviews import EVENTS, w
-from tallyline.session import fresh_dir
+from tallyline.session import durable, fresh_dir
 from tallyline.streaming import jobs, stateful
 
 PARTS = 3
@@ -106,7 +106,7 @@ SELECT run_id, task_id, units AS charged, at_ms + 7200000 AS due_ms FROM x, wm W
 def stream_unknown_inflight(spark, d):
     """Views dispatch work; two thirds of it is never settled.  Other events only move the clock."""
     e = _events(spark, d)
-    live = e.select("run_id", F.col("event_id").alias("task_id"), F.when(F.col("kind") == "view", "dispatch").otherwise("tick").alias("op"), "units", "at_ms", "at", "at_us")
+    live = durable(e.select("run_id", F.col("event_id").alias("task_id"), F.when(F.col("kind") == "view", "dispatch").otherwise("tick").alias("op"), "units", "at_ms", "at", "at_us"))
     done = live.where("op = 'dispatch' and task_id % 3 = 0").withColumns({
         "op": F.lit("settle"), "at_ms": F.col("at_ms") + 1800000, "at": F.col("at") + F.expr("interval 30 minutes"), "at_us": F.col("at_us") + 1800000000})
     top = live.agg(F.max("at_us")).first()[0]

@@ -343,36 +343,52 @@ class _Unknown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.work = handle.getMapState("work", "task long", "units long, due long")
-        self.due = handle.getMapState("due", "at long", "tasks array<long>")  # tasks whose patience ends at one time
+        self.first = handle.getValueState("first", "at long")  # the only timer: no open work is due before it
 
     def handleInputRows(self, key, rows, timerValues):
-        work, due = _Book(self.work), _Book(self.due)
+        work, first = _Book(self.work), None
         for r in _ordered(rows, "at_ms").itertuples(index=False):
             if r.op == "dispatch":
                 end = int(r.at_ms) + self.patience
                 work.put(int(r.task_id), (int(r.units), end))
-                at = due.get(end)
-                if at is None:
-                    self.handle.registerTimer(end)
-                due.put(end, ([*(at[0] if at else []), int(r.task_id)],))
+                first = end if first is None else min(first, end)
             elif r.op == "settle":
                 work.put(int(r.task_id), None)
         work.write()
-        due.write()
+        known = self.first.get()[0] if first is not None and self.first.exists() else None
+        if first is not None and (known is None or first < known):
+            if known is not None:
+                self.handle.deleteTimer(known)
+            self._wait(first)
         yield pd.DataFrame({"run_id": [], "task_id": [], "charged": [], "due_ms": []}).astype("int64")
 
+    def _wait(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.first.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        work, due = _Book(self.work), _Book(self.due)
-        for task in dict.fromkeys((due.get(end) or ([],))[0]):
-            entry = work.get(task)
-            if entry is not None and entry[1] == end:  # neither settled nor dispatched anew
-                out.append((key[0], task, entry[0], end))
-                work.put(task, None)
-        due.put(end, None)
-        work.write()
-        due.write()
-        yield from _emit(out, ["run_id", "task_id", "charged", "due_ms"])
+        """All work due by now is charged at once, in one reading of the key's open work, or one for each HELD that is due."""
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        more = True
+        while more:
+            out, following, more = [], None, False
+            for (task,), (units, due) in self.work.iterator():
+                if due >= now:
+                    following = due if following is None else min(following, due)
+                elif len(out) < HELD:
+                    out.append((key[0], int(task), int(units), int(due)))
+                else:
+                    more = True
+            if following is None and not more:
+                self.work.clear()
+            else:
+                for _, task, *_ in out:
+                    self.work.removeKey((task,))
+            yield from _emit(out, ["run_id", "task_id", "charged", "due_ms"])
+        if following is None:
+            self.first.clear()
+        else:
+            self._wait(int(following))
 
     def close(self) -> None:
         pass
