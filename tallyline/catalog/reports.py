@@ -12,6 +12,7 @@ from tallyline.catalog.sqlviews import ARTIFACTS, ATTEMPTS, DEPS, EVENTS, RUNS,
 from tallyline.operators.scan import rcount, running
 from tallyline.plans import conservation as cv
 from tallyline.plans.audits import PLAN_CHECKS
+from tallyline.session import dealt, in_place
 
 L = F.lit
 DEADLINE = 40 * 86_400_000
@@ -19,7 +20,7 @@ DEADLINE = 40 * 86_400_000
 
 def _schedule(spark, d):
     """Entries relative to their run's first start, and run rows over them."""
-    t = fx.tasks(spark, d)
+    t = dealt(fx.tasks(spark, d), "run_id")  # seven tasks of a run at most
     first = t.groupBy("run_id").agg(F.min("start_ms").alias("z"))
     e = t.join(first, "run_id").select(
         "run_id", "task_id", L("p").alias("backend"), "provider", (F.col("start_ms") - F.col("z")).alias("start_ms"), (F.col("end_ms") - F.col("z")).alias("end_ms"),
@@ -65,11 +66,12 @@ def conservation_report(spark, d):
     ends = F.when(F.col("success"), "run.completed").otherwise("run.failed")
     bounds = runs.select("run_id", F.explode(F.array(F.struct(L(None).cast("long").alias("task_id"), L("run.started").alias("kind"), L(0).cast("long").alias("at"), L(0).alias("o")),
                                                      F.struct(F.when(F.col("run_id") % 103 == 0, 1).cast("long").alias("task_id"), ends.alias("kind"), F.col("makespan").alias("at"), L(9).alias("o")))).alias("m")).select("run_id", "m.*")
-    log = running(own.unionByName(bounds), ["run_id"], "at", {"sequence": rcount()}, tie=["o", "task_id"])
+    log = running(dealt(own.unionByName(bounds), "run_id"), ["run_id"], "at", {"sequence": rcount()}, tie=["o", "task_id"])
     log = log.withColumn("sequence", F.col("sequence") + F.when(F.col("run_id") % 73 == 0, 1).otherwise(0)).drop("o")
     skipped = least.where("run_id % 83 = 0").select("run_id", F.col("least").alias("task_id"))
     entries = e.withColumn("optional", F.when(F.col("run_id") % 101 == 0, ~F.col("optional")).otherwise(F.col("optional")))
-    return cv.conservation_report(runs, tasks, profiles, fx.deps(spark, d), entries, log, skipped, fx.providers(spark, d).select("provider", "limit"))
+    with in_place(spark):
+        return cv.conservation_report(runs, tasks, profiles, fx.deps(spark, d), entries, log, skipped, fx.providers(spark, d).select("provider", "limit"))
 
 
 @query("preflight_report", RW(TASKS, RUNS, DEPS) + RANKS + """

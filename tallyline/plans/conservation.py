@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from tallyline.operators.checks import holds
 from tallyline.operators.intervals import conflicting_use
 from tallyline.operators.scan import rcount, rlag, running
 from tallyline.plans.audits import model_bounds
-from tallyline.session import durable
+from tallyline.session import BLOCK, by_size, dealt, durable, in_place
 
 RUN = "run_id"
 
@@ -33,9 +34,12 @@ def _failed(df: DataFrame, check: str, bad: Column) -> DataFrame:
 
 
 def conservation_report(runs: DataFrame, tasks: DataFrame, profiles: DataFrame, deps: DataFrame, entries: DataFrame, events: DataFrame,
-                        skipped: DataFrame, limits: DataFrame) -> DataFrame:
+                        skipped: DataFrame, limits: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per (run, check): passed (R2).
 
+    Runs of at most ``block`` rows in all tables are dealt by run once and checked where they lie, others are joined and scanned
+    by finer keys than the run.
+
     ``runs``: run_id, success, makespan, total_tokens, total_cost, total_context, success_probability, model_bound,
     deadline_ms, max_tokens, max_cost, max_context, max_parallelism, success_floor.  ``tasks``: run_id, task_id, optional,
     min_quality, deadline_ms, resource, writes.  ``profiles``: run_id, task_id, name, provider, p95, tokens, cost, context,
@@ -43,6 +47,16 @@ def conservation_report(runs: DataFrame, tasks: DataFrame, profiles: DataFrame,
     outcome, optional, tokens, cost, context, probability.  ``events``: run_id, sequence, at, kind, task_id.  ``skipped``:
     run_id, task_id.  ``limits``: provider, limit.
     """
+    tables = [runs, tasks, profiles, deps, entries, events, skipped]
+    small, big = by_size(tables, RUN, block)
+    with in_place(runs.sparkSession):
+        out = durable(_conservation(*[dealt(x, RUN) for x in small], limits, lambda df: dealt(df, RUN)))
+    return out if big is None else out.unionByName(_conservation(*big, limits, durable))
+
+
+def _conservation(runs: DataFrame, tasks: DataFrame, profiles: DataFrame, deps: DataFrame, entries: DataFrame, events: DataFrame,
+                  skipped: DataFrame, limits: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keep`` makes a stage table."""
     T = [RUN, "task_id"]
     known = tasks.select(*T, F.lit(True).alias("k"))
     counted = entries.groupBy(*T).agg(F.count("*").alias("n")).join(known, T, "left")
@@ -50,7 +64,7 @@ def conservation_report(runs: DataFrame, tasks: DataFrame, profiles: DataFrame,
 
     r = runs.select(RUN, "makespan", F.col("deadline_ms").alias("run_deadline"))
     t = tasks.select(*T, F.col("optional").alias("t_optional"), "min_quality", F.col("deadline_ms").alias("t_deadline"), "resource", "writes")
-    e = durable(entries.join(t, T).join(r, RUN, "left"))
+    e = keep(entries.join(t, T).join(r, RUN, "left"))
     fails.append(_failed(e, "entry-shape", (F.col("start_ms") < 0) | (F.col("end_ms") < F.col("start_ms")) | (F.col("end_ms") > F.col("makespan"))
                          | ~F.col("outcome").isin("completed", "cancelled") | (F.col("optional") != F.col("t_optional"))))
     p = profiles.groupBy(*T, F.col("name").alias("backend"), "provider").agg(
@@ -99,7 +113,7 @@ def conservation_report(runs: DataFrame, tasks: DataFrame, profiles: DataFrame,
 
     up = deps.select(RUN, F.col("task_id").alias("src"), F.col("dep_id").alias("dst"))
     guard = gr.closure(up, tasks.where("not optional").select(RUN, F.col("task_id").alias("node")), [RUN])
-    guard = durable(guard.select(RUN, F.col("node").alias("task_id"), F.lit(True).alias("guarded")))
+    guard = keep(guard.select(RUN, F.col("node").alias("task_id"), F.lit(True).alias("guarded")))
     s = skipped.groupBy(*T).agg(F.count("*").alias("times"))
     y = x.join(s, T, "full_outer").join(guard, T, "left").join(known, T, "left")
     told, ran = F.col("times").isNotNull(), F.col("e").isNotNull()
